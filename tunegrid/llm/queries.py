@@ -4,13 +4,34 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tunegrid.llm.bpe import encode_documents
 from tunegrid.llm.common import table
+from tunegrid.llm.embedding_join import embedding_near_duplicates
 from tunegrid.llm.near_dup import near_duplicates
 
 
+def word_tokenizer() -> str:
+    """The public 49k word BPE's place; imported here, as only the driver needs it."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op1_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+def op3_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_documents(table(spark, sf_dir, "documents"), word_tokenizer())
+
+
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op5_minhash_near_dedup": op5_minhash_near_dedup}
+QUERIES = {
+    "op1_embedding_near_dedup": op1_embedding_near_dedup,
+    "op3_bpe_encode_decode": op3_bpe_encode_decode,
+    "op5_minhash_near_dedup": op5_minhash_near_dedup,
+}
 ORACLES: dict[str, str] = {}
