@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tunegrid.llm.bpe import encode_documents
 from tunegrid.llm.common import table
 from tunegrid.llm.embedding_join import embedding_near_duplicates
+from tunegrid.llm.langid import learnable, predict_language, train, training_sample
 from tunegrid.llm.near_dup import near_duplicates
 
 
@@ -29,9 +31,19 @@ def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op9_kneser_ney_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """held_out is false for a null doc_id, which is not trained on either."""
+    docs = table(spark, sf_dir, "documents")
+    model = train(training_sample(learnable(docs), "text", "lang", "doc_id"))
+    held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
+    rows = docs.select("doc_id", held.alias("held_out"), "text")
+    return predict_language(rows, model, "text", ["doc_id", "held_out"])
+
+
 QUERIES = {
     "op1_embedding_near_dedup": op1_embedding_near_dedup,
     "op3_bpe_encode_decode": op3_bpe_encode_decode,
     "op5_minhash_near_dedup": op5_minhash_near_dedup,
+    "op9_kneser_ney_langid": op9_kneser_ney_langid,
 }
 ORACLES: dict[str, str] = {}
