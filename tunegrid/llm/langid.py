@@ -19,7 +19,7 @@ SAMPLE_DOCS, SAMPLE_CHARS = 400, 20_000
 #: Languages learned at most, those with the most sampled documents first.
 MAX_LANGS = 256
 #: A text is rejected at MARGIN + SLACK / letters nats per character above the worst calibration document.
-MARGIN, SLACK = 0.5, 30.0
+MARGIN, SLACK = 0.75, 30.0
 #: A text with fewer letters is never rejected for its entropy.
 MIN_LETTERS = 50
 #: Words whose scores a Python worker remembers.

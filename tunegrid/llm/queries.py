@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tunegrid.llm.bpe import encode_documents
@@ -10,6 +10,7 @@ from tunegrid.llm.common import table
 from tunegrid.llm.embedding_join import embedding_near_duplicates
 from tunegrid.llm.langid import learnable, predict_language, train, training_sample
 from tunegrid.llm.near_dup import near_duplicates
+from tunegrid.llm.secrets import KINDS, find_secrets, span_text
 
 
 def word_tokenizer() -> str:
@@ -40,10 +41,26 @@ def op9_kneser_ney_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict_language(rows, model, "text", ["doc_id", "held_out"])
 
 
+def _count(kind: str) -> Column:
+    return F.size(F.filter("secrets", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+
+def op10_randomness_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_secrets(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "secrets")
+    names = [name for name, *_ in KINDS]
+    return found.select(
+        "doc_id",
+        *[_count(n) for n in names],
+        F.sha2(span_text(F.filter("secrets", lambda x: x["kind"].isin(names))), 256).alias("base_sha256"),
+        span_text(F.col("secrets")).alias("spans"),
+    )
+
+
 QUERIES = {
     "op1_embedding_near_dedup": op1_embedding_near_dedup,
     "op3_bpe_encode_decode": op3_bpe_encode_decode,
     "op5_minhash_near_dedup": op5_minhash_near_dedup,
+    "op10_randomness_secrets": op10_randomness_secrets,
     "op9_kneser_ney_langid": op9_kneser_ney_langid,
 }
 ORACLES: dict[str, str] = {}
