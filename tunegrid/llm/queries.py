@@ -10,7 +10,10 @@ from tunegrid.llm.common import table
 from tunegrid.llm.embedding_join import embedding_near_duplicates
 from tunegrid.llm.langid import learnable, predict_language, train, training_sample
 from tunegrid.llm.near_dup import near_duplicates
+from tunegrid.llm.sharding import shard_documents
 from tunegrid.llm.secrets import KINDS, find_secrets, span_text
+from tunegrid.llm.url_filter import ORACLE as URL_ORACLE
+from tunegrid.llm.url_filter import filter_urls
 
 
 def word_tokenizer() -> str:
@@ -28,10 +31,22 @@ def op3_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(table(spark, sf_dir, "documents"), word_tokenizer())
 
 
+def op4_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page counts as labelled where `labels` has its number; low quality and toxicity are the bad outcomes."""
+    labels = table(spark, sf_dir, "labels")
+    bad = F.when((F.col("quality") == 0) | (F.col("toxic") == 1), 1).otherwise(0)
+    return filter_urls(table(spark, sf_dir, "pages").select("page_id", "url"), labels.select(F.col("doc_id").alias("page_id"), bad.alias("bad")))
+
+
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op7_histogram_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = shard_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op9_kneser_ney_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """held_out is false for a null doc_id, which is not trained on either."""
     docs = table(spark, sf_dir, "documents")
@@ -59,8 +74,10 @@ def op10_randomness_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_embedding_near_dedup": op1_embedding_near_dedup,
     "op3_bpe_encode_decode": op3_bpe_encode_decode,
+    "op4_url_reputation": op4_url_reputation,
     "op5_minhash_near_dedup": op5_minhash_near_dedup,
+    "op7_histogram_sharding": op7_histogram_sharding,
     "op10_randomness_secrets": op10_randomness_secrets,
     "op9_kneser_ney_langid": op9_kneser_ney_langid,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op4_url_reputation": URL_ORACLE}
