@@ -2,9 +2,62 @@
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tunegrid.llm.bpe import encode_documents
+from tunegrid.llm.common import staged, table
+from tunegrid.llm.decontaminate import drop_contaminated
+from tunegrid.llm.langid import predict_language, train, training_sample
+from tunegrid.llm.near_dup import drop_near_duplicates
+from tunegrid.llm.queries import word_tokenizer
+from tunegrid.llm.secrets import redact_secrets
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is recognised; learned from a bounded sample of the labelled ones."""
+    model = train(training_sample(docs, "text", "lang", "doc_id"))
+    if model is None:  # no labels to learn from: nothing can be rejected but texts without letters
+        return predict_language(docs, None).where("not rejected").select(*docs.columns)
+    return predict_language(docs, model).where("not rejected").select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate group."""
+    return drop_near_duplicates(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    return drop_contaminated(docs, table(spark, sf_dir, "benchmark")).select(*docs.columns)
+
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, their secrets replaced by a mark; n_chars counts the text as it now is."""
+    done = redact_secrets(docs)
+    return done.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns) if "n_chars" in docs.columns else done.select(*docs.columns)
+
+
+def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document's token ids, with the digests of the ids and of their decoding."""
+    return encode_documents(docs, word_tokenizer(), full=True).drop("decoded")
+
+
+STAGES = [
+    ("language ID", language),
+    ("MinHash near-dedup", near_duplicates),
+    ("benchmark decontamination", decontamination),
+    ("secret scans", secrets),
+    ("BPE encoding and decoding", encoding),
+]
+#: Signatures, language models and BPE are beyond SQL; the stages are tested against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for k, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k + 1 < len(STAGES):
+            docs = staged(docs, f"stage{k}")
+    return docs

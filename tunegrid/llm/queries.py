@@ -7,9 +7,13 @@ from pyspark.sql import functions as F
 
 from tunegrid.llm.bpe import encode_documents
 from tunegrid.llm.common import table
+from tunegrid.llm.decontaminate import contaminated
 from tunegrid.llm.embedding_join import embedding_near_duplicates
 from tunegrid.llm.langid import learnable, predict_language, train, training_sample
+from tunegrid.llm.licenses import oracle as license_oracle
+from tunegrid.llm.licenses import scan_licenses
 from tunegrid.llm.near_dup import near_duplicates
+from tunegrid.llm.pii import PATTERNS, pseudonymise
 from tunegrid.llm.sharding import shard_documents
 from tunegrid.llm.secrets import KINDS, find_secrets, span_text
 from tunegrid.llm.url_filter import ORACLE as URL_ORACLE
@@ -27,6 +31,10 @@ def op1_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op2_spaced_seed_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op3_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(table(spark, sf_dir, "documents"), word_tokenizer())
 
@@ -42,11 +50,20 @@ def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_license_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def op7_histogram_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = shard_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op8_feistel_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), "tunegrid", found_only=True)
+    return found.select("doc_id", *[_kind_count("pii", k) for k in PATTERNS], "pii", "text")
+
+
 def op9_kneser_ney_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """held_out is false for a null doc_id, which is not trained on either."""
     docs = table(spark, sf_dir, "documents")
@@ -56,8 +73,8 @@ def op9_kneser_ney_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict_language(rows, model, "text", ["doc_id", "held_out"])
 
 
-def _count(kind: str) -> Column:
-    return F.size(F.filter("secrets", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+def _kind_count(column: str, kind: str) -> Column:
+    return F.size(F.filter(column, lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
 
 
 def op10_randomness_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,7 +82,7 @@ def op10_randomness_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = [name for name, *_ in KINDS]
     return found.select(
         "doc_id",
-        *[_count(n) for n in names],
+        *[_kind_count("secrets", n) for n in names],
         F.sha2(span_text(F.filter("secrets", lambda x: x["kind"].isin(names))), 256).alias("base_sha256"),
         span_text(F.col("secrets")).alias("spans"),
     )
@@ -73,11 +90,14 @@ def op10_randomness_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_embedding_near_dedup": op1_embedding_near_dedup,
+    "op2_spaced_seed_decontamination": op2_spaced_seed_decontamination,
     "op3_bpe_encode_decode": op3_bpe_encode_decode,
     "op4_url_reputation": op4_url_reputation,
     "op5_minhash_near_dedup": op5_minhash_near_dedup,
+    "op6_license_sentences": op6_license_sentences,
     "op7_histogram_sharding": op7_histogram_sharding,
-    "op10_randomness_secrets": op10_randomness_secrets,
+    "op8_feistel_pii": op8_feistel_pii,
     "op9_kneser_ney_langid": op9_kneser_ney_langid,
+    "op10_randomness_secrets": op10_randomness_secrets,
 }
-ORACLES: dict[str, str] = {"op4_url_reputation": URL_ORACLE}
+ORACLES = {"op4_url_reputation": URL_ORACLE, "op6_license_sentences": license_oracle()}
