@@ -4,6 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -41,5 +45,15 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def by_unit(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, pa.RecordBatch]]:
+    """(unit, kind, rows) of a stream sorted by its first two columns; a unit's rows may come in several parts."""
+    for batch in batches:
+        units, kinds = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        cuts = [0, *(np.nonzero((np.diff(units) != 0) | (np.diff(kinds) != 0))[0] + 1), len(units)]
+        for lo, hi in zip(cuts, cuts[1:], strict=False):
+            if lo < hi:
+                yield int(units[lo]), int(kinds[lo]), batch.slice(lo, hi - lo)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

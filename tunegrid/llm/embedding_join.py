@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tunegrid.llm.common import staged
+from tunegrid.llm.common import by_unit, staged
 from tunegrid.llm.components import UnionFind, connected_components
 
 #: Members of a cell's block: the matrix that one task holds.
@@ -108,35 +108,29 @@ def _join_unit(threshold: float) -> Callable:
                 nodes = list(sets.parent)
                 yield out(1, nodes, [sets.find(x) for x in nodes])
 
-        for batch in batches:
-            units, kinds = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            cuts = [0, *(np.nonzero((np.diff(units) != 0) | (np.diff(kinds) != 0))[0] + 1), len(units)]
-            for lo, hi in zip(cuts, cuts[1:], strict=False):
-                if lo == hi:
-                    continue
-                if units[lo] != unit:
-                    yield from close()
-                    unit, held, links, sets = units[lo], [], None, UnionFind()
-                part = batch.slice(lo, hi - lo)
-                if kinds[lo] == 0:
-                    held.append(part)
-                    continue
-                if not held:
-                    continue
-                if links is None:
-                    ids = np.concatenate([p.column(2).to_numpy() for p in held])
-                    matrix = np.stack([np.frombuffer(v.as_py()) for p in held for v in p.column(4)])
-                    links = np.zeros(len(ids), np.int64)
-                for k in range(0, part.num_rows, 1024):
-                    some = part.slice(k, 1024)
-                    who, n = some.column(2).to_numpy(), some.column(3).to_numpy()
-                    hit = np.stack([np.frombuffer(v.as_py()) for v in some.column(4)]) @ matrix.T >= threshold
-                    row, col = np.nonzero(hit)
-                    other = who[row] != ids[col]
-                    row, col = row[other], col[other]
-                    np.add.at(links, col, n[row])
-                    for r, c in zip(who[row].tolist(), ids[col].tolist(), strict=True):
-                        sets.union(r, c)
+        for unit_no, kind, part in by_unit(batches):
+            if unit_no != unit:
+                yield from close()
+                unit, held, links, sets = unit_no, [], None, UnionFind()
+            if kind == 0:
+                held.append(part)
+                continue
+            if not held:
+                continue
+            if links is None:
+                ids = np.concatenate([p.column(2).to_numpy() for p in held])
+                matrix = np.stack([np.frombuffer(v.as_py()) for p in held for v in p.column(4)])
+                links = np.zeros(len(ids), np.int64)
+            for k in range(0, part.num_rows, 1024):
+                some = part.slice(k, 1024)
+                who, n = some.column(2).to_numpy(), some.column(3).to_numpy()
+                hit = np.stack([np.frombuffer(v.as_py()) for v in some.column(4)]) @ matrix.T >= threshold
+                row, col = np.nonzero(hit)
+                other = who[row] != ids[col]
+                row, col = row[other], col[other]
+                np.add.at(links, col, n[row])
+                for r, c in zip(who[row].tolist(), ids[col].tolist(), strict=True):
+                    sets.union(r, c)
         yield from close()
 
     return run

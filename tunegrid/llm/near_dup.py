@@ -11,13 +11,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from tunegrid.llm.common import staged
-from tunegrid.llm.components import connected_components
+from tunegrid.llm.common import by_unit, staged
+from tunegrid.llm.components import UnionFind, connected_components
 
 WORDS = 5
 SLOTS = 128
 BANDS = 32
 THRESHOLD = 75
+#: Shingles of the documents that one task holds while others are compared with them.
+UNIT_SHINGLES = 4_000_000
+#: Share of equal slots below which a pair is not worth confirming: five deviations under the threshold.
+LEAST_EQUAL = 0.55
 #: Shingles handled at once by a signature call: bounds the memory of a Python worker.
 CHUNK = 1 << 17
 
@@ -84,24 +88,24 @@ def superminhash(items: np.ndarray, owner: np.ndarray, n: int, slots: int = SLOT
     return sig.reshape(n, slots)
 
 
-def _signed(text_sets: list[np.ndarray]) -> np.ndarray:
-    """Band keys (sets x BANDS) of a list of non-empty sets, a set larger than CHUNK in pieces."""
+def signatures(text_sets: list[np.ndarray]) -> np.ndarray:
+    """(sets x SLOTS) signatures of non-empty sets, a set larger than CHUNK in pieces."""
     sizes = np.array([len(s) for s in text_sets])
-    if sizes.sum() <= CHUNK or len(text_sets) == 1:
-        pieces = [text_sets[0][k : k + CHUNK] for k in range(0, len(text_sets[0]), CHUNK)] if len(text_sets) == 1 else None
-        if pieces:
-            sig = superminhash(pieces[0], np.zeros(len(pieces[0]), np.int64), 1)
-            for piece in pieces[1:]:
-                sig = np.minimum(sig, superminhash(piece, np.zeros(len(piece), np.int64), 1))
-        else:
-            sig = superminhash(np.concatenate(text_sets), np.repeat(np.arange(len(text_sets)), sizes), len(text_sets))
-        rows = SLOTS // BANDS
-        keys = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64) * _MUL, (len(text_sets), BANDS))
-        for k in range(rows):
-            keys = _mix(keys * _MUL + sig[:, k::rows])
-        return keys
-    half = max(1, int(np.searchsorted(np.cumsum(sizes), sizes.sum() / 2)))
-    return np.concatenate([_signed(text_sets[:half]), _signed(text_sets[half:])])
+    if len(text_sets) == 1:
+        pieces = [text_sets[0][k : k + CHUNK] for k in range(0, len(text_sets[0]), CHUNK)]
+        return np.minimum.reduce([superminhash(p, np.zeros(len(p), np.int64), 1) for p in pieces])
+    if sizes.sum() <= CHUNK:
+        return superminhash(np.concatenate(text_sets), np.repeat(np.arange(len(text_sets)), sizes), len(text_sets))
+    half = min(len(text_sets) - 1, max(1, int(np.searchsorted(np.cumsum(sizes), sizes.sum() / 2))))
+    return np.concatenate([signatures(text_sets[:half]), signatures(text_sets[half:])])
+
+
+def band_keys(sig: np.ndarray) -> np.ndarray:
+    """(sets x BANDS) keys; a key also tells its band."""
+    keys = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64) * _MUL, (len(sig), BANDS))
+    for k in range(SLOTS // BANDS):
+        keys = _mix(keys * _MUL + sig[:, k :: SLOTS // BANDS])
+    return keys
 
 
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -113,7 +117,7 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             digest = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
             keys: list = [None] * len(sets)
             if full:
-                for k, row in zip(full, _signed([sets[k] for k in full]).view(np.int64), strict=True):
+                for k, row in zip(full, band_keys(signatures([sets[k] for k in full])).view(np.int64), strict=True):
                     keys[k] = row
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(digest, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
@@ -142,14 +146,104 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     )
 
 
+class _Held:
+    """A unit's documents, ready to be compared with any other of the unit's cluster."""
+
+    def __init__(self, ids: np.ndarray, groups: np.ndarray, sets: list[np.ndarray]) -> None:
+        self.ids, self.groups, self.sizes = ids, groups, np.array([len(s) for s in sets])
+        self.starts = np.concatenate([[0], np.cumsum(self.sizes)[:-1]])
+        self.known, self.flat = np.unique(np.concatenate(sets), return_inverse=True)
+        sig = signatures(sets)
+        self.short = sig.astype(np.uint8)
+        keys = band_keys(sig).ravel()
+        order = np.argsort(keys, kind="stable")
+        self.keys, self.owner = keys[order], order // BANDS
+        self.mark = np.zeros(len(self.known), bool)
+
+    def partners(self, doc: int, group: int, own: np.ndarray, sig: np.ndarray, joined: UnionFind) -> list[int]:
+        """Members of smaller id and another group that share a band and reach the threshold, none of a group already joined."""
+        keys = band_keys(sig[None])[0]
+        lo, hi = np.searchsorted(self.keys, keys, "left"), np.searchsorted(self.keys, keys, "right")
+        near = np.unique(np.concatenate([self.owner[a:b] for a, b in zip(lo, hi, strict=True)]))
+        near = near[(self.ids[near] < doc) & (self.groups[near] != group)]
+        small, large = np.minimum(self.sizes[near], len(own)), np.maximum(self.sizes[near], len(own))
+        near = near[100 * small >= THRESHOLD * large]
+        near = near[(self.short[near] == sig.astype(np.uint8)).mean(axis=1) >= LEAST_EQUAL] if len(near) else near
+        root, out = joined.find(group), []
+        near = np.array([k for k in near if joined.find(int(self.groups[k])) != root], np.int64)
+        if not len(near):
+            return out
+        at = np.searchsorted(self.known, own)
+        at = at[(at < len(self.known)) & (self.known[np.minimum(at, len(self.known) - 1)] == own)]
+        self.mark[at] = True
+        sizes = self.sizes[near]
+        cut = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+        every = np.repeat(self.starts[near] - cut, sizes) + np.arange(sizes.sum())
+        common = np.add.reduceat(self.mark[self.flat[every]], cut, dtype=np.int64)
+        self.mark[at] = False
+        return near[100 * common >= THRESHOLD * (sizes + len(own) - common)].tolist()
+
+
+def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (unit, kind, id, group, shingles) sorted by unit and kind: members (0) are held, all documents of the cluster (1) stream past.
+
+    Emits links between groups, a spanning forest of what each unit finds.
+    """
+    unit, waiting, held, joined = None, [], None, UnionFind()
+    for unit_no, kind, part in by_unit(batches):
+        if unit_no != unit:
+            unit, waiting, held, joined = unit_no, [], None, UnionFind()
+        ids, groups = part.column(2).to_numpy(), part.column(3).to_numpy()
+        sets = [s.values.to_numpy().view(np.uint64) for s in part.column(4)]
+        if kind == 0:
+            waiting.append((ids, groups, [s.copy() for s in sets]))
+            continue
+        if held is None and waiting:
+            held = _Held(np.concatenate([w[0] for w in waiting]), np.concatenate([w[1] for w in waiting]), [s for w in waiting for s in w[2]])
+            waiting = []
+        if held is None:
+            continue
+        u, v = [], []
+        for k, sig in enumerate(signatures(sets)):
+            for m in held.partners(int(ids[k]), int(groups[k]), sets[k], sig, joined):
+                if joined.union(int(groups[k]), int(held.groups[m])):
+                    u.append(int(ids[k]))
+                    v.append(int(held.ids[m]))
+        if u:
+            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+
+
+def _links_between(bands: DataFrame, groups: DataFrame, sets: DataFrame) -> DataFrame:
+    """Confirmed links between documents that share a band but not yet a group.
+
+    Bands that hold more than one group tie documents into clusters. Clusters are cut into
+    units of UNIT_SHINGLES; a unit's task holds its documents' sets and every document sharing a
+    band with one of them streams past, so that pairs are weighed where they meet, not emitted.
+    """
+    placed = bands.join(groups, bands.doc_id == groups.node, "left").select("band", "doc_id", F.coalesce("component", "doc_id").alias("group"))
+    open_bands = placed.groupBy("band").agg(F.min("group").alias("a"), F.max("group").alias("b"), F.min("doc_id").alias("low")).where("a != b").select("band", "low")
+    rest = staged(placed.join(open_bands, "band"), "open")
+    clusters = connected_components(rest.select(F.col("doc_id").alias("u"), F.col("low").alias("v")))
+    docs = rest.select("doc_id", "group").distinct().join(sets.select(F.col("id").alias("doc_id"), F.size("shingles").alias("n")), "doc_id")
+    docs = docs.join(clusters, docs.doc_id == clusters.node, "left").select("doc_id", "group", "n", F.coalesce("component", "doc_id").alias("cluster"))
+    parts = docs.groupBy("cluster").agg(F.ceil(F.sum("n") / UNIT_SHINGLES).alias("parts"))
+    unit = F.pmod(F.xxhash64("cluster", F.pmod(F.xxhash64("doc_id"), F.col("parts"))), F.lit((1 << 31) - 1)).cast("int")
+    docs = staged(docs.join(parts, "cluster").select("doc_id", "group", unit.alias("unit")), "units")
+    band_units = rest.join(docs.select("doc_id", "unit"), "doc_id").select("band", "unit").distinct()
+    visits = rest.select("band", "doc_id").join(band_units, "band").select("doc_id", "unit").distinct().join(docs.select("doc_id", "group"), "doc_id")
+    sent = docs.select("doc_id", "group", "unit", F.lit(0).alias("kind")).unionByName(visits.withColumn("kind", F.lit(1)))
+    sent = sent.join(sets, sent.doc_id == sets.id).select("unit", "kind", "id", "group", "shingles")
+    return sent.repartition("unit").sortWithinPartitions("unit", "kind").mapInArrow(_compare, "u long, v long")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept): one row per document.
 
     Equal shingle sets form a class, its smallest id stands for it. Representatives that
     share a band are candidates: each with the smallest of the band, then, once the links
     found so have been grouped, every pair of a band whose groups differ. Every candidate
-    pair is thus confirmed on full sets or already in one group, without emitting the pairs
-    inside a group. With 32 bands of 4 slots a pair at similarity 0.75 escapes with
+    pair is thus weighed on full sets or already in one group, without emitting the pairs of
+    a band. With 32 bands of 4 slots a pair at similarity 0.75 escapes with
     probability 5e-6.
 
     Null, empty or wordless texts have n_shingles 0 and stand alone. A null id stands alone
@@ -173,16 +267,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = staged(_verified(first, sets), "links")
     groups = connected_components(links)
 
-    placed = bands.join(groups, bands.doc_id == groups.node, "left").select("band", "doc_id", F.coalesce("component", "doc_id").alias("group"))
-    open_bands = placed.groupBy("band").agg(F.min("group").alias("a"), F.max("group").alias("b")).where("a != b").select("band")
-    rest = placed.join(open_bands, "band")
-    x, y = rest.alias("x"), rest.alias("y")
-    second = (
-        x.join(y, F.expr("x.band = y.band and x.doc_id < y.doc_id and x.group != y.group"))
-        .select(F.col("x.doc_id").alias("u"), F.col("y.doc_id").alias("v")).distinct()
-        .join(first, ["u", "v"], "left_anti")
-    )
-    more = _verified(second, sets)
+    more = staged(_links_between(bands, groups, sets), "more")
     repeated = members.where("doc_id != rep").select(F.col("rep").alias("u"), F.col("doc_id").alias("v"))
     groups = connected_components(links.unionByName(more).unionByName(repeated))
     return (
