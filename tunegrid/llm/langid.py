@@ -257,10 +257,15 @@ def _predict(shared) -> Callable:
 
 def training_sample(docs: DataFrame, text_col: str, lang_col: str, order: str, docs_per_lang: int = SAMPLE_DOCS) -> list[tuple[str, str]]:
     """Per language the docs_per_lang documents of least hash that have 1 to SAMPLE_CHARS characters."""
-    w = Window.partitionBy(lang_col).orderBy(F.xxhash64(order), order)
-    rows = docs.where(F.col(lang_col).isNotNull() & F.length(text_col).between(1, SAMPLE_CHARS))
-    rows = rows.withColumn("_place", F.row_number().over(w)).where(F.col("_place") <= docs_per_lang)
-    return sorted((r[0], r[1]) for r in rows.select(lang_col, text_col).collect())
+    rows = docs.where(F.col(lang_col).isNotNull() & F.length(text_col).between(1, SAMPLE_CHARS)).withColumn("_hash", F.pmod(F.xxhash64(order), F.lit(1 << 40)))
+    # By the languages' counts few more hashes than needed are let through to the sort.
+    share = {r[0]: (2 * docs_per_lang + 50) / r[1] for r in rows.groupBy(lang_col).count().collect()}
+    if not share:
+        return []
+    cuts = F.create_map(*[F.lit(x) for lang, part in share.items() for x in (lang, int(min(1.0, part) * (1 << 40)))])
+    w = Window.partitionBy(lang_col).orderBy("_hash", order)
+    some = rows.where(F.col("_hash") < F.element_at(cuts, F.col(lang_col))).withColumn("_place", F.row_number().over(w))
+    return sorted((r[0], r[1]) for r in some.where(F.col("_place") <= docs_per_lang).select(lang_col, text_col).collect())
 
 
 def predict_language(docs: DataFrame, model: KneserNey | None, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
