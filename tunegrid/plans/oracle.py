@@ -115,13 +115,14 @@ def duck(select: str, **more: str) -> str:
 
     known = CTES | more
     needed: list[str] = []
+    met: set[str] = set()
 
     def visit(sql: str) -> None:
         for name in known:
-            if name not in needed and re.search(rf"\b{name}\b", sql):
+            if name not in met and re.search(rf"\b{name}\b", sql):
+                met.add(name)
                 visit(known[name])
-                if name not in needed:
-                    needed.append(name)
+                needed.append(name)
 
     visit(select)
     return ("WITH " + ",\n".join(f"{n} AS MATERIALIZED ({known[n]})" for n in needed) + "\n" if needed else "") + select
