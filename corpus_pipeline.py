@@ -16,10 +16,9 @@ from tunegrid.llm.secrets import redact_secrets
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is recognised; learned from a bounded sample of the labelled ones."""
-    model = train(training_sample(docs, "text", "lang", "doc_id"))
-    if model is None:  # no labels to learn from: nothing can be rejected but texts without letters
-        return predict_language(docs, None).where("not rejected").select(*docs.columns)
-    return predict_language(docs, model).where("not rejected").select(*docs.columns)
+    model = train(training_sample(docs, "text", "lang", "doc_id"))  # None without labels: only texts without letters go
+    names = ("__tg_lang", "__tg_score", "__tg_entropy", "__tg_rejected")
+    return predict_language(docs, model, names=names).where("not __tg_rejected").drop(*names)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,13 +28,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
-    return drop_contaminated(docs, table(spark, sf_dir, "benchmark")).select(*docs.columns)
+    return drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, their secrets replaced by a mark; n_chars counts the text as it now is."""
     done = redact_secrets(docs)
-    return done.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns) if "n_chars" in docs.columns else done.select(*docs.columns)
+    return done.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else done
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -233,7 +233,7 @@ class Scorer:
 _SCORERS: dict[int, Scorer] = {}
 
 
-def _predict(shared) -> Callable:
+def _predict(shared, added: tuple[str, ...]) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if shared.value is not None:
             key = hash(shared.value.grams[ORDER][0].tobytes())
@@ -250,14 +250,14 @@ def _predict(shared) -> Callable:
                 else:
                     lang, score, reject, entropy = _SCORERS[key].scores(texts)
                 extra = [pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(entropy, pa.float64()), pa.array(reject, pa.bool_())]
-                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *extra], names=[*batch.schema.names[:-1], "lang_pred", "score", "entropy", "rejected"])
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *extra], names=[*batch.schema.names[:-1], *added])
 
     return run
 
 
 def training_sample(docs: DataFrame, text_col: str, lang_col: str, order: str, docs_per_lang: int = SAMPLE_DOCS) -> list[tuple[str, str]]:
     """Per language the docs_per_lang documents of least hash that have 1 to SAMPLE_CHARS characters."""
-    rows = docs.where(F.col(lang_col).isNotNull() & F.length(text_col).between(1, SAMPLE_CHARS)).withColumn("_hash", F.pmod(F.xxhash64(order), F.lit(1 << 40)))
+    rows = docs.select(lang_col, text_col, order).where(F.col(lang_col).isNotNull() & F.length(text_col).between(1, SAMPLE_CHARS)).withColumn("_hash", F.pmod(F.xxhash64(order), F.lit(1 << 40)))
     # By the languages' counts few more hashes than needed are let through to the sort.
     share = {r[0]: (2 * docs_per_lang + 50) / r[1] for r in rows.groupBy(lang_col).count().collect()}
     if not share:
@@ -268,8 +268,8 @@ def training_sample(docs: DataFrame, text_col: str, lang_col: str, order: str, d
     return sorted((r[0], r[1]) for r in some.where(F.col("_place") <= docs_per_lang).select(lang_col, text_col).collect())
 
 
-def predict_language(docs: DataFrame, model: KneserNey | None, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """The kept columns of docs with lang_pred, score, entropy and rejected; one row per document.
+def predict_language(docs: DataFrame, model: KneserNey | None, text_col: str = "text", keep: list[str] | None = None, names: tuple[str, str, str, str] = ("lang_pred", "score", "entropy", "rejected")) -> DataFrame:
+    """The kept columns of docs with lang_pred, score, entropy and rejected, or other names for them; one row per document.
 
     lang_pred has the lowest cross-entropy per character over the text's words of letters; score
     is the calibrated probability of it. Lower case and words of letters only; a null or repeated id is passed through. Null texts and texts without a letter are `und` with
@@ -278,9 +278,9 @@ def predict_language(docs: DataFrame, model: KneserNey | None, text_col: str = "
     """
     keep = docs.columns if keep is None else keep
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(text_col).alias("_text"))
+    rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(text_col).alias("__tg_text"))
     kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]]
-    return rows.mapInArrow(_predict(shared), ", ".join([*kinds, "lang_pred string", "score double", "entropy double", "rejected boolean"]))
+    return rows.mapInArrow(_predict(shared, names), ", ".join([*kinds, *(f"{n} {t}" for n, t in zip(names, ("string", "double", "double", "boolean"), strict=True))]))
 
 
 def learnable(docs: DataFrame) -> DataFrame:

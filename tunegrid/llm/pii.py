@@ -137,15 +137,16 @@ def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", found_only:
 
     Every row is handled alone, so equal values stay linked across documents by the key and
     nothing is shuffled. Null texts stay null, texts without personal data stay as they are,
-    with an empty pii; found_only leaves those rows out. Other columns pass through.
+    with an empty pii; found_only leaves those rows out. Other columns pass through; one
+    named pii is replaced.
     """
     text = F.col(text_col)
     rows = docs.where(text.rlike(HINT) & text.rlike(ANY)) if found_only else docs
-    rows = rows.withColumn("_m", F.when(text.rlike(HINT), F.regexp_extract_all(text, F.lit(ANY), F.lit(0))))
-    rows = rows.withColumn("_p", F.transform("_m", lambda m: F.struct(m.alias("original"), pseudonym(m, key).alias("p"))))
-    rows = rows.withColumn("_gaps", F.when(F.size("_m") > 0, F.split(text, ANY, -1)))
-    pieces = F.transform(F.arrays_zip("_gaps", "_p"), lambda x: F.concat(x["_gaps"], F.coalesce(x["_p"]["p"]["value"], x["_p"]["original"], F.lit(""))))
-    pii = F.transform(F.filter("_p", lambda x: x["p"]["value"].isNotNull()), lambda x: F.struct(x["p"]["kind"].alias("kind"), x["original"].alias("original"), x["p"]["value"].alias("pseudonym")))
+    rows = rows.withColumn("__tg_m", F.when(text.rlike(HINT), F.regexp_extract_all(text, F.lit(ANY), F.lit(0))))
+    rows = rows.withColumn("__tg_p", F.transform("__tg_m", lambda m: F.struct(m.alias("original"), pseudonym(m, key).alias("p"))))
+    rows = rows.withColumn("__tg_gaps", F.when(F.size("__tg_m") > 0, F.split(text, ANY, -1)))
+    pieces = F.transform(F.arrays_zip("__tg_gaps", "__tg_p"), lambda x: F.concat(x["__tg_gaps"], F.coalesce(x["__tg_p"]["p"]["value"], x["__tg_p"]["original"], F.lit(""))))
+    pii = F.transform(F.filter("__tg_p", lambda x: x["p"]["value"].isNotNull()), lambda x: F.struct(x["p"]["kind"].alias("kind"), x["original"].alias("original"), x["p"]["value"].alias("pseudonym")))
     none = F.array().cast("array<struct<kind:string,original:string,pseudonym:string>>")
-    out = rows.withColumns({text_col: F.when(F.size("_m") > 0, F.array_join(pieces, "")).otherwise(text), "pii": F.coalesce(pii, none)}).drop("_m", "_p", "_gaps")
+    out = rows.withColumns({text_col: F.when(F.size("__tg_m") > 0, F.array_join(pieces, "")).otherwise(text), "pii": F.coalesce(pii, none)}).drop("__tg_m", "__tg_p", "__tg_gaps")
     return out.where(F.size("pii") > 0) if found_only else out

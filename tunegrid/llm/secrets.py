@@ -63,24 +63,24 @@ def _prefix_sums(sizes: Column) -> Column:
 
 def _with_matches(df: DataFrame, text: str, name: str, pattern: str, hint: str, group: int, least: int) -> DataFrame:
     """Adds column name: spans (start, end, token, length of the group) in code points of the matches whose group is long enough."""
-    found = df.withColumn("_m", F.when(F.col(text).rlike(hint), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))))
+    found = df.withColumn("__tg_m", F.when(F.col(text).rlike(hint), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))))
     found = found.withColumns(
         {
-            "_g": F.when(F.size("_m") > 0, F.regexp_extract_all(text, F.lit(pattern), F.lit(group))) if group else F.col("_m"),
-            "_gap": F.when(F.size("_m") > 0, F.slice(F.split(text, pattern, -1), 1, F.size("_m"))),
+            "__tg_g": F.when(F.size("__tg_m") > 0, F.regexp_extract_all(text, F.lit(pattern), F.lit(group))) if group else F.col("__tg_m"),
+            "__tg_gap": F.when(F.size("__tg_m") > 0, F.slice(F.split(text, pattern, -1), 1, F.size("__tg_m"))),
         }
     )
-    lengths = F.zip_with("_gap", "_m", lambda a, b: (F.length(a) + F.length(b)).cast("long"))
-    found = found.withColumn("_len", lengths).withColumn("_before", F.when(F.size("_m") > 0, _prefix_sums(F.col("_len"))))
+    lengths = F.zip_with("__tg_gap", "__tg_m", lambda a, b: (F.length(a) + F.length(b)).cast("long"))
+    found = found.withColumn("__tg_len", lengths).withColumn("__tg_before", F.when(F.size("__tg_m") > 0, _prefix_sums(F.col("__tg_len"))))
     # Zipped, so that no lambda refers to a column that the optimizer could move into it.
     spans = F.transform(
-        F.arrays_zip("_m", "_g", "_gap", "_len", "_before"),
+        F.arrays_zip("__tg_m", "__tg_g", "__tg_gap", "__tg_len", "__tg_before"),
         lambda x: F.struct(
-            (x["_before"] + F.length(x["_gap"])).alias("start"), (x["_before"] + x["_len"]).alias("end"), x["_m"].alias("token"), F.length(x["_g"]).alias("size")
+            (x["__tg_before"] + F.length(x["__tg_gap"])).alias("start"), (x["__tg_before"] + x["__tg_len"]).alias("end"), x["__tg_m"].alias("token"), F.length(x["__tg_g"]).alias("size")
         ),
     )
     spans = F.filter(spans, lambda x: x["size"] >= least)
-    return found.withColumn(name, F.coalesce(F.when(F.size("_m") > 0, spans), F.array().cast(_NO_SPANS))).drop("_m", "_g", "_gap", "_len", "_before")
+    return found.withColumn(name, F.coalesce(F.when(F.size("__tg_m") > 0, spans), F.array().cast(_NO_SPANS))).drop("__tg_m", "__tg_g", "__tg_gap", "__tg_len", "__tg_before")
 
 
 def _normal_tail(z: Column) -> Column:
@@ -126,12 +126,12 @@ def _battery(token: Column) -> Column:
 
 def _scanned(docs: DataFrame, text_col: str) -> DataFrame:
     """docs with columns _assign, _access, _hex (spans) and _cand: tested tokens outside them."""
-    out = docs.withColumn("_scan", F.coalesce(F.col(text_col), F.lit("")))
+    out = docs.withColumn("__tg_scan", F.coalesce(F.col(text_col), F.lit("")))
     for name, pattern, group, least in KINDS:
-        out = _with_matches(out, "_scan", f"_{name}", pattern, HINTS[name], group, least)
-    out = _with_matches(out, "_scan", "_cand", CANDIDATE, CANDIDATE_HINT, 0, 20)
-    known = F.concat("_assign", "_access", "_hex")
-    free = F.filter("_cand", lambda x: ~F.exists(known, lambda y: (y["start"] < x["end"]) & (x["start"] < y["end"])))
+        out = _with_matches(out, "__tg_scan", f"__tg_{name}", pattern, HINTS[name], group, least)
+    out = _with_matches(out, "__tg_scan", "__tg_cand", CANDIDATE, CANDIDATE_HINT, 0, 20)
+    known = F.concat("__tg_assign", "__tg_access", "__tg_hex")
+    free = F.filter("__tg_cand", lambda x: ~F.exists(known, lambda y: (y["start"] < x["end"]) & (x["start"] < y["end"])))
     tested = F.transform(free, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), _battery(x["token"]).alias("test")))
     keep = F.filter(tested, lambda x: x["test"]["bits"] >= MIN_BITS)
     ready = F.transform(
@@ -142,7 +142,7 @@ def _scanned(docs: DataFrame, text_col: str) -> DataFrame:
             F.least(F.lit(BINS), F.floor(x["test"]["neglog"] * 100)).cast("int").alias("bin"),
         ),
     )
-    return out.withColumn("_cand", F.when(F.size("_cand") > 0, ready)).drop("_scan")
+    return out.withColumn("__tg_cand", F.when(F.size("__tg_cand") > 0, ready)).drop("__tg_scan")
 
 
 def rejection_bins(counts: list[tuple[int, int, int]], rate: float = FALSE_RATE) -> dict[int, int]:
@@ -158,28 +158,29 @@ def rejection_bins(counts: list[tuple[int, int, int]], rate: float = FALSE_RATE)
     return least
 
 
-def find_secrets(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs with column secrets: array of (kind, start, end) by start and kind's place, in code points.
+def find_secrets(docs: DataFrame, text_col: str = "text", into: str = "secrets") -> DataFrame:
+    """docs with column `into`: array of (kind, start, end) by start and kind's place, in code points.
 
     Fixed kinds come first; METHOD adds tokens that overlap none of them. A first pass counts
     candidates by length class and p-value bin, at most CLASSES * (BINS + 1) counts, which give
     the thresholds of the second. Null and empty texts have no spans; rows are otherwise
-    independent, so repeated rows, null ids and other columns are passed through.
+    independent, so repeated rows, null ids and other columns are passed through; a column
+    already named `into` is replaced.
     """
     scanned = _scanned(docs, text_col)
-    counted = scanned.where(F.size("_cand") > 0).select(F.explode("_cand").alias("c")).groupBy("c.class", "c.bin").count().collect()
+    counted = scanned.where(F.size("__tg_cand") > 0).select(F.explode("__tg_cand").alias("c")).groupBy("c.class", "c.bin").count().collect()
     least = rejection_bins([tuple(r) for r in counted])
     bound = F.lit(BINS + 1)
     pick = lambda c: F.coalesce(*[F.when(c == k, F.lit(b)) for k, b in sorted(least.items())], bound) if least else bound
     def placed(column: Column | str, place: int) -> Column:
         return F.transform(column, lambda x: F.struct(x["start"].alias("start"), F.lit(place).alias("place"), x["end"].alias("end")))
 
-    spans = [placed(f"_{name}", k) for k, (name, *_) in enumerate(KINDS)]
-    flagged = F.filter(F.coalesce("_cand", F.array().cast("array<struct<start:bigint,end:bigint,class:int,bin:int>>")), lambda x: x["bin"] < pick(x["class"]))
+    spans = [placed(f"__tg_{name}", k) for k, (name, *_) in enumerate(KINDS)]
+    flagged = F.filter(F.coalesce("__tg_cand", F.array().cast("array<struct<start:bigint,end:bigint,class:int,bin:int>>")), lambda x: x["bin"] < pick(x["class"]))
     spans.append(placed(flagged, len(KINDS)))
     names = F.array(*[F.lit(n) for n, *_ in KINDS], F.lit(METHOD))
     secrets = F.transform(F.array_sort(F.concat(*spans)), lambda x: F.struct(F.get(names, x["place"]).alias("kind"), x["start"].alias("start"), x["end"].alias("end")))
-    return scanned.withColumn("secrets", secrets).drop("_cand", *[f"_{n}" for n, *_ in KINDS])
+    return scanned.withColumn(into, secrets).drop("__tg_cand", *[f"__tg_{n}" for n, *_ in KINDS])
 
 
 def span_text(spans: Column) -> Column:
@@ -188,10 +189,10 @@ def span_text(spans: Column) -> Column:
 
 def redact_secrets(docs: DataFrame, text_col: str = "text", mark: str = "<secret>") -> DataFrame:
     """docs with each secret span of the text replaced by mark; overlapping spans become one mark. Other columns stay."""
-    found = find_secrets(docs, text_col)
+    found = find_secrets(docs, text_col, "__tg_secrets")
     # Pieces between spans: the part from the furthest end so far to the next start.
     step = F.aggregate(
-        "secrets",
+        "__tg_secrets",
         F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at")),
         lambda a, x: F.struct(
             F.when(x["end"] <= a["at"], a["out"]).when(x["start"] < a["at"], a["out"]).otherwise(F.concat(a["out"], F.substring(F.col(text_col), (a["at"] + 1).cast("int"), (x["start"] - a["at"]).cast("int")), F.lit(mark))).alias("out"),
@@ -199,4 +200,4 @@ def redact_secrets(docs: DataFrame, text_col: str = "text", mark: str = "<secret
         ),
         lambda a: F.concat(a["out"], F.substring(F.col(text_col), (a["at"] + 1).cast("int"), F.length(F.col(text_col)))),
     )
-    return found.withColumn(text_col, F.when(F.size("secrets") > 0, step).otherwise(F.col(text_col))).drop("secrets")
+    return found.withColumn(text_col, F.when(F.size("__tg_secrets") > 0, step).otherwise(F.col(text_col))).drop("__tg_secrets")
