@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 MASKS = ("11101101", "11010111")
 #: Words of benchmark items hashed and broadcast at once; more items are handled in further blocks.
 BLOCK_WORDS = 500_000
+#: Positions of a document handled at once: a long text is cut into overlapping chunks, so that a row stays small.
+CHUNK = 256
 #: An aligned overlap counts if this share of the item's words agrees, or of some WINDOW words in a row.
 SHARE, WINDOW = 0.8, 25
 
@@ -26,8 +28,7 @@ def _seed(words: str, at: Column, mask: str) -> Column:
 
 def _seeds(words: str, at: Column, masks: list[str]) -> Column:
     """The hash of each mask that fits at a position."""
-    fits = [F.when(at + len(m) <= F.size(words), _seed(words, at, m)) for m in masks]
-    return F.array_compact(F.array(*fits)) if len({len(m) for m in masks}) > 1 else F.array(*fits)
+    return F.array(*[F.when(at + len(m) <= F.size(words), _seed(words, at, m)) for m in masks])
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -47,16 +48,16 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     items = benchmark.select(F.col(item_col).alias("item_id"), words_of(F.col(item_text)).alias("item")).where(F.size("item") > 0)
     items = items.withColumn("n", F.size("item"))
     spans = sorted({len(m) for m in MASKS})
-    sizes = items.groupBy(F.least("n", F.lit(spans[-1])).alias("n")).agg(F.sum("n").alias("words")).collect()
+    sizes = items.select("n", F.col("n").alias("item_n")).groupBy(F.least("n", F.lit(spans[-1])).alias("n")).agg(F.sum("item_n").alias("words"), F.max("item_n").alias("most")).collect()
     masks = [m for m in MASKS if any(r.n >= len(m) for r in sizes)] + ["1" * r.n for r in sorted(sizes) if r.n < spans[-1]]
     blocks = max(1, -(-sum(r.words for r in sizes) // BLOCK_WORDS))
-    found = [_hits(docs, items.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == b) if blocks > 1 else items, masks, id_col, text_col) for b in range(blocks)]
+    found = [_hits(docs, items.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == b) if blocks > 1 else items, masks, max([r.most for r in sizes], default=1), id_col, text_col) for b in range(blocks)]
     best = F.max(F.struct("matched", (-F.col("start_word")).alias("back"), "item_words"))
     hits = reduce(DataFrame.unionByName, found).groupBy("doc_id", "item_id").agg(best.alias("b"))
     return hits.select("doc_id", "item_id", "b.matched", "b.item_words", (-F.col("b.back")).alias("start_word"))
 
 
-def _hits(docs: DataFrame, items: DataFrame, masks: list[str], id_col: str, text_col: str) -> DataFrame:
+def _hits(docs: DataFrame, items: DataFrame, masks: list[str], reach: int, id_col: str, text_col: str) -> DataFrame:
     spots = items.select("item_id", "item", "n", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("item_at"))
     # A short item is found by the mask of its whole length only.
     usable = [m for m in masks]
@@ -65,12 +66,15 @@ def _hits(docs: DataFrame, items: DataFrame, masks: list[str], id_col: str, text
     rows = docs.select(F.col(id_col).alias("doc_id"), words_of(F.col(text_col)).alias("words"))
     if not usable:
         usable = [MASKS[0]]
-    least = min(map(len, usable))
-    spread = rows.where(F.size("words") >= least).select("doc_id", "words", F.explode(F.sequence(F.lit(0), F.size("words") - least)).alias("at"))
-    spread = spread.select("doc_id", "words", "at", F.explode(_seeds("words", F.col("at"), usable)).alias("seed"))
-    hits = spread.join(F.broadcast(seeds), "seed").select("doc_id", "item_id", (F.col("at") - F.col("item_at")).alias("start_word"), F.col("n").alias("item_words"), "words")
-    part = F.slice("words", F.greatest(F.col("start_word"), F.lit(0)) + 1, F.col("item_words") + F.least(F.col("start_word"), F.lit(0)))
-    hits = hits.select("doc_id", "item_id", "start_word", "item_words", part.alias("part"))
+    # A chunk has its positions' words, and those that an item aligned there may reach on either side.
+    step, past = max(CHUNK, reach), reach + max(map(len, usable))
+    chunk = lambda b: F.struct(b.alias("base"), F.least(b, F.lit(reach)).alias("lead"), F.slice(F.col("words"), F.greatest(b - reach, F.lit(0)) + 1, F.least(b, F.lit(reach)) + step + past).alias("words"))
+    chunks = rows.where(F.size("words") > 0).select("doc_id", F.explode(F.transform(F.sequence(F.lit(0), F.size("words") - 1, F.lit(step)), chunk)).alias("c")).select("doc_id", "c.base", "c.lead", "c.words")
+    spread = chunks.select("doc_id", "base", "words", F.explode(F.sequence(F.col("lead"), F.least(F.col("lead") + step, F.size("words")) - 1)).alias("at"), "lead")
+    spread = spread.select("doc_id", (F.col("base") - F.col("lead")).alias("shift"), "words", "at", F.explode(_seeds("words", F.col("at"), usable)).alias("seed"))
+    hits = spread.join(F.broadcast(seeds), "seed").select("doc_id", "item_id", "shift", (F.col("at") - F.col("item_at")).alias("from"), F.col("n").alias("item_words"), "words")
+    part = F.slice("words", F.greatest(F.col("from"), F.lit(0)) + 1, F.col("item_words") + F.least(F.col("from"), F.lit(0)))
+    hits = hits.select("doc_id", "item_id", (F.col("from") + F.col("shift")).alias("start_word"), "item_words", part.alias("part"))
     hits = hits.join(F.broadcast(items.select("item_id", "item")), "item_id")
     aligned = F.slice("item", F.greatest(-F.col("start_word"), F.lit(0)) + 1, F.size("part"))
     hits = hits.withColumn("same", F.zip_with("part", aligned, lambda a, b: (a == b).cast("int")))
