@@ -12,8 +12,8 @@ from pyspark.sql.types import StringType
 
 # Month names in order, and category labels with their release type.
 MONTHS = ["january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december"]
-#: Two-digit years up to this count as 2000s: the current year's plus five.
-PIVOT = 6
+#: Two-digit years up to this count as 2000s, later ones as 1900s.
+PIVOT = 30
 
 
 def squeeze(text: str | Column) -> Column:

@@ -58,7 +58,7 @@ register("duration_parse", lambda c: text.durations(c.raw("lineitem")), """
       SELECT *, CASE WHEN len(p) = 3 THEN try_cast(p[1] AS BIGINT) END AS h, try_cast(p[len(p) - 1] AS BIGINT) AS m, try_cast(p[len(p)] AS BIGINT) AS s FROM (
         SELECT *, string_split(raw, ':') AS p FROM (SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber % 2 = 0 THEN (l_linenumber % 3) || ':' ELSE '' END || (l_partkey % 70) || ':' || lpad((l_quantity::BIGINT + 12)::VARCHAR, 2, '0') AS raw FROM lineitem)))""")
 register("date_parse", lambda c: text.spoken_dates(c.raw("orders")), r"""
-    SELECT o_orderkey, raw, make_date(yy + CASE WHEN yy > 6 THEN 1900 ELSE 2000 END, m, d) AS parsed FROM (
+    SELECT o_orderkey, raw, make_date(yy + CASE WHEN yy > 30 THEN 1900 ELSE 2000 END, m, d) AS parsed FROM (
       SELECT o_orderkey, strftime(o_orderdate, '%B ') || d || CASE WHEN d IN (1, 21, 31) THEN 'st' WHEN d IN (2, 22) THEN 'nd' WHEN d IN (3, 23) THEN 'rd' ELSE 'th' END || strftime(o_orderdate, ' %y') AS raw, d, m, yy FROM (
         SELECT *, day(o_orderdate) AS d, month(o_orderdate) AS m, year(o_orderdate) % 100 AS yy FROM orders))""")
 register("error_class", lambda c: c.raw("conversations").select("conv_id", "turn", text.error_class("text").alias("kind")), """

@@ -203,7 +203,7 @@ def soundoff_rows(html: str, url: str) -> Iterator[dict]:
     entry = lambda t: t.kind == "open" and t.name == "table" and "border-bottom:1px dotted" in t.attrs.get("style", "")
     box = box or []
     starts = [k for k, t in enumerate(box) if entry(t)]
-    for k, end in zip(starts, [*starts[1:], len(box)], strict=True):
+    for k, end in zip(starts, [*starts[1:], len(box)], strict=False):
         head = element(box, k)
         rest = box[k + len(head) + 1 : end]
         score, label = first(head, tagged("font", "reviewheading")), first(head, tagged("font", "mediumtext"))
