@@ -115,3 +115,21 @@ def test_rating_stream_upserts(spark, tmp_path):
     rows.write.parquet(str(tmp_path / "in"))
     ratings.upsert_ratings(ratings.file_stream(spark, str(tmp_path / "in"), schema), str(tmp_path / "t"), str(tmp_path / "c")).awaitTermination(60)
     assert spark.read.parquet(str(tmp_path / "t/v0")).count() == 1
+
+
+def test_random_unseen_walks_the_ring_as_a_full_sort_would(spark):
+    from tunegrid.operators.fusion import random_unseen
+
+    users = spark.createDataFrame([(u,) for u in (0, 1, 7, 123456, 999983)], "id_user long")
+    # Equal parts: ids that differ by the modulus tie, and the lower comes first.
+    ids = [0, 1, 2, 3, 5, 8, 13, 1000003, 1000004, 77777, 500000, 900001]
+    releases = spark.createDataFrame([(r,) for r in ids], "id_release long")
+    seen = {(1, r) for r in ids} | {(7, r) for r in ids[:9]} | {(0, 5)}
+    inter = spark.createDataFrame(sorted(seen), "id_user long, id_release long")
+    got = {}
+    for u, rank, r in random_unseen(users, inter, releases, 4, 3).select("id_user", "rank", "id_release").collect():
+        got.setdefault(u, {})[rank] = r
+    for u in (0, 1, 7, 123456, 999983):
+        order = sorted((r for r in ids if (u, r) not in seen), key=lambda r: ((u * 2654435761 + r * 40503 + 3 * 97) % 1000003, r))[:4]
+        assert got.get(u, {}) == dict(enumerate(order, 1))
+    assert random_unseen(users, inter, releases.where("false")).count() == 0

@@ -37,15 +37,45 @@ def popular_unseen(users: DataFrame, interactions: DataFrame, releases: DataFram
     return rows.select("id_user", F.posexplode(best).alias("pos", "id_release")).select("id_user", (F.col("pos") + 1).cast("long").alias("rank"), "id_release")
 
 
+#: Fixed values of the seeded draw: factors of user and release, factor of the seed, modulus.
+USER_STEP, ITEM_STEP, SEED_STEP, RING = 2654435761, 40503, 97, 1000003
+#: Width of a stretch of the ring whose releases are numbered by one task group.
+STRETCH = 1000
+
+
 def portable_hash(user: Column, item: Column, seed: int = 97) -> Column:
-    return F.pmod(user * 2654435761 + item * 40503 + seed * 97, F.lit(1000003))
+    return F.pmod(user * USER_STEP + item * ITEM_STEP + seed * SEED_STEP, F.lit(RING))
 
 
 def random_unseen(users: DataFrame, interactions: DataFrame, releases: DataFrame, limit: int = 9, seed: int = 97) -> DataFrame:
-    """A seeded draw: the releases of least hash with the user, among the unseen of the limit + history first by that hash."""
-    rows = users.select("id_user").crossJoin(F.broadcast(releases.select("id_release")))
+    """(id_user, rank, id_release): per user the unseen releases of least hash, a seeded draw; ties go to the lower id.
+
+    The hash is a sum modulo RING of a user's and a release's part, so every user meets the
+    releases in one cyclic order, from an own place on. Of limit + history releases from that
+    place on at least limit are unseen, so a user meets only those: the work grows with
+    users * limit + interactions, not with users * releases.
+    """
+    stretch = F.floor(F.col("h") / STRETCH)
+    ring = releases.select("id_release", F.pmod(F.col("id_release") * ITEM_STEP, F.lit(RING)).alias("h")).withColumn("stretch", stretch)
+    # One row for each of the RING / STRETCH + 1 stretches, those without releases too.
+    sizes = releases.sparkSession.range(RING // STRETCH + 1).withColumnRenamed("id", "stretch").join(ring.groupBy("stretch").agg(F.count("*").alias("n")), "stretch", "left").fillna(0, ["n"])
+    offsets = F.broadcast(sizes.select("stretch", (F.sum("n").over(Window.orderBy("stretch")) - F.col("n")).alias("before")))
+    within = Window.partitionBy("stretch").orderBy("h", "id_release")
+    placed = ring.withColumn("within", F.row_number().over(within) - 1).join(offsets, "stretch").select("id_release", (F.col("before") + F.col("within")).alias("place"))
+    total = releases.count()
+    if not total:
+        return users.select("id_user", F.lit(1).cast("long").alias("rank"), F.lit(None).cast("long").alias("id_release")).where("false")
+    # A user starts at the first release whose part is not below h: the number of releases before it.
+    starts = users.select("id_user", F.pmod(-(F.col("id_user") * USER_STEP + seed * SEED_STEP), F.lit(RING)).alias("h")).withColumn("stretch", stretch)
+    marks = starts.select("stretch", "h", F.lit(0).alias("is_release"), "id_user").unionByName(ring.select("stretch", "h", F.lit(1).alias("is_release"), F.lit(None).cast("long").alias("id_user")))
+    so_far = F.sum("is_release").over(Window.partitionBy("stretch").orderBy("h", "is_release").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    started = marks.withColumn("within", so_far).where("is_release = 0").join(offsets, "stretch").select("id_user", (F.col("before") + F.col("within")).alias("start"))
+    history = interactions.groupBy("id_user").agg(F.count_distinct("id_release").alias("n_seen"))
+    met = started.join(history, "id_user", "left").withColumn("met", F.least(F.lit(total), limit + F.coalesce("n_seen", F.lit(0))))
+    met = met.select("id_user", "start", F.explode(F.sequence(F.lit(0).cast("long"), F.col("met") - 1)).alias("turn"))
+    rows = met.withColumn("place", F.pmod(F.col("start") + F.col("turn"), F.lit(total))).join(placed, "place").select("id_user", "turn", "id_release")
     rows = rows.join(interactions.select("id_user", "id_release"), ["id_user", "id_release"], "left_anti")
-    return top_per_user(rows, limit, portable_hash(F.col("id_user"), F.col("id_release"), seed).asc(), F.asc("id_release"))
+    return top_per_user(rows, limit, F.asc("turn")).select("id_user", "rank", "id_release")
 
 
 def linear_scores(ranked: DataFrame) -> DataFrame:
