@@ -33,7 +33,9 @@ def popular_unseen(users: DataFrame, interactions: DataFrame, releases: DataFram
     rows = users.select("id_user").join(seen, "id_user", "left")
     most = seen.agg(F.coalesce(F.max(F.size("seen")), F.lit(0))).first()[0]
     top = [r[0] for r in releases.orderBy(*popularity_order()).limit(limit + most).select("id_release").collect()]
-    best = F.slice(F.array_except(F.lit(top).cast("array<bigint>"), F.coalesce("seen", F.array().cast("array<bigint>"))), 1, limit)
+    own = F.coalesce("seen", F.array().cast("array<bigint>"))
+    # Each user's own history bounds the part of the list that can matter to them.
+    best = F.slice(F.array_except(F.slice(F.lit(top).cast("array<bigint>"), F.lit(1), F.size(own) + limit), own), 1, limit)
     return rows.select("id_user", F.posexplode(best).alias("pos", "id_release")).select("id_user", (F.col("pos") + 1).cast("long").alias("rank"), "id_release")
 
 
