@@ -1,9 +1,9 @@
 """Secret scans with DataFrame functions: fixed patterns, and a randomness test battery for other tokens.
 
 A candidate token is judged against the hypothesis that its characters are independent and
-uniform over the alphabet its encoding implies. Three tests (chi-squared of the character
-counts, runs above and below the alphabet's middle, lag-one serial correlation) give normal
-scores; the largest of them gives a p-value, corrected for three tests. Natural and patterned
+uniform over the alphabet its encoding implies. Four tests (chi-squared of the character
+counts, runs above and below the alphabet's middle, lag-one serial correlation, excess of
+common letters) give normal scores; the largest of them gives a p-value, corrected for their seven tails. Natural and patterned
 tokens fail. Tokens that the Benjamini-Hochberg procedure, run within classes of equal length,
 does not reject are reported, if they carry MIN_BITS.
 """
@@ -23,14 +23,17 @@ KINDS = [
 ]
 #: What a text must have for a kind's pattern to be worth splitting it.
 HINTS = {"assign": KINDS[0][1], "access": r"AKIA[A-Z0-9]{16}", "hex": r"[0-9a-f]{24}"}
-CANDIDATE = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_-]{0,40}[0-9])(?=[0-9+/_-]{0,40}[A-Za-z])[A-Za-z0-9+/_-]{20,}={0,2}(?![A-Za-z0-9+/_=-])"
+#: A whole run of the alphabet's characters; `=` belongs to it only as padding at its end.
+CANDIDATE = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}+(?:={1,2}(?![A-Za-z0-9+/_=-]))?"
 CANDIDATE_HINT = r"[A-Za-z0-9+/_-]{20}"
 METHOD = "random"
 MIN_BITS = 80.0
 FALSE_RATE = 0.01
 #: Bins of -log10(p) in hundredths, and classes of length in doublings: the size of the counted table.
 BINS, CLASSES = 1600, 24
-_ENCODINGS = [("^[0-9a-f]+$", "0123456789abcdef"), ("^[0-9A-F]+$", "0123456789ABCDEF"), ("^[A-Z2-7]+=*$", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"), ("^[a-z0-9]+$", "0123456789abcdefghijklmnopqrstuvwxyz"), ("^[A-Z0-9]+$", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"), ("^[A-Za-z0-9]+=*$", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"), ("", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz+/-_")]
+_ENCODINGS = [("^[0-9]+$", "0123456789"), ("^[0-9a-f]+$", "0123456789abcdef"), ("^[0-9A-F]+$", "0123456789ABCDEF"), ("^[A-Z2-7]+=*$", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"), ("^[a-z0-9]+$", "0123456789abcdefghijklmnopqrstuvwxyz"), ("^[A-Z0-9]+$", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"), ("^[A-Za-z0-9]+=*$", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"), ("", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz+/-_")]
+#: Letters that make up most of a natural word, and a quarter of a random token.
+_COMMON = "etaoinsrETAOINSR"
 _NO_SPANS = "array<struct<start:bigint,end:bigint,token:string,size:int>>"
 
 
@@ -88,6 +91,10 @@ def _normal_tail(z: Column) -> Column:
     return (z * z / 2 + F.log(z + F.sqrt(z * z + F.lit(2.546479089470325))) + F.lit(0.2257913526447274)) / F.lit(2.302585092994046)
 
 
+def _common(text: Column) -> Column:
+    return F.length(text) - F.length(F.translate(text, _COMMON, ""))
+
+
 def _battery(token: Column) -> Column:
     """(bits, neglog) of a token: its information under its alphabet, and -log10 of its p-value."""
     body = F.regexp_replace(token, "=+$", "")
@@ -108,18 +115,20 @@ def _battery(token: Column) -> Column:
         middle = (k - 1) / 2
         serial = F.aggregate(F.zip_with(F.slice(s["at"], 2, F.size(s["at"]) - 1), F.slice(s["at"], 1, F.size(s["at"]) - 1), lambda a, b: (a - middle) * (b - middle)), F.lit(0.0), _add)
         z_serial = F.abs(serial) / (F.sqrt(n - 1) * (k * k - 1) / 12)
-        neglog = F.greatest(F.lit(0.0), _normal_tail(F.greatest(z_chi, z_runs, z_serial)) - F.lit(0.7781512503836436))
+        z_common = F.when(s["share"] > 0, F.greatest(F.lit(0.0), (s["common"] - n * s["share"]) / F.sqrt(n * s["share"] * (1 - s["share"])))).otherwise(0.0)
+        neglog = F.greatest(F.lit(0.0), _normal_tail(F.greatest(z_chi, z_runs, z_serial, z_common)) - F.lit(0.8450980400142568))
         return F.struct((n * F.log2(k)).alias("bits"), neglog.alias("neglog"))
 
     def counted(s: Column) -> Column:
         n, k = F.size(s["at"]).cast("double"), F.length(s["alphabet"]).cast("double")
         # Cells of equal size keep the chi-squared statistic's normal form usable on short tokens.
         cells = F.least(k, F.greatest(F.lit(4.0), F.floor(n / 3)))
-        return F.struct(s["at"].alias("at"), n.alias("n"), k.alias("k"), cells.alias("cells"), F.transform(s["at"], lambda v: F.floor(v * cells / k)).alias("cell"))
+        common, share = _common(s["body"]).cast("double"), _common(s["alphabet"]) / k
+        return F.struct(s["at"].alias("at"), n.alias("n"), k.alias("k"), common.alias("common"), share.alias("share"), cells.alias("cells"), F.transform(s["at"], lambda v: F.floor(v * cells / k)).alias("cell"))
 
     spelled = let(
         F.struct(body.alias("body"), alphabet.alias("alphabet")),
-        lambda s: F.struct(s["alphabet"].alias("alphabet"), F.transform(F.split(s["body"], ""), lambda c: (F.instr(s["alphabet"], c) - 1).cast("double")).alias("at")),
+        lambda s: F.struct(s["body"].alias("body"), s["alphabet"].alias("alphabet"), F.transform(F.split(s["body"], ""), lambda c: (F.instr(s["alphabet"], c) - 1).cast("double")).alias("at")),
     )
     return let(let(spelled, counted), tested)
 
