@@ -3,6 +3,8 @@
 import random
 import string
 
+from pyspark.sql import functions as F
+
 from tunegrid.llm import secrets
 
 NATURAL = ["internationalization", "zentralheizungsanlage", "anticonstitutionnellement", "donaudampfschifffahrtsgesellschaft", "ThisIsACamelCaseIdentifier", "PRIVATE_KEY_FOR_PRODUCTION", "/usr/local/lib/python3/dist-packages", "-" * 30]
@@ -20,3 +22,14 @@ def test_secrets_behind_equals_signs_and_without_digits(spark):
     assert not any(got[25 + k] for k in range(len(NATURAL)))
     done = secrets.redact_secrets(spark.createDataFrame([(texts[0],), (texts[1],)], "text string")).collect()
     assert sorted(r.text for r in done) == ["PRIVATE_KEY=<secret>", "https://a.example/f?sig=<secret>&x=1"]
+
+
+def test_battery_rejects_few_random_tokens_of_any_length(spark):
+    rng = random.Random(8)
+    hexa, plain = "0123456789ABCDEF", string.digits + string.ascii_letters
+    cases = [(hexa, n) for n in (20, 23, 40)] + [("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 32), (plain, 20), (plain, 150)] + [(plain + "+/", n) for n in (43, 150, 172, 1000, 1600, 2300)] + [(plain + "-_", 150)]
+    each = 60
+    tokens = [(k, "".join(rng.choices(letters, k=n))) for k, (letters, n) in enumerate(cases) for _ in range(each)]
+    rows = spark.createDataFrame(tokens, "k int, t string").repartition(8).select("k", secrets._battery(F.col("t"))["neglog"].alias("neglog")).collect()
+    low = [sum(r.neglog > 2 for r in rows if r.k == k) for k in range(len(cases))]
+    assert max(low) <= 5 and sum(low) <= 0.02 * len(rows), low

@@ -31,7 +31,7 @@ MIN_BITS = 80.0
 FALSE_RATE = 0.01
 #: Bins of -log10(p) in hundredths, and classes of length in doublings: the size of the counted table.
 BINS, CLASSES = 1600, 24
-_ENCODINGS = [("^[0-9]+$", "0123456789"), ("^[0-9a-f]+$", "0123456789abcdef"), ("^[0-9A-F]+$", "0123456789ABCDEF"), ("^[A-Z2-7]+=*$", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"), ("^[a-z0-9]+$", "0123456789abcdefghijklmnopqrstuvwxyz"), ("^[A-Z0-9]+$", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"), ("^[A-Za-z0-9]+=*$", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"), ("", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz+/-_")]
+_ENCODINGS = [("^[0-9]+$", "0123456789"), ("^[0-9a-f]+$", "0123456789abcdef"), ("^[0-9A-F]+$", "0123456789ABCDEF"), ("^[A-Z2-7]+=*$", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"), ("^[a-z0-9]+$", "0123456789abcdefghijklmnopqrstuvwxyz"), ("^[A-Z0-9]+$", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"), ("^[A-Za-z0-9]+=*$", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"), ("^[A-Za-z0-9+/]+=*$", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz+/"), ("^[A-Za-z0-9_-]+=*$", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz-_"), ("", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz+/-_")]
 #: Letters that make up most of a natural word, and a quarter of a random token.
 _COMMON = "etaoinsrETAOINSR"
 _NO_SPANS = "array<struct<start:bigint,end:bigint,token:string,size:int>>"
@@ -104,8 +104,13 @@ def _battery(token: Column) -> Column:
 
     def tested(s: Column) -> Column:
         n, k, cells, cell = s["n"], s["k"], s["cells"], s["cell"]
-        chi = F.aggregate(F.array_distinct(cell), F.lit(0.0), lambda a, c: a + F.pow(F.size(F.filter(cell, lambda x: x == c)).cast("double"), F.lit(2.0))) * cells / n - n
-        z_chi = F.abs(chi - (cells - 1)) / F.sqrt(2 * (cells - 1) * (n - 1) / n)
+        held = lambda c: F.ceil((c + 1) * k / cells) - F.ceil(c * k / cells)
+        chi = F.aggregate(F.array_distinct(cell), F.lit(0.0), lambda a, c: a + F.pow(F.size(F.filter(cell, lambda x: x == c)).cast("double"), F.lit(2.0)) / held(c)) * k / n - n
+        inverse = F.aggregate(F.sequence(F.lit(0), cells.cast("int") - 1), F.lit(0.0), lambda a, c: a + k / held(c))
+        spread_chi = 2 * (cells - 1) * (n - 1) / n + (inverse - cells * cells) / n
+        # Wilson-Hilferty for the gamma distribution of this mean and variance: the plain score's tail is too heavy.
+        flat = spread_chi / (9 * (cells - 1) * (cells - 1))
+        z_chi = F.abs(F.cbrt(chi / (cells - 1)) - (1 - flat)) / F.sqrt(flat)
         high = F.transform(s["at"], lambda v: (v >= k / 2).cast("int"))
         up = F.aggregate(high, F.lit(0), _add).cast("double")
         runs = 1 + F.aggregate(F.zip_with(F.slice(high, 2, F.size(high) - 1), F.slice(high, 1, F.size(high) - 1), lambda a, b: (a != b).cast("int")), F.lit(0), _add).cast("double")
@@ -121,7 +126,7 @@ def _battery(token: Column) -> Column:
 
     def counted(s: Column) -> Column:
         n, k = F.size(s["at"]).cast("double"), F.length(s["alphabet"]).cast("double")
-        # Cells of equal size keep the chi-squared statistic's normal form usable on short tokens.
+        # Cells of some three characters each keep the chi-squared statistic usable on short tokens; they may differ by one symbol.
         cells = F.least(k, F.greatest(F.lit(4.0), F.floor(n / 3)))
         common, share = _common(s["body"]).cast("double"), _common(s["alphabet"]) / k
         return F.struct(s["at"].alias("at"), n.alias("n"), k.alias("k"), common.alias("common"), share.alias("share"), cells.alias("cells"), F.transform(s["at"], lambda v: F.floor(v * cells / k)).alias("cell"))
