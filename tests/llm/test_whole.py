@@ -5,7 +5,7 @@ import string
 
 from pyspark.sql import functions as F
 
-from tunegrid.llm import secrets
+from tunegrid.llm import licenses, secrets
 
 NATURAL = ["internationalization", "zentralheizungsanlage", "anticonstitutionnellement", "donaudampfschifffahrtsgesellschaft", "ThisIsACamelCaseIdentifier", "PRIVATE_KEY_FOR_PRODUCTION", "/usr/local/lib/python3/dist-packages", "-" * 30]
 
@@ -33,3 +33,41 @@ def test_battery_rejects_few_random_tokens_of_any_length(spark):
     rows = spark.createDataFrame(tokens, "k int, t string").repartition(8).select("k", secrets._battery(F.col("t"))["neglog"].alias("neglog")).collect()
     low = [sum(r.neglog > 2 for r in rows if r.k == k) for k in range(len(cases))]
     assert max(low) <= 5 and sum(low) <= 0.02 * len(rows), low
+
+
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License."""
+GPL = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details."""
+BSD = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution."""
+
+
+def test_verbatim_licence_notices(spark):
+    texts = [APACHE, GPL, GPL.replace("software:", "software;"), BSD, "// SPDX-License-Identifier: MIT", "SPDX-License-Identifier: Apache-2.0\nx = 1", "SPDX-License-Identifier: GPL-3.0-only"]
+    rows = licenses.scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    got = {r.doc_id: (r.licenses, r.n_sentences) for r in rows}
+    assert got == {0: ("Apache-2.0", 4), 1: ("GPL-3.0-or-later", 2), 2: ("GPL-3.0-or-later", 2), 3: ("BSD-2-Clause", 3), 4: ("MIT", 1), 5: ("Apache-2.0", 1), 6: ("GPL-3.0-only", 1)}

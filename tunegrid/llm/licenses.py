@@ -7,6 +7,8 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tunegrid.llm.secrets import let
+
 # Identifier and wording of known licence sentences, as normalised text.
 SENTENCES = {
     "apache2-name": "licensed under the apache license version 2 0",
@@ -53,21 +55,33 @@ HINTS = ["licen", "reserved", "permission", "free software", "warrant", "redistr
 END = r"([.!?:;])[\t ]+"
 
 
+#: A term that headers define on the way; no known sentence has it.
+TERM = r"(?i)\(the [\"“']?license[\"”']?\)"
+#: Pieces that a known sentence may run over: `:`, `;` and blank lines also stand inside sentences.
+SPAN = 3
+
+
 def normal(sentence: Column) -> Column:
-    return F.trim(F.regexp_replace(F.lower(sentence), "[^a-z0-9]+", " "))
+    return F.trim(F.regexp_replace(F.lower(F.regexp_replace(sentence, TERM, " ")), "[^a-z0-9]+", " "))
 
 
 def _marks(pieces: Column, numbers: dict[str, int]) -> Column:
-    """The known sentences' numbers in order of appearance."""
+    """The known sentences' numbers in order of appearance; a sentence may run over SPAN pieces."""
     known = F.create_map(*[F.lit(x) for text, n in numbers.items() for x in (text, n)])
-    return F.array_compact(F.transform(pieces, lambda s: F.try_element_at(known, normal(s))))
+    longest = max(map(len, numbers))
+
+    def found(s: Column) -> Column:
+        joined = lambda i, k: F.try_element_at(known, F.array_join(F.slice(s, i + 1, F.lit(k)), " "))
+        return F.transform(s, lambda x, i: F.coalesce(F.try_element_at(known, x), *[F.when(F.length(x) < longest, joined(i, k)) for k in range(2, SPAN + 1)]))
+
+    return F.array_compact(let(F.filter(F.transform(pieces, normal), lambda x: x != ""), found))
 
 
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sentences: dict[str, str] | None = None, rules: list | None = None) -> DataFrame:
     """(doc_id, licenses, sentences, n_sentences): one row per document with a known licence sentence.
 
     Texts are cut at sentence ends and lines, and once more with lines joined inside paragraphs
-    for wrapped notices. Normalised sentences (lower case, letters and digits only) become
+    for wrapped notices; a known sentence may run over SPAN pieces of a cut. Normalised sentences (lower case, letters and digits only) become
     identifiers; a rule holds if its identifiers follow one another in that sequence. licenses
     has the sorted distinct licences of the rules that hold, sentences the identifiers in order
     (of the cut that finds more), both comma-joined; licenses is empty if sentences complete no rule.
