@@ -5,7 +5,7 @@ import string
 
 from pyspark.sql import functions as F
 
-from tunegrid.llm import licenses, secrets
+from tunegrid.llm import licenses, secrets, url_filter
 
 NATURAL = ["internationalization", "zentralheizungsanlage", "anticonstitutionnellement", "donaudampfschifffahrtsgesellschaft", "ThisIsACamelCaseIdentifier", "PRIVATE_KEY_FOR_PRODUCTION", "/usr/local/lib/python3/dist-packages", "-" * 30]
 
@@ -71,3 +71,14 @@ def test_verbatim_licence_notices(spark):
     rows = licenses.scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
     got = {r.doc_id: (r.licenses, r.n_sentences) for r in rows}
     assert got == {0: ("Apache-2.0", 4), 1: ("GPL-3.0-or-later", 2), 2: ("GPL-3.0-or-later", 2), 3: ("BSD-2-Clause", 3), 4: ("MIT", 1), 5: ("Apache-2.0", 1), 6: ("GPL-3.0-only", 1)}
+
+
+
+def test_unlabelled_hosts_back_off(spark):
+    rows = [(k, f"http://h{k % 20}.bad.net/p") for k in range(400)] + [(1000 + k, f"http://h{k % 20}.ok.com/p") for k in range(400)]
+    new = [(2000, "http://new.bad.net/p"), (2001, "http://new.other.net/p"), (2002, "http://new.ok.com/p"), (2003, "http://new.xyz/p")]
+    pages = spark.createDataFrame(rows + new, "page_id long, url string")
+    labels = spark.createDataFrame([(k, int(k < 1000 and k // 20 % 10 > 0)) for k, _ in rows], "page_id long, bad int")
+    got = {r.page_id: (r.verdict, r.bound) for r in url_filter.filter_urls(pages, labels, []).collect()}
+    assert len(got) == len(rows) + len(new)
+    assert got[2000] == ("block", None) and got[2001][0] == "block" and got[2002] == ("allow", None) and got[2003] == ("allow", None)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tunegrid.llm.common import staged
+
 # Fixed values: (verdict, host, path) of the rules.
 RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
 #: A host is blocked when the lower bound of its share of bad pages, Z deviations below the mean, exceeds LIMIT.
@@ -39,30 +41,40 @@ def _strength(level: DataFrame, mean: str) -> Column:
     return level.agg((1 / F.greatest(F.lit(RHO[0]), F.least(F.lit(RHO[1]), F.coalesce(rho, F.lit(0.0)))) - 1).alias("strength"))
 
 
-def host_reputation(outcomes: DataFrame) -> DataFrame:
-    """(host, suffix, domain, alpha, beta) posteriors from outcomes (host, bad 0/1), for labelled hosts.
+def host_reputation(outcomes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Posteriors from outcomes (host, bad 0/1): (host, suffix, domain, alpha, beta) of labelled hosts, then the priors
+    (domain, alpha, beta), (suffix, alpha, beta) and one row (alpha, beta) of hosts that have no labels.
 
     The share of bad pages of a suffix is shrunk to the overall share, of a registered domain
     (last two labels) to its suffix's, and of a host to its domain's. Each level's strength is
-    the moment estimate of its beta-binomial. Rows are summed by host before anything is joined.
+    the moment estimate of its beta-binomial; a prior has that of the level below its mean. Rows are summed by host before anything is joined.
     """
     hosts = outcomes.groupBy("host").agg(F.count("*").alias("n"), F.sum(F.col("bad").cast("long")).alias("bad")).withColumns(names_of("host"))
+    hosts = staged(hosts, "hosts")
     overall = hosts.agg((F.sum("bad") / F.sum("n")).alias("overall"))
 
     def level(key: str, parents: DataFrame, link: list[str], mean: str) -> DataFrame:
         groups = hosts.groupBy(key, *[c for c in ("suffix",) if key == "domain"]).agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")) if key != "host" else hosts
         groups = groups.crossJoin(F.broadcast(parents)) if not link else groups.join(parents, link)
-        return groups.crossJoin(F.broadcast(_strength(groups, mean)))
+        # One number each; as a join, every level would double the plan of the one above.
+        return groups.withColumn("strength", F.lit(_strength(groups, mean).first()[0]))
 
     shrunk = lambda mean: ((F.col("bad") + F.col("strength") * F.col(mean)) / (F.col("n") + F.col("strength")))
-    suffixes = level("suffix", overall, [], "overall").select("suffix", shrunk("overall").alias("suffix_mean"))
-    domains = level("domain", suffixes, ["suffix"], "suffix_mean").select("domain", shrunk("suffix_mean").alias("domain_mean"))
+    top = level("suffix", overall, [], "overall")
+    suffixes = top.select("suffix", shrunk("overall").alias("suffix_mean"))
+    middle = level("domain", suffixes, ["suffix"], "suffix_mean")
+    domains = middle.select("domain", shrunk("suffix_mean").alias("domain_mean"))
     found = level("host", domains, ["domain"], "domain_mean")
+
+    def prior(groups: DataFrame, key: list[str], mean: str) -> DataFrame:
+        return groups.groupBy(*key).agg(F.max(F.col("strength") * F.col(mean)).alias("alpha"), F.max(F.col("strength") * (1 - F.col(mean))).alias("beta"))
+
+    priors = prior(found, ["domain"], "domain_mean"), prior(middle, ["suffix"], "suffix_mean"), prior(top, [], "overall")
     return found.select(
         "host", "suffix", "domain",
         (F.col("bad") + F.col("strength") * F.col("domain_mean")).alias("alpha"),
         (F.col("n") - F.col("bad") + F.col("strength") * (1 - F.col("domain_mean"))).alias("beta"),
-    )
+    ), *priors
 
 
 def names_of(host: str) -> dict[str, Column]:
@@ -73,20 +85,27 @@ def filter_urls(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str,
     """(page_id, host, path, rule, verdict, bound): one row per page.
 
     labels (page_id, bad 0/1) are the labelled pages; several labels of a page count as its
-    worst. Hosts without labels are allowed: nothing lifts their bound. Null urls and urls
+    worst. A host without labels is judged by the prior of its registered domain, else of its suffix, else of all. Null urls and urls
     without `://` have an empty host and path. Null page ids and repeated rows pass through and
-    repeated rows count as pages of their own. bound is the posterior's lower bound (null without labels).
+    repeated rows count as pages of their own. bound is the lower bound of the host's own
+    posterior (null without labels).
     """
     host, path = host_and_path(F.col("url"))
     rows = pages.select("page_id", host.alias("host"), path.alias("path"))
     worst = labels.where("page_id is not null and bad is not null").groupBy("page_id").agg(F.max("bad").alias("bad"))
-    beta = host_reputation(rows.select("page_id", "host").join(worst, "page_id").select("host", "bad"))
+    beta, domains, suffixes, overall = host_reputation(rows.select("page_id", "host").join(worst, "page_id").select("host", "bad"))
     total = F.col("alpha") + F.col("beta")
     mean = F.col("alpha") / total
     bound = F.greatest(F.lit(0.0), mean - Z * F.sqrt(mean * (1 - mean) / (total + 1)))
     known = beta.select("host", F.round(bound, 6).alias("bound"))
+    unlabelled = rows.select("host").distinct().join(known, "host", "left_anti").withColumns(names_of("host"))
+    for key, priors in (("domain", domains), ("suffix", suffixes)):
+        unlabelled = unlabelled.join(priors.select(key, bound.alias(f"{key}_bound")), key, "left")
+    unlabelled = unlabelled.crossJoin(F.broadcast(overall.select(bound.alias("overall_bound"))))
+    backed = unlabelled.select("host", F.lit(None).cast("double").alias("bound"), F.coalesce("domain_bound", "suffix_bound", "overall_bound").alias("judged"))
+    known = known.select("host", "bound", F.col("bound").alias("judged")).unionByName(backed)
     rule, verdict = rule_for(F.col("host"), F.col("path"), RULES if rules is None else rules)
-    judged = F.when(F.coalesce(F.col("bound"), F.lit(0.0)) > LIMIT, "block").otherwise("allow")
+    judged = F.when(F.coalesce(F.col("judged"), F.lit(0.0)) > LIMIT, "block").otherwise("allow")
     return rows.join(known, "host", "left").select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, judged).alias("verdict"), "bound")
 
 
