@@ -59,8 +59,13 @@ def op7_histogram_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+#: Setting that holds the key of the pseudonyms; without it the fixed key of the tests is used.
+PII_KEY = "spark.tunegrid.pii.key"
+
+
 def op8_feistel_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), "tunegrid", found_only=True)
+    key = spark.conf.get(PII_KEY, "key for tests only")
+    found = pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), key, found_only=True)
     return found.select("doc_id", *[_kind_count("pii", k) for k in PATTERNS], "pii", "text")
 
 
