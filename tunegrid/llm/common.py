@@ -10,6 +10,10 @@ import numpy as np
 import pyarrow as pa
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Keys that hot_join may broadcast, at most; a key with fewer rows than LEAST_HOT is never one.
+HOT_KEYS, LEAST_HOT = 50_000, 500
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -34,15 +38,39 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     """Write df as a Parquet table in the shared folder and read it back.
 
     Cuts the lineage: a lost executor costs a reread, not a recomputation. The table goes
-    when the driver's JVM ends.
+    with release(), else when the driver's JVM ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tunegrid-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    jpath = jvm.org.apache.hadoop.fs.Path(path)
-    jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(jpath)
-    return spark.read.schema(df.schema).parquet(path)
+    where, files = _on_disk(spark, path)
+    files.deleteOnExit(where)
+    read = spark.read.schema(df.schema).parquet(path)
+    read._tunegrid_path = path
+    return read
+
+
+def _on_disk(spark: SparkSession, path: str):
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete staged tables that nothing reads any more."""
+    for df in tables:
+        where, files = _on_disk(df.sparkSession, df._tunegrid_path)
+        files.delete(where, True)
+
+
+def hot_join(many: DataFrame, one: DataFrame, key: str, rows_of: str, total: int) -> DataFrame:
+    """Inner join of many with one, which has a row per key and, as rows_of, the number of the key's rows in many.
+
+    Keys with more than total / HOT_KEYS rows, of which HOT_KEYS exist at most, are broadcast, so their rows stay
+    where they are; the others are exchanged and put at most total / HOT_KEYS rows of a key into one task.
+    """
+    least = max(LEAST_HOT, -(-total // HOT_KEYS))
+    hot, rest = one.where(F.col(rows_of) > least).drop(rows_of), one.where(F.col(rows_of) <= least).drop(rows_of)
+    return many.join(F.broadcast(hot), key).unionByName(many.join(F.broadcast(hot.select(key)), key, "left_anti").join(rest, key))
 
 
 def by_unit(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, pa.RecordBatch]]:

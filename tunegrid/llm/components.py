@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tunegrid.llm.common import staged
+from tunegrid.llm.common import hot_join, release, staged
 
 
 class UnionFind:
@@ -46,16 +46,16 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(roots, pa.int64())], names=["u", "v"])
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame, total: int) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    return both.join(low, "u").where("v > u and v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n"))
+    return hot_join(both, low, "u", "n", 2 * total).where("v > u and v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, total: int) -> DataFrame:
     """edges has u > v."""
-    low = edges.groupBy("u").agg(F.min("v").alias("m"))
-    moved = edges.join(low, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    low = edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+    moved = hot_join(edges, low, "u", "n", total).where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.unionByName(low.select("u", F.col("m").alias("v"))).distinct()
 
 
@@ -63,9 +63,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) for each node of edges (u long, v long) but the components' own smallest.
 
     component is the smallest node reachable. Partitions first shrink to spanning forests;
-    then large-star and small-star steps alternate until every node points at its root.
-    Only minima per node are grouped, so a hub with most of the edges costs a partial
-    aggregation and a join that adaptive execution may split. No edges: no rows.
+    then large-star and small-star steps alternate until every node points at its root. Minima per
+    node are grouped with partial aggregation, and a hub's edges meet its minimum by broadcast,
+    where they lie. No edges: no rows.
     """
     forest = edges.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).mapInArrow(_forest, "u long, v long")
     now, seen = staged(forest, "forest"), None
@@ -74,4 +74,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
         if mark == seen:
             return now.select(F.col("u").alias("node"), F.col("v").alias("component"))
         seen = mark
-        now = staged(_small_star(_large_star(now)), "stars")
+        grown = staged(_large_star(now, mark[0]), "stars")
+        release(now)
+        now = staged(_small_star(grown, mark[0]), "stars")
+        release(grown)

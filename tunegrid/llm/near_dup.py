@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from tunegrid.llm.common import by_unit, staged
+from tunegrid.llm.common import by_unit, hot_join, release, staged
 from tunegrid.llm.components import UnionFind, connected_components
 
 WORDS = 5
@@ -20,8 +20,8 @@ BANDS = 32
 THRESHOLD = 75
 #: Shingles of the documents that one task holds while others are compared with them.
 UNIT_SHINGLES = 4_000_000
-#: Share of equal slots below which a pair is not worth confirming: five deviations under the threshold.
-LEAST_EQUAL = 0.55
+#: Partners that meet one copy of a hub's set when links with it are confirmed.
+PARTNERS = 500
 #: Shingles handled at once by a signature call: bounds the memory of a Python worker.
 CHUNK = 1 << 17
 
@@ -112,7 +112,7 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for start in range(0, whole.num_rows, 256):
             batch = whole.slice(start, 256)
-            sets = [shingle_hashes(t.as_py()) for t in batch.column(1)]
+            sets = [shingle_hashes(t.as_py()) for t in batch.column(2)]
             full = [k for k, s in enumerate(sets) if len(s)]
             digest = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
             keys: list = [None] * len(sets)
@@ -120,8 +120,8 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for k, row in zip(full, band_keys(signatures([sets[k] for k in full])).view(np.int64), strict=True):
                     keys[k] = row
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(digest, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
-                names=["doc_id", "n_shingles", "digest", "bands"],
+                [batch.column(0), batch.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array(digest, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
+                names=["doc_id", "text_hash", "n_shingles", "digest", "bands"],
             )
 
 
@@ -134,12 +134,20 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (u, v) whose full sets reach the threshold."""
-    left = sets.select(F.col("id").alias("u"), F.col("shingles").alias("su"))
+    """The pairs (u, v) whose full sets reach the threshold; u may be a hub with any number of partners.
+
+    A hub's set goes out once for each PARTNERS of its partners, so no task gets more of them.
+    """
+    spread = pairs.groupBy("u").agg(F.count("*").alias("n"), F.ceil(F.count("*") / PARTNERS).cast("int").alias("parts"))
+    left = sets.select(F.col("id").alias("u"), F.col("shingles").alias("su")).join(spread.drop("n"), "u")
+    left = left.select("u", "su", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
     right = sets.select(F.col("id").alias("v"), F.col("shingles").alias("sv"))
+    parted = hot_join(pairs, spread, "u", "n", pairs.count())
     both = F.size(F.array_intersect("su", "sv"))
     return (
-        pairs.join(right, "v").join(left, "u")
+        parted.select("u", "v", F.pmod(F.xxhash64("v"), F.col("parts")).cast("int").alias("part"))
+        .join(right, "v")
+        .join(left, ["u", "part"])
         .withColumn("common", both)
         .where(F.col("common") * 100 >= (F.size("su") + F.size("sv") - F.col("common")) * THRESHOLD)
         .select("u", "v")
@@ -154,7 +162,6 @@ class _Held:
         self.starts = np.concatenate([[0], np.cumsum(self.sizes)[:-1]])
         self.known, self.flat = np.unique(np.concatenate(sets), return_inverse=True)
         sig = signatures(sets)
-        self.short = sig.astype(np.uint8)
         keys = band_keys(sig).ravel()
         order = np.argsort(keys, kind="stable")
         self.keys, self.owner = keys[order], order // BANDS
@@ -168,7 +175,6 @@ class _Held:
         near = near[(self.ids[near] < doc) & (self.groups[near] != group)]
         small, large = np.minimum(self.sizes[near], len(own)), np.maximum(self.sizes[near], len(own))
         near = near[100 * small >= THRESHOLD * large]
-        near = near[(self.short[near] == sig.astype(np.uint8)).mean(axis=1) >= LEAST_EQUAL] if len(near) else near
         root, out = joined.find(group), []
         near = np.array([k for k in near if joined.find(int(self.groups[k])) != root], np.int64)
         if not len(near):
@@ -220,76 +226,91 @@ def _links_between(bands: DataFrame, groups: DataFrame, sets: DataFrame) -> Data
     units of UNIT_SHINGLES; a unit's task holds its documents' sets and every document sharing a
     band with one of them streams past, so that pairs are weighed where they meet, not emitted.
     """
-    placed = bands.join(groups, bands.doc_id == groups.node, "left").select("band", "doc_id", F.coalesce("component", "doc_id").alias("group"))
-    open_bands = placed.groupBy("band").agg(F.min("group").alias("a"), F.max("group").alias("b"), F.min("doc_id").alias("low")).where("a != b").select("band", "low")
-    rest = staged(placed.join(open_bands, "band"), "open")
-    clusters = connected_components(rest.select(F.col("doc_id").alias("u"), F.col("low").alias("v")))
-    docs = rest.select("doc_id", "group").distinct().join(sets.select(F.col("id").alias("doc_id"), F.size("shingles").alias("n")), "doc_id")
-    docs = docs.join(clusters, docs.doc_id == clusters.node, "left").select("doc_id", "group", "n", F.coalesce("component", "doc_id").alias("cluster"))
-    parts = docs.groupBy("cluster").agg(F.ceil(F.sum("n") / UNIT_SHINGLES).alias("parts"))
-    unit = F.pmod(F.xxhash64("cluster", F.pmod(F.xxhash64("doc_id"), F.col("parts"))), F.lit((1 << 31) - 1)).cast("int")
-    docs = staged(docs.join(parts, "cluster").select("doc_id", "group", unit.alias("unit")), "units")
-    band_units = rest.join(docs.select("doc_id", "unit"), "doc_id").select("band", "unit").distinct()
-    visits = rest.select("band", "doc_id").join(band_units, "band").select("doc_id", "unit").distinct().join(docs.select("doc_id", "group"), "doc_id")
-    sent = docs.select("doc_id", "group", "unit", F.lit(0).alias("kind")).unionByName(visits.withColumn("kind", F.lit(1)))
-    sent = sent.join(sets, sent.doc_id == sets.id).select("unit", "kind", "id", "group", "shingles")
+    placed = bands.join(groups, bands.id == groups.node, "left").select("band", "id", F.coalesce("component", "id").alias("group"))
+    placed = staged(placed, "placed")
+    open_bands = placed.groupBy("band").agg(F.min("group").alias("a"), F.max("group").alias("b"), F.min("id").alias("low"), F.count("*").alias("n")).where("a != b").select("band", "low", "n")
+    rest = staged(hot_join(placed, open_bands, "band", "n", placed.count()), "open")
+    release(placed)
+    clusters = connected_components(rest.select(F.col("id").alias("u"), F.col("low").alias("v")))
+    docs = rest.select("id", "group").distinct().join(sets.select("id", F.size("shingles").alias("n")), "id")
+    docs = docs.join(clusters, docs.id == clusters.node, "left").select("id", "group", "n", F.coalesce("component", "id").alias("cluster"))
+    docs = staged(docs, "clusters")
+    parts = docs.groupBy("cluster").agg(F.ceil(F.sum("n") / UNIT_SHINGLES).alias("parts"), F.count("*").alias("docs"))
+    unit = F.pmod(F.xxhash64("cluster", F.pmod(F.xxhash64("id"), F.col("parts"))), F.lit((1 << 31) - 1)).cast("int")
+    units = staged(hot_join(docs, parts, "cluster", "docs", docs.count()).select("id", "group", unit.alias("unit")), "units")
+    band_units = rest.join(units.select("id", "unit"), "id").select("band", "unit").distinct()
+    visits = rest.select("band", "id").join(band_units, "band").select("id", "unit").distinct().join(units.select("id", "group"), "id")
+    sent = units.select("id", "group", "unit", F.lit(0).alias("kind")).unionByName(visits.select("id", "group", "unit", F.lit(1).alias("kind")))
+    sent = sent.join(sets, "id").select("unit", "kind", "id", "group", "shingles")
     return sent.repartition("unit").sortWithinPartitions("unit", "kind").mapInArrow(_compare, "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept): one row per document.
 
-    Equal shingle sets form a class, its smallest id stands for it. Representatives that
-    share a band are candidates: each with the smallest of the band, then, once the links
-    found so have been grouped, every pair of a band whose groups differ. Every candidate
-    pair is thus weighed on full sets or already in one group, without emitting the pairs of
-    a band. With 32 bands of 4 slots a pair at similarity 0.75 escapes with
-    probability 5e-6.
-
-    Null, empty or wordless texts have n_shingles 0 and stand alone. A null id stands alone
-    with a null component and is not kept. Rows repeating an id share its component; an id
-    with several texts links their groups.
+    Equal shingle sets form a class with a number of its own, whatever ids its texts have; all
+    that follows links classes. Classes that share a band are candidates: each with the smallest
+    of the band, then, once the links found so have been grouped, every pair of a band whose
+    groups differ. Every candidate pair is thus weighed on its full sets or already in one group,
+    without emitting the pairs of a band. With 32 bands of 4 slots a pair at similarity 0.75
+    escapes with probability 5e-6. Sets hold 64-bit hashes of shingles: in two texts of 10,000
+    words some two different shingles share one with probability 1e-11.
+
+    Null, empty or wordless texts have n_shingles 0 and stand alone, unless their id has another
+    text too. A null id stands alone with a null component and is not kept. Rows repeating an id
+    share its component, and an id with several texts links their classes, in whatever order they come.
     """
-    from_docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    rows = staged(from_docs.mapInArrow(_signatures, "doc_id long, n_shingles long, digest binary, bands array<long>"), "signatures")
+    from_docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).withColumn("text_hash", F.xxhash64("text"))
+    rows = from_docs.select("doc_id", "text_hash", "text").mapInArrow(_signatures, "doc_id long, text_hash long, n_shingles long, digest binary, bands array<long>")
+    rows = staged(rows, "signatures")
     known = rows.where("doc_id is not null and digest is not null")
-    classes = known.groupBy("digest").agg(F.min("doc_id").alias("rep"))
-    members = staged(known.select("doc_id", "digest").join(classes, "digest").select("doc_id", "rep"), "members")
-    reps = members.where("doc_id = rep").select("doc_id").distinct()
-    bands = staged(known.join(reps, "doc_id", "left_semi").select("doc_id", F.explode("bands").alias("band")), "bands")
-
-    shared = bands.groupBy("band").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low != high").select("band", "low")
-    bands = staged(bands.join(shared, "band"), "shared")
-    first = staged(bands.where("doc_id != low").select(F.col("low").alias("u"), F.col("doc_id").alias("v")).distinct(), "first")
-    needed = bands.select(F.col("doc_id").alias("id")).distinct()
-    texts = from_docs.select(F.col("doc_id").alias("id"), "text").join(needed, "id", "left_semi").dropDuplicates(["id"])
+    first = known.groupBy("digest").agg(F.min(F.struct("doc_id", "text_hash")).alias("m"), F.count("*").alias("rows"))
+    classes = staged(first.select("digest", F.monotonically_increasing_id().alias("id"), F.col("m.doc_id").alias("rep"), F.col("m.text_hash").alias("text_hash"), "rows"), "classes")
+    total = rows.count()
+    members = staged(hot_join(known.select("doc_id", "digest"), classes.select("digest", "id", "rows"), "digest", "rows", total).select("doc_id", "id"), "members")
+
+    # One row of each class speaks for it: that of its least id, found by the text's hash where the id has others.
+    speakers = known.select(F.col("doc_id").alias("rep"), "text_hash", "digest", "bands").join(classes.select("digest", "id", "rep", "text_hash"), ["digest", "rep", "text_hash"]).dropDuplicates(["id"])
+    bands = staged(speakers.select("id", F.explode("bands").alias("band")), "bands")
+    shared = bands.groupBy("band").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count("*").alias("n")).where("low != high").select("band", "low", "n")
+    open_ = staged(hot_join(bands, shared, "band", "n", bands.count()), "shared")
+    release(bands)
+    stars = staged(open_.where("id != low").select(F.col("low").alias("u"), F.col("id").alias("v")).distinct(), "first")
+    needed = classes.join(open_.select("id").distinct(), "id", "left_semi").select("id", F.col("rep").alias("doc_id"), "text_hash")
+    texts = from_docs.join(needed, ["doc_id", "text_hash"]).dropDuplicates(["doc_id", "text_hash"]).select("id", "text")
     sets = staged(texts.mapInArrow(_sets, "id long, shingles array<long>"), "sets")
-    links = staged(_verified(first, sets), "links")
-    groups = connected_components(links)
+    links = staged(_verified(stars, sets), "links")
+    release(stars)
+    more = staged(_links_between(open_, connected_components(links), sets), "more")
+    release(open_, sets)
 
-    more = staged(_links_between(bands, groups, sets), "more")
-    repeated = members.where("doc_id != rep").select(F.col("rep").alias("u"), F.col("doc_id").alias("v"))
+    per_id = members.groupBy("doc_id").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count("*").alias("n")).where("low != high").select("doc_id", "low", "n")
+    repeated = hot_join(members, per_id, "doc_id", "n", total).where("id != low").select(F.col("low").alias("u"), F.col("id").alias("v"))
     groups = connected_components(links.unionByName(more).unionByName(repeated))
-    return (
-        rows.select("doc_id", "n_shingles")
-        .join(groups, rows.doc_id == groups.node, "left")
-        .select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
-        .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
-    )
+    named = staged(classes.join(groups, classes.id == groups.node, "left").select("digest", "id", "rep", "rows", F.coalesce("component", "id").alias("component")), "named")
+    least = named.groupBy("component").agg(F.min("rep").alias("component_id"), F.count("*").alias("n"))
+    named = staged(hot_join(named, least, "component", "n", total).select("digest", "component_id", "rows"), "components")
+    texts_of = hot_join(known.select("doc_id", "n_shingles", "digest"), named, "digest", "rows", total).select("doc_id", "n_shingles", "component_id")
+    wordless = rows.where("doc_id is not null and digest is null").select("doc_id", "n_shingles")
+    homes = texts_of.groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
+    wordless = wordless.join(homes, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    nameless = rows.where("doc_id is null").select("doc_id", "n_shingles", F.lit(None).cast("long").alias("component_id"))
+    return texts_of.unionByName(wordless).unionByName(nameless).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without the documents that near_duplicates does not keep; columns unchanged.
 
-    Of rows repeating an id one stays, whichever the engine meets first; rows with a null id
-    all stay.
+    Of rows repeating an id one stays, the least by text and then by its other columns' JSON;
+    rows with a null id all stay.
     """
-    found = staged(near_duplicates(docs, id_col, text_col).select("doc_id", "kept"), "kept")
-    gone = found.where("not kept and doc_id is not null").select(F.col("doc_id").alias("_gone")).distinct()
+    found = staged(near_duplicates(docs, id_col, text_col).groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count("*").alias("n")), "kept")
+    gone = found.where("not kept and doc_id is not null").select(F.col("doc_id").alias("_gone"))
     left = docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")
-    repeats = found.where("kept").groupBy("doc_id").count().where("count > 1").select("doc_id")
-    if repeats.isEmpty():
+    twice = found.where("kept and n > 1").select(F.col("doc_id").alias("_twice"))
+    if twice.isEmpty():
         return left
-    twice = F.broadcast(repeats) if repeats.count() < 10_000 else repeats
-    once = left.join(twice, left[id_col] == twice["doc_id"], "left_semi").dropDuplicates([id_col])
-    return left.join(twice, left[id_col] == twice["doc_id"], "left_anti").unionByName(once)
+    every = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    again = left.join(twice, left[id_col] == twice["_twice"], "left_semi")
+    one = again.groupBy(id_col).agg(F.min_by(every, F.struct(F.col(text_col), F.to_json(every))).alias("_row")).select("_row.*")
+    return left.join(twice, left[id_col] == twice["_twice"], "left_anti").unionByName(one)
