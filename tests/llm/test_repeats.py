@@ -37,15 +37,22 @@ def test_row_that_stays_of_a_repeated_id(spark, turn):
     assert sorted(tuple(r) for r in left.collect()) == [(1, B, 3), (3, "other words altogether here now", 5)]
 
 
-def test_components_of_stars_chains_and_random_edges(spark, monkeypatch):
+@pytest.mark.parametrize("held", [1, 2_000_000])
+def test_components_of_stars_chains_and_random_edges(spark, monkeypatch, held):
     from tunegrid.llm import common
 
     monkeypatch.setattr(common, "LEAST_HOT", 3)
+    monkeypatch.setattr(components, "FOREST_NODES", held)
+    if held == 1:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "2k")
     rng = random.Random(1)
     edges = [(0, k) for k in range(1, 300)] + [(k, k + 1) for k in range(1000, 1200)] + [(rng.randrange(2000, 2400), rng.randrange(2000, 2400)) for _ in range(250)] + [(5000, 5000)]
     sets = components.UnionFind()
     for u, v in edges:
         sets.union(u, v)
-    got = components.connected_components(spark.createDataFrame(edges, "u long, v long").repartition(16)).collect()
+    try:
+        got = components.connected_components(spark.createDataFrame(edges, "u long, v long").repartition(16)).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
     assert {r.node: r.component for r in got} == {x: sets.find(x) for x in {n for e in edges for n in e} if sets.find(x) != x}
     assert components.connected_components(spark.createDataFrame([], "u long, v long")).collect() == []

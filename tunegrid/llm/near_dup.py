@@ -22,6 +22,8 @@ THRESHOLD = 75
 UNIT_SHINGLES = 4_000_000
 #: Partners that meet one copy of a hub's set when links with it are confirmed.
 PARTNERS = 500
+#: 64-bit words of the bitmap that bounds an intersection, and likely partners confirmed at once.
+MAP_WORDS, TRIED = 64, 64
 #: Shingles handled at once by a signature call: bounds the memory of a Python worker.
 CHUNK = 1 << 17
 
@@ -154,31 +156,51 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     )
 
 
+def _bitmap(items: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
+    """(n x MAP_WORDS) bitmaps of the sets whose elements are items, each element setting the bit that its hash names."""
+    bits = np.zeros((n, MAP_WORDS), np.uint64)
+    np.bitwise_or.at(bits, (owner, (items >> np.uint64(6)).astype(np.int64) % MAP_WORDS), np.uint64(1) << (items & np.uint64(63)))
+    return bits
+
+
 class _Held:
     """A unit's documents, ready to be compared with any other of the unit's cluster."""
 
     def __init__(self, ids: np.ndarray, groups: np.ndarray, sets: list[np.ndarray]) -> None:
-        self.ids, self.groups, self.sizes = ids, groups, np.array([len(s) for s in sets])
+        self.ids, self.roots, self.sizes = ids, groups.copy(), np.array([len(s) for s in sets])
         self.starts = np.concatenate([[0], np.cumsum(self.sizes)[:-1]])
-        self.known, self.flat = np.unique(np.concatenate(sets), return_inverse=True)
-        sig = signatures(sets)
-        keys = band_keys(sig).ravel()
+        items = np.concatenate(sets)
+        self.bits = _bitmap(items, np.repeat(np.arange(len(sets)), self.sizes), len(sets))
+        self.known, self.flat = np.unique(items, return_inverse=True)
+        keys = band_keys(signatures(sets)).ravel()
         order = np.argsort(keys, kind="stable")
         self.keys, self.owner = keys[order], order // BANDS
         self.mark = np.zeros(len(self.known), bool)
+        self.shares = np.zeros(len(sets), bool)
+
+    def join(self, low: int, high: int) -> None:
+        """Group high has become part of group low."""
+        self.roots[self.roots == high] = low
+
+    def near(self, doc: int, root: int, own: np.ndarray, sig: np.ndarray) -> np.ndarray:
+        """Members of smaller id and another group that share a band and may reach the threshold, the likeliest first.
 
-    def partners(self, doc: int, group: int, own: np.ndarray, sig: np.ndarray, joined: UnionFind) -> list[int]:
-        """Members of smaller id and another group that share a band and reach the threshold, none of a group already joined."""
+        An element whose bit the other set lacks is not in it, which bounds the intersection from above.
+        """
         keys = band_keys(sig[None])[0]
-        lo, hi = np.searchsorted(self.keys, keys, "left"), np.searchsorted(self.keys, keys, "right")
-        near = np.unique(np.concatenate([self.owner[a:b] for a, b in zip(lo, hi, strict=True)]))
-        near = near[(self.ids[near] < doc) & (self.groups[near] != group)]
-        small, large = np.minimum(self.sizes[near], len(own)), np.maximum(self.sizes[near], len(own))
-        near = near[100 * small >= THRESHOLD * large]
-        root, out = joined.find(group), []
-        near = np.array([k for k in near if joined.find(int(self.groups[k])) != root], np.int64)
-        if not len(near):
-            return out
+        for a, b in zip(np.searchsorted(self.keys, keys, "left"), np.searchsorted(self.keys, keys, "right"), strict=True):
+            self.shares[self.owner[a:b]] = True
+        near = np.nonzero(self.shares)[0]
+        self.shares[near] = False
+        near = near[(self.ids[near] < doc) & (self.roots[near] != root)]
+        bits, sizes = _bitmap(own, np.zeros(len(own), np.int64), 1), self.sizes[near]
+        theirs = self.bits[near]
+        most = np.minimum(sizes - np.bitwise_count(theirs & ~bits).sum(axis=1, dtype=np.int64), len(own) - np.bitwise_count(bits & ~theirs).sum(axis=1, dtype=np.int64))
+        able = 100 * most >= THRESHOLD * (sizes + len(own) - most)
+        return near[able][np.argsort(-most[able], kind="stable")]
+
+    def partners(self, near: np.ndarray, own: np.ndarray) -> np.ndarray:
+        """Those of near whose whole sets reach the threshold."""
         at = np.searchsorted(self.known, own)
         at = at[(at < len(self.known)) & (self.known[np.minimum(at, len(self.known) - 1)] == own)]
         self.mark[at] = True
@@ -187,7 +209,7 @@ class _Held:
         every = np.repeat(self.starts[near] - cut, sizes) + np.arange(sizes.sum())
         common = np.add.reduceat(self.mark[self.flat[every]], cut, dtype=np.int64)
         self.mark[at] = False
-        return near[100 * common >= THRESHOLD * (sizes + len(own) - common)].tolist()
+        return near[100 * common >= THRESHOLD * (sizes + len(own) - common)]
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -211,10 +233,18 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             continue
         u, v = [], []
         for k, sig in enumerate(signatures(sets)):
-            for m in held.partners(int(ids[k]), int(groups[k]), sets[k], sig, joined):
-                if joined.union(int(groups[k]), int(held.groups[m])):
-                    u.append(int(ids[k]))
-                    v.append(int(held.ids[m]))
+            root = joined.find(int(groups[k]))
+            near = held.near(int(ids[k]), root, sets[k], sig)
+            while len(near):
+                some, near = near[:TRIED], near[TRIED:]
+                for m in held.partners(some, sets[k]):
+                    other = int(held.roots[m])
+                    if joined.union(root, other):
+                        u.append(int(ids[k]))
+                        v.append(int(held.ids[m]))
+                        held.join(min(root, other), max(root, other))
+                        root = min(root, other)
+                near = near[held.roots[near] != root]
         if u:
             yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
 
