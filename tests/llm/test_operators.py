@@ -247,17 +247,58 @@ def test_language_on_held_out_documents(spark):
     assert all(0 <= r.score <= 1 for r in rows)
 
 
+class PlainKneserNey:
+    """Interpolated Kneser-Ney over strings and dictionaries, words between `^` and `$`."""
+
+    def __init__(self, words, alphabet):
+        self.counts, self.floor = {}, 1 / (len(alphabet) + 2)
+        order = langid.ORDER
+        grams = Counter(f"^{w}$"[i - k : i] for w in words for i in range(2, len(w) + 3) for k in range(1, order + 1) if i >= k)
+        for k in range(1, order + 1):
+            mine = {g: n for g, n in grams.items() if len(g) == k}
+            if k < order:
+                before = Counter(g[1:] for g in grams if len(g) == k + 1)
+                mine = {g: before.get(g, n) for g, n in mine.items()}
+            once, twice = sum(n == 1 for n in mine.values()), sum(n == 2 for n in mine.values())
+            self.counts[k] = mine, min(0.95, once / (once + 2 * twice)) if once else 0.5
+
+    def probability(self, history, c):
+        p = self.floor
+        for k in range(1, min(langid.ORDER, len(history) + 1) + 1):
+            head = history[len(history) - k + 1 :]
+            counts, discount = self.counts[k]
+            followers = [n for g, n in counts.items() if g[:-1] == head]
+            if followers:
+                p = max(counts.get(head + c, discount) - discount, 0) / sum(followers) + discount * len(followers) / sum(followers) * p
+        return p
+
+
 def test_kneser_ney_probabilities_sum_to_one():
-    model = langid.train([("a", "abab baba abba aab"), ("b", "cdcd dcdc ccdd")] * 10)
-    alphabet = [*"abcd", "z"]
-    inside = langid.KneserNey(model.langs, model.grams, model.contexts, model.floor, model.ceiling, model.heat)
-    # P(next | "ab") over the alphabet and the word's end, by differences of word scores.
-    words = ["ab" + c for c in alphabet]
-    flat, starts = langid._codes(words)
-    assert len(starts) == len(words) + 1
-    whole, _ = inside.score_words(words)
-    assert np.isfinite(whole).all() and (whole < 0).all()
-    assert whole[0, model.langs.index("a")] > whole[0, model.langs.index("b")]
+    texts = {"a": "abab baba abba aab aabbab bab", "b": "cdcd dcdc ccdd cabd ddc"}
+    model = langid.train([(lang, text) for lang, text in texts.items() for _ in range(4)])
+    letters = "abcd"
+    for column, lang in enumerate(model.langs):
+        plain = PlainKneserNey(texts[lang].split() * 4, letters)
+        for history in ("^", "^a", "^ab", "^abb", "^cdc", "^zz"):
+            assert abs(sum(plain.probability(history, c) for c in letters + "$?") - 1) < 1e-9
+        words = ["abba", "a", "cdcab", "zab", "dd", "b" * 90]
+        scores, n = model.score_words(words)
+        for word, score, length in zip(words, scores[:, column], n, strict=True):
+            spelt = f"^{word}$"
+            want = sum(np.log(plain.probability(spelt[:i], spelt[i])) for i in range(1, len(spelt)))
+            assert length == len(word) + 1 and abs(score - want) < 1e-6 * abs(want)
+
+
+def test_languages_of_long_texts_and_many_languages_are_learned(spark):
+    rng = random.Random(3)
+    rows = [(k, "".join(rng.choice("aeiou" if k % 2 else "xyzwv") + rng.choice(" bcd") for _ in range(15_000)), "long1" if k % 2 else "long2") for k in range(6)]
+    rows += [(100 + k, f"word{chr(97 + k % 26)}{chr(97 + k // 26)} " * 5, f"l{k}") for k in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    sample = langid.training_sample(docs, "text", "lang", "doc_id")
+    assert len({lang for lang, _ in sample}) == 302 and max(len(t) for _, t in sample) == langid.SAMPLE_CHARS
+    model = langid.train(sample)
+    got = {r.doc_id: r.lang_pred for r in langid.predict_language(docs.where("doc_id < 6"), model, keep=["doc_id"]).collect()}
+    assert got == {k: "long1" if k % 2 else "long2" for k in range(6)}
 
 
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))

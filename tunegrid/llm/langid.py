@@ -14,10 +14,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 ORDER = 4
-#: Bound of the training sample: documents per language, and characters of a document that may enter it.
-SAMPLE_DOCS, SAMPLE_CHARS = 400, 20_000
-#: Languages learned at most, those with the most sampled documents first.
-MAX_LANGS = 256
+#: Bound of the training sample: documents per language, characters of a document that enter it, and documents of all
+#: languages, which lowers the first where there are very many languages.
+SAMPLE_DOCS, SAMPLE_CHARS, SAMPLE_ALL = 400, 20_000, 20_000
 #: A text is rejected at MARGIN + SLACK / letters nats per character above the worst calibration document.
 MARGIN, SLACK = 0.75, 30.0
 #: A text with fewer letters is never rejected for its entropy.
@@ -65,100 +64,110 @@ def _grams(flat: np.ndarray) -> list[np.ndarray]:
 
 
 @dataclass
-class KneserNey:
-    """Per order k: sorted gram hashes with discounted probabilities, sorted context hashes with back-off weights, a column per language."""
+class Language:
+    """One language's model. Per order k: sorted hashes of its grams with discounted probabilities, sorted hashes of its contexts with back-off weights."""
 
-    langs: list[str]
     grams: list[tuple[np.ndarray, np.ndarray]]
     contexts: list[tuple[np.ndarray, np.ndarray]]
-    floor: np.ndarray
+
+
+def _look(table: tuple[np.ndarray, np.ndarray], keys: np.ndarray, absent: float) -> np.ndarray:
+    known, values = table
+    if not len(known):
+        return np.full(len(keys), absent)
+    at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+    return np.where(known[at] == keys, values[at], absent)
+
+
+@dataclass
+class KneserNey:
+    langs: list[str]
+    models: list[Language]
+    floor: float
     ceiling: np.ndarray
     heat: float
 
-    def _look(self, table: tuple[np.ndarray, np.ndarray], keys: np.ndarray, absent: float) -> np.ndarray:
-        known, values = table
-        if not len(known):
-            return np.full((len(keys), len(self.langs)), absent)
-        at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
-        return np.where((known[at] == keys)[:, None], values[at], absent)
-
     def score_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(words x languages) log probabilities and each word's number of predicted characters."""
+        """(words x languages) log probabilities and each word's number of predicted characters, an end mark included.
+
+        Characters are scored in blocks, so a long word holds no more than its hashes.
+        """
+        out = np.zeros((len(words), len(self.langs)))
+        if not words:
+            return out, np.zeros(0, np.int64)
         flat, starts = _codes(words)
         grams = _grams(flat)
-        logp = np.zeros((len(flat), len(self.langs)))
+        owner = np.repeat(np.arange(len(words)), np.diff(starts))
         for lo in range(1, len(flat), _BLOCK):
             hi = min(len(flat), lo + _BLOCK)
-            p = np.tile(self.floor, (hi - lo, 1))
+            asked = []
             for k in range(1, ORDER + 1):
                 gram, context = grams[k][lo:hi], grams[k - 1][lo - 1 : hi - 1] if k > 1 else grams[0][lo:hi]
-                use = gram != 0
-                if use.any():
-                    p[use] = self._look(self.grams[k], gram[use], 0.0) + self._look(self.contexts[k], context[use], 1.0) * p[use]
-            logp[lo:hi] = np.log(p)
-        summed = np.add.reduceat(logp[1:], starts[:-1], axis=0) if len(words) else logp[:0]
-        return summed, np.diff(starts)
+                use = np.nonzero(gram)[0]
+                # Sorted keys make the searches of all languages local; equal ones are looked up once.
+                both, back = np.unique(gram[use], return_inverse=True)
+                heads, head_back = np.unique(context[use], return_inverse=True)
+                asked.append((use, both, back, heads, head_back))
+            for column, model in enumerate(self.models):
+                p = np.full(hi - lo, self.floor)
+                for k, (use, both, back, heads, head_back) in enumerate(asked, 1):
+                    p[use] = _look(model.grams[k], both, 0.0)[back] + _look(model.contexts[k], heads, 1.0)[head_back] * p[use]
+                out[:, column] += np.bincount(owner[lo - 1 : hi - 1], np.log(p), len(words))
+        return out, np.diff(starts)
+
+
+def _fitted(words: Counter) -> Language:
+    """Interpolated Kneser-Ney of one language's words and their counts, an absolute discount per order."""
+    types = list(words)
+    none = np.empty(0, np.uint64), np.empty(0)
+    model = Language([none] * (ORDER + 1), [none] * (ORDER + 1))
+    if not types:
+        return model
+    flat, starts = _codes(types)
+    grams = _grams(flat)
+    times = np.repeat(np.array([words[w] for w in types], np.float64), np.diff(starts))
+    for k in range(ORDER, 0, -1):
+        gram, context = grams[k][1:], grams[k - 1][:-1] if k > 1 else grams[0][1:]
+        use = gram != 0
+        keys, first, back = np.unique(gram[use], return_index=True, return_inverse=True)
+        if not len(keys):
+            continue
+        raw = np.bincount(back, times[use], len(keys))
+        if k == ORDER:
+            count = raw
+        else:
+            # Continuations: the distinct longer grams that end in this one; grams at a word's start keep their counts.
+            longer = grams[k + 1][1:]
+            first_longer = np.unique(longer[longer != 0], return_index=True)[1]
+            count = np.bincount(np.searchsorted(keys, gram[longer != 0][first_longer]), minlength=len(keys)).astype(np.float64)
+            count = np.where(count > 0, count, raw)
+        once, twice = (count == 1).sum(), (count == 2).sum()
+        discount = min(0.95, once / (once + 2 * twice)) if once else 0.5
+        heads, of = np.unique(context[use][first], return_inverse=True)
+        total, kinds = np.bincount(of, count, len(heads)), np.bincount(of, minlength=len(heads))
+        model.grams[k] = keys, (count - discount) / total[of]
+        model.contexts[k] = heads, discount * kinds / total
+    return model
 
 
 def train(sample: list[tuple[str, str]]) -> KneserNey | None:
     """Models of (language, text) pairs; every fifth text calibrates the ceilings and the confidence."""
-    sizes = Counter(lang for lang, _ in sample)
-    langs = sorted(sorted(sizes, key=lambda x: (-sizes[x], x))[:MAX_LANGS])
-    column = {x: k for k, x in enumerate(langs)}
-    sample = [(column[lang], words_of(text)) for lang, text in sample if lang in column]
-    sample = [x for x in sample if x[1]]
-    if not sample:
+    split = [(lang, words_of(text)) for lang, text in sample]
+    split = [x for x in split if x[1]]
+    if not split:
         return None
+    langs = sorted({lang for lang, _ in split})
+    column = {x: k for k, x in enumerate(langs)}
     seen: dict[int, int] = defaultdict(int)
     fit, held = [Counter() for _ in langs], []
-    for lang, words in sample:
+    for lang, words in split:
         seen[lang] += 1
         if seen[lang] % 5 == 0:
-            held.append((lang, words))
+            held.append((column[lang], words))
         else:
-            fit[lang].update(words)
+            fit[column[lang]].update(words)
     alphabet = 1 + len({c for words in fit for w in words for c in w})
-    tables: list[list] = [[] for _ in range(ORDER + 1)]
-    for words in fit:
-        types = list(words)
-        flat, starts = _codes(types)
-        grams = _grams(flat)
-        times = np.repeat(np.array([words[w] for w in types], np.float64), np.diff(starts)) if types else np.empty(0)
-        lower: dict[int, tuple] = {}
-        for k in range(ORDER, 0, -1):
-            gram, context = grams[k][1:], grams[k - 1][:-1] if k > 1 else grams[0][1:]
-            use = gram != 0
-            keys, first, back = np.unique(gram[use], return_index=True, return_inverse=True)
-            before = context[use][first] if len(keys) else keys
-            if k == ORDER:
-                count = np.bincount(back, times[use], len(keys))
-            else:
-                # Continuations: the distinct longer grams that end in this one; grams at a word's start keep their counts.
-                longer = grams[k + 1][1:]
-                first_longer = np.unique(longer[longer != 0], return_index=True)[1]
-                count = np.bincount(np.searchsorted(keys, gram[longer != 0][first_longer]), minlength=len(keys)).astype(np.float64)
-                count = np.where(count > 0, count, np.bincount(back, times[use], len(keys)))
-            once, twice = (count == 1).sum(), (count == 2).sum()
-            discount = min(0.95, once / (once + 2 * twice)) if once else 0.5
-            heads, of = np.unique(before, return_inverse=True)
-            total = np.bincount(of, count, len(heads)) if len(keys) else np.empty(0)
-            kinds = np.bincount(of, minlength=len(heads)) if len(keys) else np.empty(0)
-            lower[k] = (keys, np.maximum(count - discount, 0) / total[of] if len(keys) else count, heads, discount * kinds / total if len(keys) else total)
-        for k in range(1, ORDER + 1):
-            tables[k].append(lower[k])
-
-    def joined(k: int, keys: int, values: int, absent: float) -> tuple[np.ndarray, np.ndarray]:
-        every = np.unique(np.concatenate([t[keys] for t in tables[k]]))
-        matrix = np.full((len(every), len(langs)), absent)
-        for column_no, t in enumerate(tables[k]):
-            matrix[np.searchsorted(every, t[keys]), column_no] = t[values]
-        return every, matrix
-
-    none = (np.empty(0, np.uint64), np.empty((0, len(langs))))
-    model = KneserNey(
-        langs, [none, *(joined(k, 0, 1, 0.0) for k in range(1, ORDER + 1))], [none, *(joined(k, 2, 3, 1.0) for k in range(1, ORDER + 1))],
-        np.full(len(langs), 1.0 / (alphabet + 1)), np.full(len(langs), math.inf), 1.0,
-    )
+    model = KneserNey(langs, [_fitted(words) for words in fit], 1.0 / (alphabet + 1), np.full(len(langs), math.inf), 1.0)
     results = []
     for lang, words in held:
         logp, n = model.score_words(words)
@@ -236,7 +245,7 @@ _SCORERS: dict[int, Scorer] = {}
 def _predict(shared, added: tuple[str, ...]) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if shared.value is not None:
-            key = hash(shared.value.grams[ORDER][0].tobytes())
+            key = hash((*shared.value.langs, *(m.grams[ORDER][0].tobytes() for m in shared.value.models)))
             if key not in _SCORERS:
                 _SCORERS.clear()
                 _SCORERS[key] = Scorer(shared.value)
@@ -255,24 +264,32 @@ def _predict(shared, added: tuple[str, ...]) -> Callable:
     return run
 
 
-def training_sample(docs: DataFrame, text_col: str, lang_col: str, order: str, docs_per_lang: int = SAMPLE_DOCS) -> list[tuple[str, str]]:
-    """Per language the docs_per_lang documents of least hash that have 1 to SAMPLE_CHARS characters."""
-    rows = docs.select(lang_col, text_col, order).where(F.col(lang_col).isNotNull() & F.length(text_col).between(1, SAMPLE_CHARS)).withColumn("_hash", F.pmod(F.xxhash64(order), F.lit(1 << 40)))
-    # By the languages' counts few more hashes than needed are let through to the sort.
-    share = {r[0]: (2 * docs_per_lang + 50) / r[1] for r in rows.groupBy(lang_col).count().collect()}
-    if not share:
+def training_sample(docs: DataFrame, text_col: str, lang_col: str, order: str, docs_per_lang: int = SAMPLE_DOCS, docs_in_all: int = SAMPLE_ALL) -> list[tuple[str, str]]:
+    """Per language the documents of least hash, at most docs_per_lang and docs_in_all together, but two of each language.
+
+    Of a text of more than SAMPLE_CHARS characters that many enter, from a place that its hash gives.
+    """
+    rows = docs.select(lang_col, text_col, order).where(F.col(lang_col).isNotNull() & (F.length(text_col) > 0)).withColumn("_hash", F.pmod(F.xxhash64(order), F.lit(1 << 40)))
+    sizes = {r[0]: r[1] for r in rows.groupBy(lang_col).count().collect()}
+    if not sizes:
         return []
-    cuts = F.create_map(*[F.lit(x) for lang, part in share.items() for x in (lang, int(min(1.0, part) * (1 << 40)))])
-    w = Window.partitionBy(lang_col).orderBy("_hash", order)
-    some = rows.where(F.col("_hash") < F.element_at(cuts, F.col(lang_col))).withColumn("_place", F.row_number().over(w))
-    return sorted((r[0], r[1]) for r in some.where(F.col("_place") <= docs_per_lang).select(lang_col, text_col).collect())
+    each = max(2, min(docs_per_lang, docs_in_all // len(sizes)))
+    # By the languages' counts few more hashes than needed are let through to the sort.
+    cuts = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, int(min(1.0, (2 * each + 50) / n) * (1 << 40)))])
+    start = F.pmod(F.col("_hash"), F.greatest(F.lit(1), F.length(text_col) - SAMPLE_CHARS + 1)).cast("int")
+    piece = F.substring(F.col(text_col), start + 1, F.lit(SAMPLE_CHARS))
+    some = rows.where(F.col("_hash") < F.element_at(cuts, F.col(lang_col))).select(lang_col, piece.alias("piece"), "_hash", order)
+    w = Window.partitionBy(lang_col).orderBy("_hash", order, "piece")
+    some = some.withColumn("_place", F.row_number().over(w))
+    return sorted((r[0], r[1]) for r in some.where(F.col("_place") <= each).select(lang_col, "piece").collect())
 
 
 def predict_language(docs: DataFrame, model: KneserNey | None, text_col: str = "text", keep: list[str] | None = None, names: tuple[str, str, str, str] = ("lang_pred", "score", "entropy", "rejected")) -> DataFrame:
     """The kept columns of docs with lang_pred, score, entropy and rejected, or other names for them; one row per document.
 
     lang_pred has the lowest cross-entropy per character over the text's words of letters; score
-    is the calibrated probability of it. Lower case and words of letters only; a null or repeated id is passed through. Null texts and texts without a letter are `und` with
+    is the calibrated probability of it. Texts are read in lower case, word by word: a word is a run of letters, scored
+    alone with its two edges, so no gram spans a blank; a null or repeated id is passed through. Null texts and texts without a letter are `und` with
     score 0 and rejected; without a model every text is `und`. Others are rejected if their
     entropy lies above the language's calibrated ceiling and they have MIN_LETTERS letters.
     """
