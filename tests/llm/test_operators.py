@@ -176,9 +176,54 @@ def test_secrets_match_patterns_and_flag_random_tokens(spark):
     assert cleaned == "k <secret> and <secret> z"
 
 
-def test_benjamini_hochberg_on_bins():
-    assert secrets.rejection_bins([(1, 0, 90), (1, 400, 10)], 0.01) == {1: 400}
-    assert secrets.rejection_bins([(1, 0, 90), (1, 100, 10)], 0.01) == {}
+def test_share_of_natural_tokens_among_reported():
+    # 100 random tokens spread over bins 0 to 99, 100 natural ones as their decoys are, from bin 300 on and two in bin 5.
+    counts = [(1, b, 3.0 if b == 5 else 1.0, 2.0 if b == 5 else 0.0) for b in range(100)] + [(1, 300, 98.0, 98.0)]
+    assert secrets.report_bins(counts, 0.05) == {1: 100} and secrets.report_bins(counts, 0.001) == {1: 5}
+    assert secrets.report_bins([(1, 300, 50.0, 50.0)], 0.05) == {}
+    assert secrets.report_bins([(2, 10, 1.0, 0.0), (2, 300, 0.0, 1.0)], 0.05) == {2: 11}
+
+
+def test_battery_equals_numpy(spark):
+    """The four tests' largest score, recomputed."""
+    rng = random.Random(5)
+    alphabet = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+    tokens = ["".join(rng.choice(alphabet) for _ in range(n)) + "aZ9" for n in (20, 33, 64, 200)] + ["TheOldHouse1StandsNearTheRiverAndPeopleWalk"]
+
+    def want(t):
+        k, n = 62, len(t)
+        at = np.array([alphabet.index(c) for c in t])
+        cells = int(min(k, max(4, n // 3)))
+        held = np.bincount(np.arange(k) * cells // k, minlength=cells) / k
+        seen = np.bincount(at * cells // k, minlength=cells)
+        chi = ((seen - n * held) ** 2 / (n * held)).sum()
+        var = 2 * (cells - 1) * (n - 1) / n + ((1 / held).sum() - cells**2) / n
+        flat = var / (9 * (cells - 1) ** 2)
+        z = [abs(np.cbrt(chi / (cells - 1)) - (1 - flat)) / np.sqrt(flat)]
+        high = at >= k / 2
+        mean = 1 + 2 * high.sum() * (n - high.sum()) / n
+        z.append(abs(1 + (high[1:] != high[:-1]).sum() - mean) / np.sqrt((mean - 1) * (mean - 2) / (n - 1)))
+        z.append(abs(((at[1:] - 30.5) * (at[:-1] - 30.5)).sum()) / (np.sqrt(n - 1) * (k * k - 1) / 12))
+        z.append(max(0, (sum(c in "etaoinsrETAOINSR" for c in t) - n * 16 / 62) / np.sqrt(n * 16 / 62 * 46 / 62)))
+        return max(z)
+
+    rows = spark.createDataFrame([(t,) for t in tokens], "t string").select("t", secrets._battery(F.col("t"))["neglog"].alias("neglog")).collect()
+    from statistics import NormalDist
+
+    for r in rows:
+        tail = NormalDist().cdf(-want(r.t)) * 7
+        assert abs(r.neglog - max(0.0, -np.log10(tail))) < 0.025, r
+
+
+def test_natural_tokens_are_not_reported_for_being_short(spark):
+    rng = random.Random(6)
+    words = "house river bridge market window garden letter winter summer people music shoulder picture question mountain another through thought children morning".split()
+    joined = lambda: "".join(rng.sample(words, 4))
+    texts = [f"see {joined()} and {joined().title()} or {'_'.join(rng.sample(words, 4))} here" for _ in range(60)]
+    texts += [f"key {''.join(rng.choices('ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789', k=40))} end" for _ in range(30)]
+    rows = secrets.find_secrets(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    flagged = {r.doc_id for r in rows if r.secrets}
+    assert sum(k < 60 for k in flagged) <= 3 and sum(k >= 60 for k in flagged) >= 28
 
 
 @pytest.mark.parametrize("rows_per_range", [40, 100_000])

@@ -83,7 +83,7 @@ def _kind_count(column: str, kind: str) -> Column:
 
 
 def op10_randomness_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = find_secrets(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "secrets")
+    found = find_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"])
     names = [name for name, *_ in KINDS]
     return found.select(
         "doc_id",

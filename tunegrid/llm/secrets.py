@@ -1,11 +1,15 @@
 """Secret scans with DataFrame functions: fixed patterns, and a randomness test battery for other tokens.
 
-A candidate token is judged against the hypothesis that its characters are independent and
+A candidate token is scored against the hypothesis that its characters are independent and
 uniform over the alphabet its encoding implies. Four tests (chi-squared of the character
 counts, runs above and below the alphabet's middle, lag-one serial correlation, excess of
-common letters) give normal scores; the largest of them gives a p-value, corrected for their seven tails. Natural and patterned
-tokens fail. Tokens that the Benjamini-Hochberg procedure, run within classes of equal length,
-does not reject are reported, if they carry MIN_BITS.
+common letters) give normal scores; the largest of them gives a p-value, corrected for their seven tails.
+
+The null hypothesis of a report is a natural token. Decoys stand for it: the candidate itself, its
+letters replaced by running letters of its own document, in their case, so that length, encoding, digits
+and marks are equal. Per length class and encoding the candidates that look as random as the chosen
+bound are reported; the decoys that do so estimate how many of these are natural, and the bound is the
+widest that keeps their share at FALSE_RATE, short of scores by which the battery rejects randomness outright.
 """
 
 from __future__ import annotations
@@ -15,6 +19,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tunegrid.llm.common import staged
+
 # Fixed values of the contract: kinds in order, pattern, group whose length counts, least length.
 KINDS = [
     ("assign", r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 1, 6),
@@ -27,8 +33,16 @@ HINTS = {"assign": KINDS[0][1], "access": r"AKIA[A-Z0-9]{16}", "hex": r"[0-9a-f]
 CANDIDATE = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}+(?:={1,2}(?![A-Za-z0-9+/_=-]))?"
 CANDIDATE_HINT = r"[A-Za-z0-9+/_-]{20}"
 METHOD = "random"
+#: Tokens of fewer than 20 characters or MIN_BITS under their alphabet are too short for the battery and are not judged.
 MIN_BITS = 80.0
-FALSE_RATE = 0.01
+#: Share of natural tokens among those reported, by the decoys' estimate.
+FALSE_RATE = 0.05
+#: Bins of -log10(p) in hundredths from which the battery rejects a token as not random: such a token is never reported.
+REJECTED = 300
+#: Characters of decoys made for a token: short ones need many for a fine estimate, long ones are told apart by one.
+DECOY_CHARS = 600
+# Natural text for documents that have no letters besides their tokens.
+NATURAL = "thequietrivercarriesleavesunderthestonebridgewhilechildrenplayandoldmentalkofyearsgonebydieleutegehenamabendzumflussundhorendemwasserzulesgensmarchentlelongdeleauquandlesoirtombe"
 #: Bins of -log10(p) in hundredths, and classes of length in doublings: the size of the counted table.
 BINS, CLASSES = 1600, 24
 _ENCODINGS = [("^[0-9]+$", "0123456789"), ("^[0-9a-f]+$", "0123456789abcdef"), ("^[0-9A-F]+$", "0123456789ABCDEF"), ("^[A-Z2-7]+=*$", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"), ("^[a-z0-9]+$", "0123456789abcdefghijklmnopqrstuvwxyz"), ("^[A-Z0-9]+$", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"), ("^[A-Za-z0-9]+=*$", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"), ("^[A-Za-z0-9+/]+=*$", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz+/"), ("^[A-Za-z0-9_-]+=*$", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz-_"), ("", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz+/-_")]
@@ -87,7 +101,7 @@ def _with_matches(df: DataFrame, text: str, name: str, pattern: str, hint: str,
 
 
 def _normal_tail(z: Column) -> Column:
-    """-log10 of P(Z > z) for z >= 0, by the bound exp(-z*z/2) / (z + sqrt(z*z + 8/pi)) * sqrt(2/pi), whose error is under 1 %."""
+    """-log10 of P(Z > z) for z >= 0, by the bound exp(-z*z/2) / (z + sqrt(z*z + 8/pi)) * sqrt(2/pi), up to 5 % above the true one."""
     return (z * z / 2 + F.log(z + F.sqrt(z * z + F.lit(2.546479089470325))) + F.lit(0.2257913526447274)) / F.lit(2.302585092994046)
 
 
@@ -138,63 +152,103 @@ def _battery(token: Column) -> Column:
     return let(let(spelled, counted), tested)
 
 
+def _encoding(token: Column) -> Column:
+    """The number of the token's encoding."""
+    return F.coalesce(*[F.when(token.rlike(pattern), F.lit(k)) for k, (pattern, _) in enumerate(_ENCODINGS)])
+
+
+def _decoys(token: Column, letters: Column) -> Column:
+    """The token with its letters replaced by runs of letters, as often as DECOY_CHARS allows."""
+    size = F.length(token)
+    times = F.greatest(F.lit(1), F.ceil(F.lit(DECOY_CHARS) / size).cast("int"))
+
+    def made(s: Column) -> Column:
+        room = F.greatest(F.lit(1), F.length(letters) - s["size"] + 1)
+        start = lambda k: F.pmod(F.xxhash64(token, k), room).cast("int") + 1
+        run = lambda k: F.rpad(F.substring(letters, start(k), s["size"]), s["size"], letters)
+        cased = lambda c, x: F.when(c.rlike("[A-Z]"), F.upper(x)).when(c.rlike("[a-z]"), x).otherwise(c)
+        return F.transform(F.sequence(F.lit(1), s["times"]), lambda k: F.array_join(F.zip_with(s["spelt"], F.split(run(k), ""), cased), ""))
+
+    return let(F.struct(size.alias("size"), times.alias("times"), F.split(token, "").alias("spelt")), made)
+
+
 def _scanned(docs: DataFrame, text_col: str) -> DataFrame:
-    """docs with columns _assign, _access, _hex (spans) and _cand: tested tokens outside them."""
+    """docs with columns __tg_assign, __tg_access, __tg_hex (spans) and __tg_cand: tested tokens outside them, with their decoys' scores."""
     out = docs.withColumn("__tg_scan", F.coalesce(F.col(text_col), F.lit("")))
     for name, pattern, group, least in KINDS:
         out = _with_matches(out, "__tg_scan", f"__tg_{name}", pattern, HINTS[name], group, least)
     out = _with_matches(out, "__tg_scan", "__tg_cand", CANDIDATE, CANDIDATE_HINT, 0, 20)
     known = F.concat("__tg_assign", "__tg_access", "__tg_hex")
-    free = F.filter("__tg_cand", lambda x: ~F.exists(known, lambda y: (y["start"] < x["end"]) & (x["start"] < y["end"])))
-    tested = F.transform(free, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), _battery(x["token"]).alias("test")))
-    keep = F.filter(tested, lambda x: x["test"]["bits"] >= MIN_BITS)
-    ready = F.transform(
-        keep,
-        lambda x: F.struct(
-            x["start"].alias("start"), x["end"].alias("end"),
-            F.least(F.lit(CLASSES - 1), F.floor(F.log2((x["end"] - x["start"]).cast("double") / 5))).cast("int").alias("class"),
-            F.least(F.lit(BINS), F.floor(x["test"]["neglog"] * 100)).cast("int").alias("bin"),
-        ),
-    )
-    return out.withColumn("__tg_cand", F.when(F.size("__tg_cand") > 0, ready)).drop("__tg_scan")
-
+    out = out.withColumn("__tg_cand", F.filter("__tg_cand", lambda x: ~F.exists(known, lambda y: (y["start"] < x["end"]) & (x["start"] < y["end"]))))
+    letters = F.concat(F.regexp_replace(F.lower("__tg_scan"), "[a-z0-9+/_=-]{20,}+|[^a-z]++", ""), F.lit(NATURAL))
+    out = out.withColumn("__tg_letters", F.when(F.size("__tg_cand") > 0, letters))
+    binned = lambda t: F.least(F.lit(BINS), F.floor(t["neglog"] * 100)).cast("int")
+
+    def judged(x: Column) -> Column:
+        tests = F.transform(F.concat(F.array(x["token"]), _decoys(x["token"], F.col("__tg_letters"))), _battery)
+        kind = F.least(F.lit(CLASSES - 1), F.floor(F.log2((x["end"] - x["start"]).cast("double") / 5))).cast("int") * len(_ENCODINGS) + _encoding(x["token"])
+        return let(
+            tests,
+            lambda t: F.struct(
+                x["start"].alias("start"), x["end"].alias("end"), kind.alias("class"), F.get(t, F.lit(0))["bits"].alias("bits"), binned(F.get(t, F.lit(0))).alias("bin"),
+                F.transform(F.slice(t, F.lit(2), F.size(t)), binned).alias("decoys"),
+            ),
+        )
 
-def rejection_bins(counts: list[tuple[int, int, int]], rate: float = FALSE_RATE) -> dict[int, int]:
-    """Benjamini-Hochberg per length class over (class, bin, count): the least bin whose tokens are rejected as random."""
-    least: dict[int, int] = {}
-    for kind in {c for c, _, _ in counts}:
-        bins = sorted(((b, n) for c, b, n in counts if c == kind), reverse=True)
-        total, at = sum(n for _, n in bins), 0
-        for b, n in bins:
-            at += n
-            if 10 ** (-b / 100) <= rate * at / total:
-                least[kind] = b
-    return least
+    return out.withColumn("__tg_cand", F.when(F.size("__tg_cand") > 0, F.filter(F.transform("__tg_cand", judged), lambda x: x["bits"] >= MIN_BITS))).drop("__tg_scan", "__tg_letters")
 
 
-def find_secrets(docs: DataFrame, text_col: str = "text", into: str = "secrets") -> DataFrame:
-    """docs with column `into`: array of (kind, start, end) by start and kind's place, in code points.
+def report_bins(counts: list[tuple[int, int, float, float]], rate: float = FALSE_RATE) -> dict[int, int]:
+    """Per class over (class, bin, candidates, decoys in candidates' worth): the bin below which candidates are reported.
 
-    Fixed kinds come first; METHOD adds tokens that overlap none of them. A first pass counts
-    candidates by length class and p-value bin, at most CLASSES * (BINS + 1) counts, which give
-    the thresholds of the second. Null and empty texts have no spans; rows are otherwise
+    The natural share of a class is what its candidates beyond the decoys' median bin say, one more counted for
+    safety. The bound is the largest whose estimated natural tokens are at most rate of those reported.
+    """
+    bounds: dict[int, int] = {}
+    for kind in {c for c, *_ in counts}:
+        bins = sorted((b, n, d) for c, b, n, d in counts if c == kind)
+        half, below = sum(d for *_, d in bins) / 2, 0.0
+        for middle, _, d in bins:
+            below += d
+            if below >= half:
+                break
+        beyond = [sum(x) for x in zip(*((n, d) for b, n, d in bins if b >= middle), strict=True)]
+        natural = min(1.0, (beyond[0] + 1) / beyond[1]) if beyond[1] else 1.0
+        reported = false = 0.0
+        for b, n, d in bins:
+            reported, false = reported + n, false + natural * d
+            if reported and false <= rate * reported:
+                bounds[kind] = min(b + 1, REJECTED)
+    return bounds
+
+
+def find_secrets(docs: DataFrame, text_col: str = "text", into: str = "secrets", keep: list[str] | None = None) -> DataFrame:
+    """The kept columns of docs (all by default) with column `into`: array of (kind, start, end) by start and kind's place, in code points.
+
+    Fixed kinds come first; METHOD adds tokens that overlap none of them. Texts are scanned once: spans, scores and kept
+    columns are written to the shared folder, then counts by class and bin (at most CLASSES * encodings * (BINS + 1)) give
+    the bounds. Null and empty texts have no spans; rows are otherwise
     independent, so repeated rows, null ids and other columns are passed through; a column
     already named `into` is replaced.
     """
-    scanned = _scanned(docs, text_col)
-    counted = scanned.where(F.size("__tg_cand") > 0).select(F.explode("__tg_cand").alias("c")).groupBy("c.class", "c.bin").count().collect()
-    least = rejection_bins([tuple(r) for r in counted])
-    bound = F.lit(BINS + 1)
-    pick = lambda c: F.coalesce(*[F.when(c == k, F.lit(b)) for k, b in sorted(least.items())], bound) if least else bound
+    columns = [c for c in (docs.columns if keep is None else keep) if c != into]
+    kinds = [f"__tg_{name}" for name, *_ in KINDS]
+    scanned = staged(_scanned(docs, text_col).select(*[F.col(f"`{c}`") for c in columns], *kinds, "__tg_cand"), "scanned")
+    tested = scanned.where(F.size("__tg_cand") > 0).select(F.explode("__tg_cand").alias("c"))
+    scores = F.explode(F.concat(F.array(F.struct(F.col("c.bin").alias("bin"), F.lit(1.0).alias("n"), F.lit(0.0).alias("d"))), F.transform("c.decoys", lambda b: F.struct(b.alias("bin"), F.lit(0.0).alias("n"), (1 / F.size("c.decoys")).alias("d")))))
+    counted = tested.select(F.col("c.class").alias("class"), scores.alias("s")).groupBy("class", "s.bin").agg(F.sum("s.n"), F.sum("s.d")).collect()
+    bounds = report_bins([tuple(r) for r in counted])
+    pick = lambda c: F.coalesce(*[F.when(c == k, F.lit(b)) for k, b in sorted(bounds.items())], F.lit(0))
+
     def placed(column: Column | str, place: int) -> Column:
         return F.transform(column, lambda x: F.struct(x["start"].alias("start"), F.lit(place).alias("place"), x["end"].alias("end")))
 
-    spans = [placed(f"__tg_{name}", k) for k, (name, *_) in enumerate(KINDS)]
-    flagged = F.filter(F.coalesce("__tg_cand", F.array().cast("array<struct<start:bigint,end:bigint,class:int,bin:int>>")), lambda x: x["bin"] < pick(x["class"]))
-    spans.append(placed(flagged, len(KINDS)))
+    spans = [placed(name, k) for k, name in enumerate(kinds)]
+    reported = F.filter("__tg_cand", lambda x: x["bin"] < pick(x["class"]))
+    spans.append(F.coalesce(placed(reported, len(KINDS)), F.array().cast("array<struct<start:bigint,place:int,end:bigint>>")))
     names = F.array(*[F.lit(n) for n, *_ in KINDS], F.lit(METHOD))
     secrets = F.transform(F.array_sort(F.concat(*spans)), lambda x: F.struct(F.get(names, x["place"]).alias("kind"), x["start"].alias("start"), x["end"].alias("end")))
-    return scanned.withColumn(into, secrets).drop("__tg_cand", *[f"__tg_{n}" for n, *_ in KINDS])
+    return scanned.withColumn(into, secrets).drop("__tg_cand", *kinds)
 
 
 def span_text(spans: Column) -> Column:
@@ -204,14 +258,14 @@ def span_text(spans: Column) -> Column:
 def redact_secrets(docs: DataFrame, text_col: str = "text", mark: str = "<secret>") -> DataFrame:
     """docs with each secret span of the text replaced by mark; overlapping spans become one mark. Other columns stay."""
     found = find_secrets(docs, text_col, "__tg_secrets")
-    # Pieces between spans: the part from the furthest end so far to the next start.
+    # Spans that overlap are merged while walking; a piece of text goes from the end before to the start, so that each is cut once.
     step = F.aggregate(
         "__tg_secrets",
-        F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at")),
-        lambda a, x: F.struct(
-            F.when(x["end"] <= a["at"], a["out"]).when(x["start"] < a["at"], a["out"]).otherwise(F.concat(a["out"], F.substring(F.col(text_col), (a["at"] + 1).cast("int"), (x["start"] - a["at"]).cast("int")), F.lit(mark))).alias("out"),
-            F.greatest(a["at"], x["end"]).alias("at"),
-        ),
-        lambda a: F.concat(a["out"], F.substring(F.col(text_col), (a["at"] + 1).cast("int"), F.length(F.col(text_col)))),
+        F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,size:bigint>>").alias("gaps")),
+        lambda a, x: F.struct(F.greatest(a["at"], x["end"]).alias("at"), F.when(x["start"] < a["at"], a["gaps"]).otherwise(F.concat(a["gaps"], F.array(F.struct(a["at"].alias("start"), (x["start"] - a["at"]).alias("size"))))).alias("gaps")),
     )
-    return found.withColumn(text_col, F.when(F.size("__tg_secrets") > 0, step).otherwise(F.col(text_col))).drop("__tg_secrets")
+    text = F.col(text_col)
+    found = found.withColumn("__tg_walk", F.when(F.size("__tg_secrets") > 0, step))
+    pieces = F.transform("__tg_walk.gaps", lambda g: F.substring(text, (g["start"] + 1).cast("int"), g["size"].cast("int")))
+    rest = F.substring(text, (F.col("__tg_walk.at") + 1).cast("int"), F.length(text))
+    return found.withColumn(text_col, F.when(F.size("__tg_secrets") > 0, F.array_join(F.concat(pieces, F.array(rest)), mark)).otherwise(text)).drop("__tg_secrets", "__tg_walk")
