@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-from bisect import bisect_right
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -90,12 +89,16 @@ def _at_or_above(key: int) -> Column:
     return (high > a) | ((high == a) & (low >= b))
 
 
-def _range_of(bounds: list[int], lo: int, hi: int) -> Column:
-    """The number of bounds[lo:hi] at or below the row's key, plus lo, by binary search in nested conditions."""
-    if lo == hi:
-        return F.lit(lo)
-    mid = (lo + hi) // 2
-    return F.when(_at_or_above(bounds[mid]), _range_of(bounds, mid + 1, hi)).otherwise(_range_of(bounds, lo, mid))
+def _shard_of(bounds: list[int]) -> Column:
+    """The number of the shards' bounds at or below the row's key, by binary search in nested conditions."""
+
+    def between(lo: int, hi: int) -> Column:
+        if lo == hi:
+            return F.lit(lo)
+        mid = (lo + hi) // 2
+        return F.when(_at_or_above(bounds[mid]), between(mid + 1, hi)).otherwise(between(lo, mid))
+
+    return between(0, len(bounds))
 
 
 def shard_documents(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: str = "text", rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
@@ -104,9 +107,9 @@ def shard_documents(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", t
     size is the text's UTF-8 bytes (null: none) plus 1. Rows are ordered by (crc32 of the text,
     hash of the id, place in the input), so equal texts are neighbours, in one shard unless a
     splitter falls among them; a group of any size can be split. Shards are key ranges whose
-    bytes differ from the mean by at most twice TOLERANCE of a shard or one row. slot runs from 0 in each
-    shard. Large shards are sorted in several key ranges, each dealt to one task in the single
-    exchange, and a range's first slot is the exact count of rows below it.
+    bytes differ from the mean by at most twice TOLERANCE of a shard or one row. The driver holds the
+    shards' splitters only. slot runs from 0 in each shard: rows are exchanged once by shard and key, into
+    as many sorted partitions as they need, and a partition's first slot is the number of the shard's rows before it.
 
     A null text has size 1 and a null crc; null and repeated ids are rows like others; an empty
     table gives no rows. With fewer rows than shards some shards are empty.
@@ -118,23 +121,15 @@ def shard_documents(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", t
     keyed = staged(keyed, "sizes")
     count, total = keyed.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
     near = TOLERANCE * total / shards
+    found = histogram_splitters(keyed, [("bytes", total * k / shards, near) for k in range(1, shards)]) if count else []
+    placed = keyed.withColumns({"shard": _shard_of(sorted(f[0] for f in found)), "high": F.col("k1").bitwiseXOR(F.lit(_LOW).cast("long"))})
     parts = max(1, math.ceil(count / rows_per_range))
-    targets = [("bytes", total * k / shards, near) for k in range(1, shards)]
-    targets += [("rows", count * k / parts, 0.1 * rows_per_range) for k in range(1, parts)]
-    found = histogram_splitters(keyed, targets) if count else []
-    starts = sorted(f[0] for f in found[: shards - 1])
-    bounds = sorted({f[0]: f[1] for f in found}.items())
-    keys, below = [k for k, _ in bounds], [0, *(n for _, n in bounds)]
-    shard_of = [bisect_right(starts, key) for key in (0, *keys)]
-    if keys and keys[0] == 0:
-        shard_of[0] = 0
-    first = {}
-    for n, s in zip(below, shard_of, strict=True):
-        first.setdefault(s, n)
-    offsets = [n - first[s] for n, s in zip(below, shard_of, strict=True)]
-    ranged = keyed.withColumn("_range", _range_of(keys, 0, len(keys)))
-    w = Window.partitionBy("_range").orderBy(F.col("k1").bitwiseXOR(F.lit(_LOW).cast("long")), "k2")
-    look = lambda values, kind: F.get(F.lit(values).cast(f"array<{kind}>"), F.col("_range"))
-    return ranged.select(
-        "doc_id", "size", "text_crc32", look(shard_of, "int").alias("shard"), (look(offsets, "bigint") + F.row_number().over(w) - 1).alias("slot")
-    )
+    dealt = placed.repartitionByRange(parts, "shard", "high", "k2").sortWithinPartitions("shard", "high", "k2")
+    # The number of a row: its partition's in the upper bits, its place there in the lower 33.
+    dealt = staged(dealt.select("doc_id", "size", "text_crc32", "shard", F.monotonically_increasing_id().alias("number")), "dealt")
+    pieces = dealt.groupBy("shard", F.shiftright("number", 33).alias("part")).agg(F.min("number").alias("first"), F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy("shard").orderBy("part")) - F.col("n")
+    # One row for each partition and shard in it: at most parts + shards.
+    pieces = pieces.select("shard", "part", (before - F.col("first")).alias("offset"))
+    numbered = dealt.withColumn("part", F.shiftright("number", 33)).join(F.broadcast(pieces), ["shard", "part"])
+    return numbered.select("doc_id", "size", "text_crc32", "shard", (F.col("number") + F.col("offset")).alias("slot"))
