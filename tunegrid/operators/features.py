@@ -49,12 +49,19 @@ def user_features(users: DataFrame, signals: DataFrame, roles: DataFrame) -> Dat
     )
 
 
-def negative_samples(positives: DataFrame, items: int, per_positive: int = 3, seed: int = 5) -> DataFrame:
-    """(id_user, positive, n, negative): hash-drawn items other than the positive; they may be other positives."""
-    rows = positives.select("id_user", F.col("id_release").alias("positive"), F.explode(F.sequence(F.lit(1), F.lit(per_positive))).alias("n"))
+def negative_samples(positives: DataFrame, releases: DataFrame, per_positive: int = 3, seed: int = 5) -> DataFrame:
+    """(id_user, positive, n, negative): hash-drawn releases of the whole catalogue other than the positive; they may be other positives.
+
+    Releases are numbered by id; a draw is a number of steps, less than their count, on from the positive's, so every other
+    release can be met.
+    """
+    numbered = dense_ids(releases.select("id_release").distinct(), "id_release", "place")
+    items = F.lit(numbered.count())
+    rows = positives.select("id_user", F.col("id_release").alias("positive")).join(numbered.select(F.col("id_release").alias("positive"), "place"), "positive")
+    rows = rows.withColumn("n", F.explode(F.sequence(F.lit(1), F.lit(per_positive))))
     drawn = portable_hash(F.col("id_user"), F.col("positive"), seed) * 31 + F.col("n") * 7907
-    other = F.pmod(F.col("positive") + 1 + F.pmod(drawn, F.lit(items - 1)), F.lit(items))
-    return rows.select("id_user", "positive", F.col("n").cast("long").alias("n"), other.alias("negative"))
+    rows = rows.withColumn("place", F.pmod(F.col("place") + 1 + F.pmod(drawn, items - 1), items))
+    return rows.join(numbered.select(F.col("id_release").alias("negative"), "place"), "place").select("id_user", "positive", F.col("n").cast("long").alias("n"), "negative")
 
 
 def als_factors(rated: DataFrame, rank: int = 8, iterations: int = 5, seed: int = 42) -> DataFrame:

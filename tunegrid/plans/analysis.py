@@ -174,8 +174,11 @@ register("item_features", lambda c: features.item_features(c.releases, c.release
 register("user_features", lambda c: features.user_features(c.users, _activity(c), _roles(c)), """
     SELECT id_user, dense_rank() OVER (ORDER BY role) AS role_idx, round(objectivity_score / 100, 6) AS objectivity, round(ln(1 + coalesce(n, 0)), 6) AS ratings, round(least(1.0::DOUBLE, coalesce(days, 0) / 7300.0::DOUBLE), 6) AS age
     FROM usr LEFT JOIN (SELECT id_user, count(*) AS n, date_diff('day', min(rating_date), DATE '2001-09-01') AS days FROM inter GROUP BY 1) USING (id_user)""")
-register("negative_samples", lambda c: features.negative_samples(c.positives, 1000), f"""
-    SELECT id_user, id_release AS positive, n, (id_release + 1 + (((id_user * 2654435761 + id_release * 40503 + {97 * 5}) % 1000003) * 31 + n * 7907) % 999) % 1000 AS negative FROM pos, (SELECT unnest([1, 2, 3])::BIGINT AS n)""")
+register("negative_samples", lambda c: features.negative_samples(c.positives, c.parts), f"""
+    SELECT id_user, id_release AS positive, n, negative FROM (
+      SELECT id_user, id_release, k.n, (place + 1 + (((id_user * 2654435761 + id_release * 40503 + {97 * 5}) % 1000003) * 31 + k.n * 7907) % ((SELECT count(*) FROM parts) - 1)) % (SELECT count(*) FROM parts) AS drawn
+      FROM pos JOIN placed USING (id_release), (SELECT unnest([1, 2, 3])::BIGINT AS n) k)
+    JOIN (SELECT id_release AS negative, place AS drawn FROM placed) USING (drawn)""", placed="SELECT id_release, row_number() OVER (ORDER BY id_release) - 1 AS place FROM parts")
 register("als_factors", lambda c: features.als_factors(c.positives))
 register("rf_best_strategy", lambda c: features.forest_best_strategy(_labelled(c), ["size", "n"], "best"))
 

@@ -42,8 +42,8 @@ register("release_gaps", lambda c: c.releases.where("avg_rating is null or relea
 register("release_mismatch", lambda c: health.mismatch(release_expected(c), c.interactions.where("rating > 0"), "id_release"), "SELECT id_release, ratings_count + 1 AS expected, ratings_count AS stored FROM rel WHERE id_release % 11 = 0")
 register("artists_without_genres", lambda c: c.artists.join(c.parts.where((F.col("title").startswith("red")) & (F.col("id_release") % 20 == 0)).select(F.col("artist_id").alias("id_artist")).distinct(), "id_artist", "left_anti").select("id_artist"),
          "SELECT DISTINCT artist_id AS id_artist FROM parts WHERE artist_id NOT IN (SELECT artist_id FROM parts WHERE starts_with(title, 'red') AND id_release % 20 = 0)")
-register("orphans", lambda c: health.orphans(c.all_ratings.where("l_quantity = 50").select("id_user", "id_release").distinct(), c.users.where("id_user % 10 != 3"), c.parts.where("id_release % 10 != 7"), "id_user", "id_release"),
-         "SELECT DISTINCT o_custkey AS id_user, l_partkey AS id_release FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_quantity = 50 AND (o_custkey % 10 = 3 OR l_partkey % 10 = 7)")
+register("orphans", lambda c: health.orphans(c.all_ratings.select("id_user", "id_release").distinct(), c.users.where("id_user % 10 != 3"), c.parts.where("id_release % 10 != 7"), "id_user", "id_release"),
+         "SELECT DISTINCT o_custkey AS id_user, l_partkey AS id_release FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_custkey % 10 = 3 OR l_partkey % 10 = 7")
 register("health_report", lambda c: health.report([("user_mismatch", "medium", health.mismatch(expected_of(c), c.interactions, "id_user")), ("release_mismatch", "low", health.mismatch(release_expected(c), c.interactions.where("rating > 0"), "id_release")), ("queue_unknown", "high", health.queue_errors(queue_of(c)).where("kind = 'unknown'"))]).select("category", "severity", "n"),
          "SELECT 'user_mismatch' AS category, 'medium' AS severity, count(*) AS n FROM usr WHERE id_user % 3 > 0 UNION ALL SELECT 'release_mismatch', 'low', count(*) FROM parts WHERE id_release % 11 = 0 UNION ALL SELECT 'queue_unknown', 'high', 1")
 _POP = "ratings_count DESC NULLS LAST, avg_rating DESC NULLS LAST, id_release DESC"
