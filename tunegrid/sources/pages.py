@@ -18,13 +18,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 # Heading labels of a discography and the release type each stands for.
-CATEGORY_TYPES = {
-    "LP": ["lp", "lps", "full-length", "full length", "albums", "album", "live", "live albums", "split", "splits", "split albums", "demos", "demo"],
-    "EP": ["eps", "ep", "mini albums"],
-    "Single": ["singles", "single"],
-    "Compilation": ["compilation", "compilations", "soundtracks", "soundtrack", "boxsets", "box sets", "box set", "best of", "misc", "miscellaneous"],
-}
-TYPE_OF = {label: kind for kind, labels in CATEGORY_TYPES.items() for label in labels}
+TYPE_OF = {
+    "lp": "LP", "lps": "LP", "full-length": "LP", "full length": "LP", "albums": "LP", "album": "LP", "live": "LP", "live albums": "LP", "split": "LP", "splits": "LP", "split albums": "LP", "demos": "LP", "demo": "LP",
+    "eps": "EP", "ep": "EP", "mini albums": "EP",
+    "singles": "Single", "single": "Single",
+    "compilation": "Compilation", "compilations": "Compilation", "soundtracks": "Compilation", "soundtrack": "Compilation", "boxsets": "Compilation", "box sets": "Compilation", "box set": "Compilation", "best of": "Compilation", "misc": "Compilation", "miscellaneous": "Compilation",
+}
 MONTHS = ["january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december"]
 ALBUM = re.compile(r"/album/(\d+)(?:/|$|\?|')")
 
