@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tunegrid.operators.ranking import by_score, diversify, popularity_order, top_per_user
+from tunegrid.sources.staging import staged
 
 #: Fixed values of the fusion rules.
 RRF_K, BONUS, MAX_PAIRS, LEVEL_1, LEVEL_2 = 10, 0.2, 8, 20, 30
@@ -138,9 +139,10 @@ def max_scores(lists: list[tuple[str, DataFrame]]) -> DataFrame:
 
 
 def recommend_max(lists: list[tuple[str, DataFrame]], releases: DataFrame, users: DataFrame, interactions: DataFrame, limit: int = 9) -> DataFrame:
-    ranked = by_score(max_scores(lists), 1 << 30)
+    # Read twice: for the lists, and for the users without any.
+    ranked = staged(by_score(max_scores(lists), 1 << 30), "ranked")
     found = diversify(ranked, releases, limit).select("id_user", "rank", "id_release", F.round("score", 6).alias("score"), "strategy")
-    cold = users.select("id_user").join(found.select("id_user").distinct(), "id_user", "left_anti")
+    cold = users.select("id_user").join(ranked.select("id_user").distinct(), "id_user", "left_anti")
     filler = popular_unseen(cold, interactions, releases, limit).select("id_user", "rank", "id_release", F.lit(None).cast("double").alias("score"), F.lit("popular").alias("strategy"))
     return found.unionByName(filler)
 
@@ -191,6 +193,8 @@ def recommend_context(contexts: DataFrame, links: DataFrame, pairs: DataFrame, r
     have = have.join(near.groupBy("id_release").agg(F.count("*").alias("n1")), "id_release", "left").fillna(0, ["n1"])
     same = releases.select(F.col("id_release").alias("candidate"), "artist_id", "release_year")
     own = releases.select("id_release", "artist_id").join(have.where(F.col("n0") + F.col("n1") < limit).select("id_release"), "id_release", "left_semi")
+    # An artist's first 2 * limit + 1 releases are all that any of their releases can need: one of them may be that release.
+    same = top_per_user(same.where("artist_id > 0"), 2 * limit + 1, F.desc_nulls_last("release_year"), F.asc("candidate"), by=("artist_id",)).drop("rank")
     mates = own.where("artist_id > 0").join(same, "artist_id").where("candidate != id_release")
     mates = top_per_user(mates, 2 * limit, F.desc_nulls_last("release_year"), F.asc("candidate"), by=per).select("id_release", "candidate", "rank", F.lit(2).alias("source"))
     listed = contexts.join(direct.unionByName(near).unionByName(mates), "id_release").where("candidate != id_release")

@@ -67,8 +67,8 @@ def _best(row: np.ndarray, ids: np.ndarray, limit: int) -> np.ndarray:
     return near[np.lexsort((ids[near], -row[near]))[:limit]]
 
 
-def recommend_vectors(users: DataFrame, items: DataFrame, interactions: DataFrame, limit: int = 9, dim: int = 64, block: int = BLOCK) -> DataFrame:
-    """Top items by cosine between user and item vectors among those the user has not interacted with.
+def recommend_vectors(users: DataFrame, items: DataFrame, interactions: DataFrame, limit: int = 9, dim: int = 64, block: int = BLOCK, metric: str = "cosine") -> DataFrame:
+    """Top items by cosine, or by dot product of the vectors as they are, among those the user has not interacted with.
 
     Item vectors of another dimension or zero norm are skipped. Items are broadcast in blocks of
     at most `block`; each block yields its own top list and the lists are merged per user.
@@ -83,7 +83,8 @@ def recommend_vectors(users: DataFrame, items: DataFrame, interactions: DataFram
         some = sound if blocks == 1 else sound.where(F.pmod(F.xxhash64("id_release"), F.lit(blocks)) == b)
         held = some.select("id_release", "vector").collect()
         matrix = np.array([r[1] for r in held], np.float64).reshape(len(held), dim)
-        matrix /= np.linalg.norm(matrix, axis=1, keepdims=True)
+        if metric == "cosine":
+            matrix /= np.linalg.norm(matrix, axis=1, keepdims=True)
         shared = rows.sparkSession.sparkContext.broadcast((np.array([r[0] for r in held], np.int64), matrix))
         part = rows.mapInArrow(_scorer(shared, limit), "id_user long, id_release long, score double")
         out = part if out is None else out.unionByName(part)

@@ -33,6 +33,13 @@ CTES = {
         WHERE id_user IN (SELECT id_user FROM sig WHERE n_pos >= 20) GROUP BY 1, 2)""",
     "ev": "SELECT vec_id AS id_release, unnest(range(1, 65)) AS d, unnest(embedding)::DOUBLE AS e FROM embeddings",
     "en": "SELECT id_release, d, e / sqrt(sum(e * e) OVER (PARTITION BY id_release)) AS e FROM ev",
+    "tv": "SELECT id_release, (d - 1) % 32 AS d, sum(CASE WHEN d <= 32 THEN e ELSE -e END) AS e FROM ev GROUP BY 1, 2",
+    "tn": "SELECT id_release, d, e / sqrt(sum(e * e) OVER (PARTITION BY id_release)) AS e FROM tv",
+    "tuv": """SELECT id_user, d, t / sqrt(sum(t * t) OVER (PARTITION BY id_user)) AS v FROM (
+        SELECT id_user, d, sum(greatest(0.1, rating / 5) * e) AS t FROM pos JOIN tn USING (id_release)
+        WHERE id_user IN (SELECT id_user FROM sig WHERE n_pos >= 30) GROUP BY 1, 2)""",
+    "tsims": """SELECT id_user, id_release, round(s, 9) AS score FROM (SELECT id_user, id_release, sum(v * e) AS s FROM tuv JOIN tn USING (d) GROUP BY 1, 2)
+        ANTI JOIN inter USING (id_user, id_release)""",
     "sims": """SELECT id_user, id_release, round(s, 9) AS score FROM (SELECT id_user, id_release, sum(v * e) AS s FROM uv JOIN en USING (d) GROUP BY 1, 2)
         ANTI JOIN inter USING (id_user, id_release)""",
 }
@@ -72,6 +79,10 @@ def rec_vectors(limit: int) -> str:
     return f"SELECT id_user, id_release, score, row_number() OVER (PARTITION BY id_user ORDER BY score DESC, id_release) AS rank FROM sims QUALIFY rank <= {limit}"
 
 
+def rec_towers(limit: int) -> str:
+    return f"SELECT id_user, id_release, score, row_number() OVER (PARTITION BY id_user ORDER BY score DESC, id_release) AS rank FROM tsims QUALIFY rank <= {limit}"
+
+
 def popular(limit: int, users: str = "SELECT id_user FROM usr") -> str:
     return f"""SELECT id_user, row_number() OVER (PARTITION BY id_user ORDER BY p) AS rank, id_release FROM (SELECT * FROM ({users}), (
         SELECT id_release, row_number() OVER (ORDER BY ratings_count DESC NULLS LAST, avg_rating DESC NULLS LAST, id_release DESC) AS p FROM rel))
@@ -81,7 +92,7 @@ def popular(limit: int, users: str = "SELECT id_user FROM usr") -> str:
 def rankings(limit: int) -> str:
     return " UNION ALL ".join(
         f"SELECT id_user, '{name}' AS strategy, rank, id_release FROM ({sql}) SEMI JOIN (FROM sig WHERE n_pos >= {least}) USING (id_user)"
-        for name, sql, least in (("pairs", rec_pairs(limit), 1), ("content", rec_content(limit), 1), ("nmf", rec_vectors(limit), 20), ("two_towers", rec_vectors(limit), 30))
+        for name, sql, least in (("pairs", rec_pairs(limit), 1), ("content", rec_content(limit), 1), ("nmf", rec_vectors(limit), 20), ("two_towers", rec_towers(limit), 30))
     )
 
 
@@ -90,12 +101,14 @@ def linear(sql: str) -> str:
 
 
 def advanced(limit: int) -> str:
-    lists = linear(f"SELECT * FROM ({rec_vectors(3 * limit)}) JOIN (FROM sig WHERE n_pos >= 30) USING (id_user)")
+    side = lambda sql: linear(f"SELECT * FROM ({sql}) JOIN (FROM sig WHERE n_pos >= 30) USING (id_user)")
     alone = linear(f"SELECT * FROM ({rec_vectors(limit)}) JOIN (FROM sig WHERE n_pos BETWEEN 20 AND 29) USING (id_user)")
     wa = "CASE WHEN n_pos < 30 THEN 1.0 WHEN n_pos < 51 THEN 0.5 WHEN n_pos < 101 THEN 0.4 WHEN n_pos < 201 THEN 0.3 ELSE 0.2 END"
+    wb = "CASE WHEN n_pos < 30 THEN 0.0 WHEN n_pos < 51 THEN 0.5 WHEN n_pos < 101 THEN 0.6 WHEN n_pos < 201 THEN 0.7 ELSE 0.8 END"
     return f"""SELECT id_user, id_release, score, row_number() OVER (PARTITION BY id_user ORDER BY score DESC, id_release) AS rank FROM (
         SELECT id_user, id_release, round(rank_score, 9) AS score FROM ({alone})
-        UNION ALL SELECT id_user, id_release, round({wa} * rank_score + (1 - {wa}) * rank_score + 0.2, 9) FROM ({lists})) QUALIFY rank <= {limit}"""
+        UNION ALL SELECT id_user, id_release, round({wa} * coalesce(x.rank_score, 0) + {wb} * coalesce(y.rank_score, 0) + CASE WHEN x.rank_score IS NULL OR y.rank_score IS NULL THEN 0.0 ELSE 0.2 END, 9)
+          FROM (SELECT id_user, id_release, n_pos, rank_score FROM ({side(rec_vectors(3 * limit))})) x FULL JOIN (SELECT id_user, id_release, n_pos, rank_score FROM ({side(rec_towers(3 * limit))})) y USING (id_user, id_release, n_pos)) QUALIFY rank <= {limit}"""
 
 
 def diversified(sql: str, limit: int, extra: str = "") -> str:

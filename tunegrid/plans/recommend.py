@@ -9,6 +9,7 @@ from tunegrid.operators import content, fusion, pairs, vectors
 from tunegrid.plans import oracle as O
 from tunegrid.plans.registry import register
 from tunegrid.sources.adapter import Catalogue
+from tunegrid.sources.staging import staged
 
 LIMIT = 9
 
@@ -18,6 +19,11 @@ def rounded(df: DataFrame, *names: str, places: int = 6) -> DataFrame:
 
 
 def pair_table(c: Catalogue) -> DataFrame:
+    """The pair table; one that is read several times is computed once."""
+    if "_settled" in c.__dict__ and c._settled is c:
+        if "_pairs" not in c.__dict__:
+            c._pairs = staged(pairs.release_pairs(c.positives), "pairs")
+        return c._pairs
     return pairs.release_pairs(c.positives)
 
 
@@ -33,14 +39,19 @@ def vectors_of(c: Catalogue, limit: int, least: int = 20) -> DataFrame:
     return vectors.recommend_vectors(vectors.user_vectors(c.positives, c.vectors, least), c.vectors, c.interactions, limit)
 
 
+def towers_of(c: Catalogue, limit: int) -> DataFrame:
+    return vectors.recommend_vectors(vectors.user_vectors(c.positives, c.towers, 30), c.towers, c.interactions, limit, dim=32, metric="dot")
+
+
 def rankings_of(c: Catalogue, limit: int = 4 * LIMIT) -> DataFrame:
-    near = vectors_of(c, limit)
-    return fusion.strategy_rankings({"pairs": pairs_of(c, limit), "content": content_of(c, limit), "nmf": near, "two_towers": near}, c.signals)
+    """The four lists, computed once: fusion and the search for users without any both read them."""
+    c = c.settled()
+    lists = {"pairs": pairs_of(c, limit), "content": content_of(c, limit), "nmf": vectors_of(c, limit), "two_towers": towers_of(c, limit)}
+    return staged(fusion.strategy_rankings(lists, c.signals), "rankings")
 
 
 def advanced_of(c: Catalogue, limit: int = LIMIT) -> DataFrame:
-    near = vectors_of(c, 3 * limit)
-    return fusion.recommend_advanced(c.signals, near, near, limit)
+    return fusion.recommend_advanced(c.signals, vectors_of(c, 3 * limit), towers_of(c, 3 * limit), limit)
 
 
 def links_of(c: Catalogue) -> DataFrame:
@@ -69,7 +80,7 @@ register(
     "SELECT id_user, d::BIGINT AS d, round(v, 6) AS v FROM uv",
 )
 register("recommend_cosine", lambda c: rounded(vectors_of(c, LIMIT), "score"), f"SELECT id_user, id_release, round(score, 6) AS score, rank FROM ({O.rec_vectors(LIMIT)})")
-register("recommend_dot", lambda c: rounded(vectors_of(c, LIMIT, 30), "score"), f"SELECT id_user, id_release, round(score, 6) AS score, rank FROM ({O.rec_vectors(LIMIT)}) SEMI JOIN (FROM sig WHERE n_pos >= 30) USING (id_user)")
+register("recommend_dot", lambda c: rounded(towers_of(c, LIMIT), "score"), f"SELECT id_user, id_release, round(score, 6) AS score, rank FROM ({O.rec_towers(LIMIT)})")
 register("vector_validity", lambda c: vectors.vector_validity(c.vectors), "SELECT vec_id AS id_release, coalesce(len(embedding) = 64 AND list_sum(list_transform(embedding, lambda x: x * x)) > 0, false) AS valid FROM embeddings")
 register("popular_unseen", lambda c: fusion.popular_unseen(c.users, c.interactions, c.releases), O.popular(LIMIT))
 register(
@@ -87,7 +98,7 @@ register("explanations", lambda c: fusion.explanations(rankings_of(c)), """
       ORDER BY list_position(['pairs', 'content', 'nmf', 'two_towers'], strategy)) AS names FROM (SELECT DISTINCT id_user, strategy FROM rankings) GROUP BY 1)""", rankings=O.rankings(4 * LIMIT))
 _RRF = f"""SELECT id_user, place AS rank, id_release, round(score, 6) AS score FROM ({O.diversified(O.fused(LIMIT), LIMIT, ', score')})
     UNION ALL SELECT id_user, rank, id_release, NULL::DOUBLE FROM ({O.popular(LIMIT, 'SELECT id_user FROM usr ANTI JOIN rankings USING (id_user)')})"""
-register("recommend_rrf", lambda c: fusion.recommend_rrf(rankings_of(c), c.releases, c.users, c.interactions), _RRF, rankings=O.rankings(4 * LIMIT))
+register("recommend_rrf", lambda c: fusion.recommend_rrf(rankings_of(c), c.settled().releases, c.users, c.settled().interactions), _RRF, rankings=O.rankings(4 * LIMIT))
 register("diversify", lambda c: diversified_pairs(c), f"SELECT id_user, place AS rank, id_release FROM ({O.diversified(O.rec_pairs(36), LIMIT)})")
 
 
@@ -98,6 +109,7 @@ def diversified_pairs(c: Catalogue) -> DataFrame:
 
 
 def _max_lists(c: Catalogue) -> list[tuple[str, DataFrame]]:
+    c = c.settled()
     some = c.signals.where("n_pos > 0").select("id_user")
     return [("pairs", pairs_of(c, 54).join(some, "id_user", "left_semi")), ("content", content_of(c, 27)), ("advanced", advanced_of(c, 18))]
 
@@ -107,10 +119,15 @@ _BEST = " UNION ALL ".join(
     for k, (name, sql, score) in enumerate((("pairs", O.rec_pairs(54), "round(1.0::DOUBLE - (rank - 1)::DOUBLE / count(*) OVER (PARTITION BY id_user), 9)"), ("content", O.rec_content(27), "round(1.0::DOUBLE - (rank - 1)::DOUBLE / count(*) OVER (PARTITION BY id_user), 9)"), ("advanced", O.advanced(18), "score")))
 )
 _MAXED = "SELECT *, row_number() OVER (PARTITION BY id_user ORDER BY score DESC, id_release) AS rank FROM (SELECT * FROM best QUALIFY row_number() OVER (PARTITION BY id_user, id_release ORDER BY score DESC, p) = 1)"
-register("recommend_max_ensemble", lambda c: fusion.recommend_max(_max_lists(c), c.releases, c.users, c.interactions), f"""
+register("recommend_max_ensemble", lambda c: fusion.recommend_max(_max_lists(c), c.settled().releases, c.users, c.settled().interactions), f"""
     SELECT id_user, place AS rank, id_release, round(score, 6) AS score, strategy FROM ({O.diversified(_MAXED, LIMIT, ', score, strategy')})
     UNION ALL SELECT id_user, rank, id_release, NULL::DOUBLE, 'popular' FROM ({O.popular(LIMIT, 'SELECT id_user FROM usr ANTI JOIN best USING (id_user)')})""", best=_BEST)
-register("recommend_hybrid", lambda c: fusion.recommend_hybrid(c.users, c.signals, pairs_of(c, LIMIT), content_of(c, LIMIT), advanced_of(c), fusion.popular_unseen(c.users, c.interactions, c.releases), c.releases), f"""
+
+def hybrid_of(c: Catalogue) -> DataFrame:
+    return fusion.recommend_hybrid(c.users, c.signals, pairs_of(c, LIMIT), content_of(c, LIMIT), advanced_of(c), fusion.popular_unseen(c.users, c.interactions, c.releases), c.releases)
+
+
+register("recommend_hybrid", lambda c: hybrid_of(c.settled()), f"""
     SELECT id_user, place AS rank, id_release FROM ({O.diversified('''SELECT id_user, id_release, row_number() OVER (PARTITION BY id_user ORDER BY source, rank) AS rank FROM (
       SELECT * FROM (SELECT id_user, id_release, source, rank FROM picked
         UNION ALL SELECT id_user, id_release, 1, rank FROM pop ANTI JOIN (SELECT id_user FROM picked GROUP BY 1 HAVING count(*) >= 9) USING (id_user))
@@ -120,7 +137,13 @@ register("recommend_hybrid", lambda c: fusion.recommend_hybrid(c.users, c.signal
     picked=f"""SELECT id_user, id_release, rank, 0 AS source FROM ({O.rec_pairs(LIMIT)}) SEMI JOIN (FROM tiers WHERE n BETWEEN 1 AND 8) USING (id_user)
       UNION ALL SELECT id_user, id_release, rank, 0 FROM adv SEMI JOIN (FROM tiers WHERE n >= 20 AND has) USING (id_user)
       UNION ALL SELECT id_user, id_release, rank, 0 FROM ({O.rec_content(LIMIT)}) SEMI JOIN (FROM tiers WHERE n >= 9 AND NOT (n >= 20 AND has)) USING (id_user)""")
-register("recommend_context", lambda c: fusion.recommend_context(contexts_of(c), links_of(c), pair_table(c), c.releases, c.interactions, fusion.popular_unseen(c.users, c.interactions, c.releases, 3)), f"""
+
+
+def context_of(c: Catalogue) -> DataFrame:
+    return fusion.recommend_context(contexts_of(c), links_of(c), pair_table(c), c.releases, c.interactions, fusion.popular_unseen(c.users, c.interactions, c.releases, 3))
+
+
+register("recommend_context", lambda c: context_of(c.settled()), f"""
     SELECT id_user, id_release, row_number() OVER (PARTITION BY id_user, id_release ORDER BY source, r, candidate) AS rank, candidate FROM (
       SELECT id_user, id_release, candidate, source, r FROM (
         SELECT ctx.id_user, ctx.id_release, candidate, source, r FROM ctx JOIN cand ON cand.anchor = ctx.id_release

@@ -7,6 +7,8 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tunegrid.sources.staging import staged
+
 #: The fixed "today" of all recency terms.
 AS_OF = "2001-09-01"
 POSITIVE = 3.0
@@ -18,6 +20,15 @@ class Catalogue:
     def __init__(self, spark: SparkSession, sf_dir: str) -> None:
         self.spark, self.sf_dir = spark, sf_dir
 
+    def settled(self) -> Catalogue:
+        """This catalogue with the latest ratings and the releases computed once, for queries that read them several times."""
+        if "_settled" not in self.__dict__:
+            self._settled = Catalogue(self.spark, self.sf_dir)
+            self._settled.interactions = staged(self.interactions, "interactions")
+            self._settled.releases = staged(self._settled.releases, "releases")
+            self._settled._settled = self._settled
+        return self._settled
+
     def raw(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
@@ -82,6 +93,15 @@ class Catalogue:
     def vectors(self) -> DataFrame:
         return self.raw("embeddings").select(F.col("vec_id").alias("id_release"), F.transform("embedding", lambda x: x.cast("double")).alias("vector"))
 
+    @cached_property
+    def towers(self) -> DataFrame:
+        """Item vectors of the second model, of length one: the differences of the first table's halves stand for a tower's output."""
+        half = F.zip_with(F.slice("vector", 1, 32), F.slice("vector", 33, 32), lambda a, b: a - b)
+        rows = self.vectors.where(F.size("vector") == 64).select("id_release", half.alias("h"))
+        norm = F.sqrt(F.aggregate("h", F.lit(0.0), lambda s, x: s + x * x))
+        rows = rows.withColumn("norm", norm)
+        return rows.select("id_release", F.transform("h", lambda x: F.when(F.col("norm") > 0, x / F.col("norm")).otherwise(1 / F.sqrt(F.lit(32.0)))).alias("vector"))
+
     @cached_property
     def signals(self) -> DataFrame:
         """(id_user, n_pos) for users with any interaction."""
