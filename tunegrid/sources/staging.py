@@ -20,11 +20,29 @@ def shared_dir(spark: SparkSession) -> str:
     return spark._tunegrid_stages
 
 
+def _on_disk(spark: SparkSession, path: str):
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
-    """df written as Parquet to the shared folder and read back: computed once, and reread where an executor is lost. It goes when the driver's JVM ends."""
+    """Write df as a Parquet table in the shared folder and read it back.
+
+    Computed once, and cuts the lineage: a lost executor costs a reread, not a recomputation. The table goes
+    with release(), else when the driver's JVM ends.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tunegrid-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return spark.read.schema(df.schema).parquet(path)
+    where, files = _on_disk(spark, path)
+    files.deleteOnExit(where)
+    read = spark.read.schema(df.schema).parquet(path)
+    read._tunegrid_path = path
+    return read
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete staged tables that nothing reads any more."""
+    for df in tables:
+        where, files = _on_disk(df.sparkSession, df._tunegrid_path)
+        files.delete(where, True)
