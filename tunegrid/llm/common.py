@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,54 +10,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Keys that hot_join may broadcast, at most; a key with fewer rows than LEAST_HOT is never one.
-HOT_KEYS, LEAST_HOT = 50_000, 500
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir.
-
-    Where the setting is absent a local-mode session gets a temporary folder; any other
-    session is refused, because its executors could not see one another's files.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    found = getattr(spark, "_tunegrid_shared", None)
-    if found is None:
-        found = f"file://{tempfile.mkdtemp(prefix='tunegrid-')}"
-        spark._tunegrid_shared = found
-    return found
-
+from tunegrid.sources.staging import release, shared_dir, staged
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write df as a Parquet table in the shared folder and read it back.
+__all__ = ["by_unit", "hot_join", "release", "shared_dir", "staged", "table"]
 
-    Cuts the lineage: a lost executor costs a reread, not a recomputation. The table goes
-    with release(), else when the driver's JVM ends.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tunegrid-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    where, files = _on_disk(spark, path)
-    files.deleteOnExit(where)
-    read = spark.read.schema(df.schema).parquet(path)
-    read._tunegrid_path = path
-    return read
-
-
-def _on_disk(spark: SparkSession, path: str):
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-
-
-def release(*tables: DataFrame) -> None:
-    """Delete staged tables that nothing reads any more."""
-    for df in tables:
-        where, files = _on_disk(df.sparkSession, df._tunegrid_path)
-        files.delete(where, True)
+#: Keys that hot_join may broadcast, at most; a key with fewer rows than LEAST_HOT is never one.
+HOT_KEYS, LEAST_HOT = 50_000, 500
 
 
 def hot_join(many: DataFrame, one: DataFrame, key: str, rows_of: str, total: int) -> DataFrame:
