@@ -82,3 +82,26 @@ def test_unlabelled_hosts_back_off(spark):
     got = {r.page_id: (r.verdict, r.bound) for r in url_filter.filter_urls(pages, labels, []).collect()}
     assert len(got) == len(rows) + len(new)
     assert got[2000] == ("block", None) and got[2001][0] == "block" and got[2002] == ("allow", None) and got[2003] == ("allow", None)
+
+
+def test_registered_domains(spark):
+    hosts = {"a.b.co.uk": ("b.co.uk", "co.uk"), "co.uk": ("co.uk", "co.uk"), "xco.uk": ("xco.uk", "uk"), "a.xco.uk": ("xco.uk", "uk"), "w.x.com": ("x.com", "com"), "w.x.com:8080": ("x.com", "com"), "localhost": ("localhost", "localhost"), "": ("", ""), "u.ac.jp:1": ("u.ac.jp", "ac.jp")}
+    rows = spark.createDataFrame([(h,) for h in hosts], "host string").withColumns(url_filter.names_of("host")).collect()
+    assert {r.host: (r.domain, r.suffix) for r in rows} == hosts
+
+
+def test_sql_judges_hosts_without_labels_alike(spark, tmp_path):
+    duckdb = __import__("pytest").importorskip("duckdb")
+    rows = [(k, f"http://h{k % 20}.bad.co.uk/p") for k in range(400)] + [(1000 + k, f"http://h{k % 20}.ok.com/p") for k in range(400)]
+    new = [(2000, "http://new.bad.co.uk/p"), (2001, "http://new.other.co.uk/p"), (2002, "http://new.ok.com/p"), (2003, "http://new.xyz/p")]
+    pages = spark.createDataFrame(rows + new, "page_id long, url string")
+    labels = [(k, int(k >= 1000 or k // 20 % 10 == 0), 0) for k, _ in rows]
+    got = url_filter.filter_urls(pages, spark.createDataFrame([(k, 1 - q) for k, q, _ in labels], "page_id long, bad int")).collect()
+    con = duckdb.connect()
+    con.execute("create table pages (page_id bigint, url varchar)")
+    con.execute("create table labels (doc_id bigint, quality int, toxic int)")
+    con.executemany("insert into pages values (?, ?)", rows + new)
+    con.executemany("insert into labels values (?, ?, ?)", labels)
+    found = con.sql(url_filter.ORACLE)
+    assert sorted(found.fetchall(), key=str) == sorted((tuple(r[c] for c in found.columns) for r in got), key=str)
+    assert {r.page_id: r.verdict for r in got if r.page_id >= 2000} == {2000: "block", 2001: "block", 2002: "allow", 2003: "allow"}

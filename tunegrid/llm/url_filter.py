@@ -13,6 +13,9 @@ RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "exa
 Z, LIMIT = 1.645, 0.5
 #: Bounds of the within-group correlation, from which a prior's strength 1 / rho - 1 follows.
 RHO = (0.001, 0.9)
+# Labels that, before a country's two letters, belong to the suffix under which domains are registered.
+SECOND = ["ac", "co", "com", "edu", "go", "gob", "gov", "govt", "mil", "ne", "net", "nom", "or", "org", "sch"]
+_SUFFIX = rf"(?:{'|'.join(SECOND)})\.[a-z][a-z]"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -46,7 +49,7 @@ def host_reputation(outcomes: DataFrame) -> tuple[DataFrame, DataFrame, DataFram
     (domain, alpha, beta), (suffix, alpha, beta) and one row (alpha, beta) of hosts that have no labels.
 
     The share of bad pages of a suffix is shrunk to the overall share, of a registered domain
-    (last two labels) to its suffix's, and of a host to its domain's. Each level's strength is
+    to its suffix's, and of a host to its domain's. Each level's strength is
     the moment estimate of its beta-binomial; a prior has that of the level below its mean. Rows are summed by host before anything is joined.
     """
     hosts = outcomes.groupBy("host").agg(F.count("*").alias("n"), F.sum(F.col("bad").cast("long")).alias("bad")).withColumns(names_of("host"))
@@ -78,7 +81,13 @@ def host_reputation(outcomes: DataFrame) -> tuple[DataFrame, DataFrame, DataFram
 
 
 def names_of(host: str) -> dict[str, Column]:
-    return {"domain": F.regexp_extract(host, r"([^.]*(?:\.[^.]*)?)$", 1), "suffix": F.regexp_extract(host, r"([^.]*)$", 1)}
+    """Registered domain and suffix of a host without its port: the suffix is the last label, or a country's with one of SECOND before it; the domain has one label more."""
+    name = F.regexp_replace(host, ":[0-9]*$", "")
+    two = name.rlike(rf"(?:^|\.){_SUFFIX}$")
+    return {
+        "domain": F.when(two, F.regexp_extract(name, rf"((?:[^.]*\.)?{_SUFFIX})$", 1)).otherwise(F.regexp_extract(name, r"([^.]*(?:\.[^.]*)?)$", 1)),
+        "suffix": F.when(two, F.regexp_extract(name, rf"({_SUFFIX})$", 1)).otherwise(F.regexp_extract(name, r"([^.]*)$", 1)),
+    }
 
 
 def filter_urls(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str, str]] | None = None) -> DataFrame:
@@ -114,22 +123,34 @@ _RULE_CASES = " ".join(
     for k, (_, h, p) in sorted(enumerate(RULES), key=lambda r: -len(r[1][1] + r[1][2]))
 )
 _RHO = "1 / greatest({0}, least({1}, coalesce((sum(n * (bad / n - {m}) * (bad / n - {m})) - sum({m} * (1 - {m}))) / nullif(sum((n - 1) * {m} * (1 - {m})), 0), 0))) - 1".format(*RHO, m="m")
+
+
+def _lower_bound(a: str, b: str) -> str:
+    return f"greatest(0.0, ({a}) / ({a} + {b}) - {Z} * sqrt(({a}) / ({a} + {b}) * (1 - ({a}) / ({a} + {b})) / ({a} + {b} + 1)))"
+
+
 ORACLE = rf"""
 WITH p AS (
   SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
 r AS (SELECT page_id, coalesce(translate(regexp_extract(rest, '^([^/?#]*)', 1), '{UPPER}', '{LOWER}'), '') AS host,
              coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path FROM p),
 l AS (SELECT doc_id, max(CASE WHEN quality = 0 OR toxic = 1 THEN 1 ELSE 0 END) AS bad FROM labels WHERE doc_id IS NOT NULL GROUP BY 1),
-h AS (SELECT host, regexp_extract(host, '([^.]*(?:\.[^.]*)?)$', 1) AS domain, regexp_extract(host, '([^.]*)$', 1) AS suffix, count(*)::DOUBLE AS n, sum(bad)::DOUBLE AS bad
-      FROM r JOIN l ON l.doc_id = r.page_id GROUP BY host),
+bare AS (SELECT DISTINCT host, regexp_replace(host, ':[0-9]*$', '') AS name FROM r),
+named AS (SELECT host, CASE WHEN regexp_matches(name, '(?:^|\.){_SUFFIX}$') THEN regexp_extract(name, '((?:[^.]*\.)?{_SUFFIX})$', 1) ELSE regexp_extract(name, '([^.]*(?:\.[^.]*)?)$', 1) END AS domain,
+                 CASE WHEN regexp_matches(name, '(?:^|\.){_SUFFIX}$') THEN regexp_extract(name, '({_SUFFIX})$', 1) ELSE regexp_extract(name, '([^.]*)$', 1) END AS suffix FROM bare),
+h AS (SELECT host, any_value(domain) AS domain, any_value(suffix) AS suffix, count(*)::DOUBLE AS n, sum(bad)::DOUBLE AS bad
+      FROM r JOIN l ON l.doc_id = r.page_id JOIN named USING (host) GROUP BY host),
 s AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad, (SELECT sum(bad) / sum(n) FROM h) AS m FROM h GROUP BY suffix),
 sm AS (SELECT suffix, (bad + k * m) / (n + k) AS m FROM s, (SELECT {_RHO} AS k FROM s)),
 d AS (SELECT domain, any_value(sm.m) AS m, sum(n) AS n, sum(bad) AS bad FROM h JOIN sm USING (suffix) GROUP BY domain),
 dm AS (SELECT domain, (bad + k * m) / (n + k) AS m FROM d, (SELECT {_RHO} AS k FROM d)),
 hh AS (SELECT host, n, bad, dm.m AS m FROM h JOIN dm USING (domain)),
 post AS (SELECT host, bad + k * m AS a, n - bad + k * (1 - m) AS b FROM hh, (SELECT {_RHO} AS k FROM hh)),
-bounds AS (SELECT host, round(greatest(0.0, a / (a + b) - {Z} * sqrt(a / (a + b) * (1 - a / (a + b)) / (a + b + 1))), 6) AS bound FROM post)
+bounds AS (SELECT host, round({_lower_bound('a', 'b')}, 6) AS bound FROM post),
+by_domain AS (SELECT domain, {_lower_bound('k * m', 'k * (1 - m)')} AS x FROM dm, (SELECT {_RHO} AS k FROM hh)),
+by_suffix AS (SELECT suffix, {_lower_bound('k * m', 'k * (1 - m)')} AS y FROM sm, (SELECT {_RHO} AS k FROM d)),
+by_all AS (SELECT {_lower_bound('k * m', 'k * (1 - m)')} AS z FROM (SELECT sum(bad) / sum(n) AS m FROM h), (SELECT {_RHO} AS k FROM s))
 SELECT page_id, host, path, CASE {_RULE_CASES.format(*[f"'{h}{p}'" for _, h, p in RULES])} END AS rule,
-       coalesce(CASE {_RULE_CASES.format(*[f"'{v}'" for v, _, _ in RULES])} END, CASE WHEN coalesce(bound, 0) > {LIMIT} THEN 'block' ELSE 'allow' END) AS verdict, bound
-FROM r LEFT JOIN bounds USING (host)
+       coalesce(CASE {_RULE_CASES.format(*[f"'{v}'" for v, _, _ in RULES])} END, CASE WHEN coalesce(bound, x, y, z, 0) > {LIMIT} THEN 'block' ELSE 'allow' END) AS verdict, bound
+FROM r JOIN named USING (host) LEFT JOIN bounds USING (host) LEFT JOIN by_domain USING (domain) LEFT JOIN by_suffix USING (suffix), by_all
 """
