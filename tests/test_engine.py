@@ -126,13 +126,51 @@ def test_track_discography_and_profile_pages(spark):
 
 
 def test_rating_stream_upserts(spark, tmp_path):
+    """Three batches: a late older rating does not win over a newer one; only the last two versions are kept."""
     from tunegrid.streaming import ratings
 
     schema = "id_user long, id_release long, rating double, rating_date date"
-    rows = spark.createDataFrame([(1, 2, 3.0, None)], schema).withColumn("rating_date", F.lit("2001-01-01").cast("date"))
-    rows.write.parquet(str(tmp_path / "in"))
-    ratings.upsert_ratings(ratings.file_stream(spark, str(tmp_path / "in"), schema), str(tmp_path / "t"), str(tmp_path / "c")).awaitTermination(60)
-    assert spark.read.parquet(str(tmp_path / "t/v0")).count() == 1
+    batches = [[(1, 2, 3.0, "2001-01-01"), (1, 3, 2.0, None)], [(1, 2, 4.0, "2001-03-01"), (1, 3, 2.5, "2000-01-01")], [(1, 2, 1.0, "2001-02-01"), (2, 2, 5.0, "2001-02-01"), (1, 3, 3.5, "2000-01-01")]]
+    for rows in batches:
+        spark.createDataFrame(rows, "id_user long, id_release long, rating double, day string").selectExpr("id_user", "id_release", "rating", "cast(day AS date) AS rating_date").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        ratings.upsert_ratings(ratings.file_stream(spark, str(tmp_path / "in"), schema), str(tmp_path / "t"), str(tmp_path / "c")).awaitTermination(60)
+    got = spark.read.parquet(str(tmp_path / "t/v2")).collect()
+    assert sorted((r.id_user, r.id_release, r.rating) for r in got) == [(1, 2, 4.0), (1, 3, 3.5), (2, 2, 5.0)]
+    assert sorted(p.name for p in (tmp_path / "t").iterdir()) == ["v1", "v2"]
+
+
+def test_event_counts_drop_repeated_events(spark, tmp_path):
+    from tunegrid.streaming import ratings
+
+    rows = [(1, "2024-01-01 10:05:00", "play", 1.0), (1, "2024-01-01 10:05:00", "play", 1.0), (2, "2024-01-01 10:55:00", "play", 2.0), (3, "2024-01-01 11:00:00", "skip", 4.0), (4, "2024-01-01 15:00:00", "play", 8.0)]
+    spark.createDataFrame(rows, "event_id long, at string, event_type string, value double").selectExpr("event_id", "cast(at AS timestamp) AS ts", "event_type", "value").write.parquet(str(tmp_path / "in"))
+    counts = ratings.event_counts(ratings.file_stream(spark, str(tmp_path / "in"), "event_id long, ts timestamp, event_type string, value double"))
+    counts.writeStream.format("memory").queryName("counted").outputMode("complete").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination(60)
+    got = spark.sql("SELECT hour(window.start) AS h, event_type, n, total FROM counted").collect()
+    assert sorted(tuple(r) for r in got) == [(10, "play", 2, 3.0), (11, "skip", 1, 4.0), (15, "play", 1, 8.0)]
+
+
+def test_copied_table_is_defined_by_its_rows(spark, tmp_path):
+    from tunegrid.sources import files
+
+    rows = [(3, "c", 1), (1, "b", 2), (1, "a", 3), (2, None, 4), (4, "x", 5)]
+    for k, some in enumerate((rows, rows[::-1])):
+        files.copy_table(spark.createDataFrame(some, "id long, v string, n int"), str(tmp_path / str(k)), ["id"], "n < 5", 2)
+        assert sorted(tuple(r) for r in spark.read.parquet(str(tmp_path / str(k))).collect()) == [(1, "a", 3), (2, None, 4)]
+
+
+def test_factors_explain_the_ratings_and_take_large_ids(spark):
+    from tunegrid.operators import features
+
+    far = 1 << 40
+    rows = [(far + u, far + 10 * (u % 2) + i, 5.0) for u in range(12) for i in range(6) if (u + i) % 5]
+    found = features.als_factors(spark.createDataFrame(rows, "id_user long, id_release long, rating double"), rank=4, iterations=8).collect()
+    users = {r.id - far: r.factors for r in found if r.kind == "user"}
+    items = {r.id - far: r.factors for r in found if r.kind == "item"}
+    assert len(users) == 12 and len(items) == 12 and min(min(f) for f in [*users.values(), *items.values()]) >= 0
+    score = lambda u, i: sum(a * b for a, b in zip(users[u], items[i], strict=True))
+    for u in users:  # the other taste's releases score below every release of the own one, rated or not
+        assert min(score(u, 10 * (u % 2) + i) for i in range(6)) > max(score(u, 10 * (1 - u % 2) + i) for i in range(6))
 
 
 def test_random_unseen_walks_the_ring_as_a_full_sort_would(spark):

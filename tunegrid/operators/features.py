@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tunegrid.operators.fusion import portable_hash
+from tunegrid.sources.staging import staged
 
 
 def eligible_matrix(rated: DataFrame, min_user: int, min_item: int) -> DataFrame:
@@ -65,11 +66,16 @@ def negative_samples(positives: DataFrame, releases: DataFrame, per_positive: in
 
 
 def als_factors(rated: DataFrame, rank: int = 8, iterations: int = 5, seed: int = 42) -> DataFrame:
-    """(kind, id, factors): non-negative alternating least squares on implicit feedback."""
+    """(kind, id, factors): non-negative alternating least squares on implicit feedback, ids of any size by their place among their kind."""
     from pyspark.ml.recommendation import ALS
 
-    model = ALS(rank=rank, maxIter=iterations, seed=seed, nonnegative=True, implicitPrefs=True, userCol="id_user", itemCol="id_release", ratingCol="rating").fit(rated.select(F.col("id_user").cast("int"), F.col("id_release").cast("int"), F.col("rating").cast("float")))
-    return model.userFactors.select(F.lit("user").alias("kind"), "id", F.col("features").alias("factors")).unionByName(model.itemFactors.select(F.lit("item").alias("kind"), "id", F.col("features").alias("factors")))
+    users = staged(dense_ids(rated.select("id_user").distinct(), "id_user", "u"), "als_users")
+    items = staged(dense_ids(rated.select("id_release").distinct(), "id_release", "i"), "als_items")
+    rows = rated.join(users, "id_user").join(items, "id_release").select(F.col("u").cast("int"), F.col("i").cast("int"), F.col("rating").cast("float"))
+    model = ALS(rank=rank, maxIter=iterations, seed=seed, nonnegative=True, implicitPrefs=True, userCol="u", itemCol="i", ratingCol="rating").fit(staged(rows, "als_ratings"))
+    sides = (("user", model.userFactors, users, "u", "id_user"), ("item", model.itemFactors, items, "i", "id_release"))
+    found = [factors.join(places, factors["id"] == places[place]).select(F.lit(kind).alias("kind"), F.col(key).alias("id"), F.col("features").alias("factors")) for kind, factors, places, place, key in sides]
+    return found[0].unionByName(found[1])
 
 
 def forest_best_strategy(features: DataFrame, columns: list[str], label: str, seed: int = 42) -> DataFrame:
@@ -78,7 +84,7 @@ def forest_best_strategy(features: DataFrame, columns: list[str], label: str, se
     from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.feature import IndexToString, StringIndexer, VectorAssembler
 
-    features = features.persist()  # each tree level reads it again
+    features = staged(features, "features")  # each tree level reads it again
     indexer = StringIndexer(inputCol=label, outputCol="_y", stringOrderType="alphabetAsc").fit(features)
     steps = Pipeline(stages=[indexer, VectorAssembler(inputCols=columns, outputCol="_x"), RandomForestClassifier(featuresCol="_x", labelCol="_y", seed=seed, numTrees=20), IndexToString(inputCol="prediction", outputCol="predicted", labels=indexer.labels)])
     return steps.fit(features).transform(features).select("id_user", label, "predicted")

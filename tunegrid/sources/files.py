@@ -32,10 +32,12 @@ def int_array(text: str) -> Column:
 
 
 def copy_table(df: DataFrame, path: str, keys: list[str], where: str | None = None, limit: int | None = None) -> None:
-    """Filtered, limited, first row per key, written as Parquet."""
+    """Filtered, the least row of each key, and of these the first limit in the keys' order, written as Parquet."""
     rows = df.where(where) if where else df
-    rows = rows.limit(limit) if limit is not None else rows
-    rows.dropDuplicates(keys).write.mode("overwrite").parquet(path)
+    every = F.struct(*[F.col(c) for c in df.columns])
+    rows = rows.groupBy(*[F.col(k).alias(f"_key{n}") for n, k in enumerate(keys)]).agg(F.min(every).alias("_row")).select("_row.*")
+    rows = rows.orderBy(*keys).limit(limit) if limit is not None else rows
+    rows.write.mode("overwrite").parquet(path)
 
 
 def compact(spark: SparkSession, path: str, target: str, files: int) -> None:

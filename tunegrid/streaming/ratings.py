@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from tunegrid.operators.merge import merge
 from tunegrid.operators.vectors import user_vectors
 
 
@@ -21,16 +20,24 @@ def file_stream(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def upsert_ratings(stream: DataFrame, table: str, checkpoint: str) -> StreamingQuery:
-    """Merge each batch of (id_user, id_release, rating, rating_date) into versioned Parquet under table; the last date wins in a batch.
+    """Merge each batch of (id_user, id_release, rating, rating_date) into versioned Parquet under table.
 
-    Batch k reads version k - 1 and writes version k, so a retried batch starts from the same state.
+    The rating of the latest date wins, whichever batch brings it; of equal dates that of the later batch, then the higher.
+    Batch k reads version k - 1 and writes version k, so a retried batch starts from the same state; the version before
+    those two is deleted.
     """
+    keys = ["id_user", "id_release"]
 
     def apply(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        last = batch.groupBy("id_user", "id_release").agg(F.max(F.struct("rating_date", "rating")).alias("m")).select("id_user", "id_release", F.col("m.rating").alias("rating"), F.col("m.rating_date").alias("rating_date"))
-        old = spark.read.parquet(f"{table}/v{number - 1}") if number else last.limit(0)
-        merge(old, last, ["id_user", "id_release"], {"rating": "new", "rating_date": "coalesce_new"}).write.mode("overwrite").parquet(f"{table}/v{number}")
+        rows = batch.select(*keys, "rating", "rating_date").withColumn("new", F.lit(1))
+        if number:
+            rows = rows.unionByName(spark.read.parquet(f"{table}/v{number - 1}").withColumn("new", F.lit(0)))
+        last = rows.groupBy(*keys).agg(F.max(F.struct("rating_date", "new", "rating")).alias("m"))
+        last.select(*keys, "m.rating", "m.rating_date").write.mode("overwrite").parquet(f"{table}/v{number}")
+        if number > 1:
+            gone = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{table}/v{number - 2}")
+            gone.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(gone, True)
 
     return stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
