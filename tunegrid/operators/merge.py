@@ -33,15 +33,16 @@ def merge(old: DataFrame, new: DataFrame, keys: list[str], policies: dict[str, s
 def claim(queue: DataFrame, size: int) -> DataFrame:
     """queue with its next `size` pending rows (highest priority, then oldest) in processing and one more attempt."""
     chosen = queue.where("status = 'pending'").orderBy(F.desc("priority"), F.asc("updated_at"), F.asc("id")).limit(size).select("id").withColumn("_hit", F.lit(True))
-    rows = queue.join(F.broadcast(chosen) if size < 100_000 else chosen, "id", "left")
+    rows = queue.join(chosen, "id", "left")
     return rows.select("id", F.when(F.col("_hit"), "processing").otherwise(F.col("status")).alias("status"), "priority", (F.col("attempts") + F.coalesce(F.col("_hit").cast("int"), F.lit(0))).alias("attempts"), "updated_at")
 
 
 def finish(queue: DataFrame, outcomes: DataFrame) -> DataFrame:
-    """queue with outcomes (id, error) applied: done without an error, else error with its first 500 characters."""
+    """queue with outcomes (id, error) applied: done without an error, else error with its first 500 characters; other rows stay as they are."""
     rows = queue.join(outcomes.withColumn("_hit", F.lit(True)), "id", "left")
     status = F.when(~F.coalesce("_hit", F.lit(False)), F.col("status")).when(F.col("error").isNull(), "done").otherwise("error")
-    return rows.withColumns({"status": status, "last_error": F.left("error", F.lit(500))}).drop("_hit", "error")
+    error = F.when(F.coalesce("_hit", F.lit(False)), F.left("error", F.lit(500))).otherwise(F.col("last_error"))
+    return rows.withColumns({"status": status, "last_error": error}).drop("_hit", "error")
 
 
 def set_changes(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:

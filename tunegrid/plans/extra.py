@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tunegrid.operators import splits
+from tunegrid.operators import merge, splits
 from tunegrid.operators.ranking import popularity_order, top_per_user
 from tunegrid.plans import oracle as O
 from tunegrid.plans.recommend import LIMIT, content_of, pairs_of
 from tunegrid.plans.registry import register
+from tunegrid.plans.upkeep import _QUEUE, queue_of
 from tunegrid.sources.adapter import Catalogue
 
 # What stands in a form field, by rating key.
@@ -115,3 +116,13 @@ register("reduction_summary", _stats, """
       UNION ALL SELECT 'tracks', 0, 0)""", kept="SELECT id_release FROM rel WHERE ratings_count >= 20")
 register("orphans_removed", lambda c: c.all_ratings.select("id_user", "id_release").distinct().join(c.users.where("id_user % 10 != 3").select("id_user"), "id_user", "left_semi").join(c.parts.where("id_release % 10 != 7").select("id_release"), "id_release", "left_semi").select("id_user", "id_release"),
          "SELECT DISTINCT o_custkey AS id_user, l_partkey AS id_release FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_custkey % 10 <> 3 AND l_partkey % 10 <> 7 AND o_custkey IN (SELECT c_custkey FROM customer) AND l_partkey IN (SELECT p_partkey FROM part)")
+
+
+def _outcomes(c: Catalogue) -> DataFrame:
+    """Every row in processing comes back: even ids well, odd ones with an error."""
+    return queue_of(c).where("status = 'processing'").select("id", F.when(F.col("id") % 2 == 1, F.concat(F.lit("HTTP 500 at "), F.col("id").cast("string"))).alias("error"))
+
+
+register("queue_finish", lambda c: merge.finish(queue_of(c).select("id", "status", "last_error"), _outcomes(c)).select("id", "status", "last_error"), """
+    SELECT id, CASE WHEN status <> 'processing' THEN status WHEN id % 2 = 0 THEN 'done' ELSE 'error' END AS status,
+           CASE WHEN status <> 'processing' THEN last_error WHEN id % 2 = 1 THEN 'HTTP 500 at ' || id END AS last_error FROM q""", q=_QUEUE)
