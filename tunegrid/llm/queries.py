@@ -14,6 +14,8 @@ from tunegrid.llm.licenses import oracle as license_oracle
 from tunegrid.llm.licenses import scan_licenses
 from tunegrid.llm.near_dup import near_duplicates
 from tunegrid.llm.pii import PATTERNS, pseudonymise
+from tunegrid.llm.resampling import ORACLE as RESAMPLING_ORACLE
+from tunegrid.llm.resampling import importance_resample
 from tunegrid.llm.sharding import shard_documents
 from tunegrid.llm.secrets import KINDS, find_secrets, span_text
 from tunegrid.llm.url_filter import ORACLE as URL_ORACLE
@@ -93,6 +95,11 @@ def op10_randomness_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The target distribution is that of all `benchmark` texts."""
+    return importance_resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_embedding_near_dedup": op1_embedding_near_dedup,
     "op2_spaced_seed_decontamination": op2_spaced_seed_decontamination,
@@ -104,5 +111,6 @@ QUERIES = {
     "op8_feistel_pii": op8_feistel_pii,
     "op9_kneser_ney_langid": op9_kneser_ney_langid,
     "op10_randomness_secrets": op10_randomness_secrets,
+    "op12_importance_resampling": op12_importance_resampling,
 }
-ORACLES = {"op4_url_reputation": URL_ORACLE, "op6_license_sentences": license_oracle()}
+ORACLES = {"op4_url_reputation": URL_ORACLE, "op6_license_sentences": license_oracle(), "op12_importance_resampling": RESAMPLING_ORACLE}
