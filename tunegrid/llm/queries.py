@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from tunegrid.llm.bpe import encode_documents
 from tunegrid.llm.common import table
+from tunegrid.llm.conversations import ORACLE as CONVERSATION_ORACLE
+from tunegrid.llm.conversations import damaged, repair_conversations, summaries
 from tunegrid.llm.decontaminate import contaminated
 from tunegrid.llm.embedding_join import embedding_near_duplicates
 from tunegrid.llm.langid import learnable, predict_language, train, training_sample
@@ -100,6 +102,10 @@ def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance_resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return summaries(repair_conversations(damaged(table(spark, sf_dir, "conversations"))))
+
+
 QUERIES = {
     "op1_embedding_near_dedup": op1_embedding_near_dedup,
     "op2_spaced_seed_decontamination": op2_spaced_seed_decontamination,
@@ -112,5 +118,6 @@ QUERIES = {
     "op9_kneser_ney_langid": op9_kneser_ney_langid,
     "op10_randomness_secrets": op10_randomness_secrets,
     "op12_importance_resampling": op12_importance_resampling,
+    "op13_conversation_repair": op13_conversation_repair,
 }
-ORACLES = {"op4_url_reputation": URL_ORACLE, "op6_license_sentences": license_oracle(), "op12_importance_resampling": RESAMPLING_ORACLE}
+ORACLES = {"op4_url_reputation": URL_ORACLE, "op6_license_sentences": license_oracle(), "op12_importance_resampling": RESAMPLING_ORACLE, "op13_conversation_repair": CONVERSATION_ORACLE}
