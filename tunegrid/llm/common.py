@@ -18,15 +18,15 @@ __all__ = ["by_unit", "hot_join", "numbered", "release", "shared_dir", "staged",
 HOT_KEYS, LEAST_HOT = 50_000, 500
 
 
-def hot_join(many: DataFrame, one: DataFrame, key: str, rows_of: str, total: int) -> DataFrame:
-    """Inner join of many with one, which has a row per key and, as rows_of, the number of the key's rows in many.
+def hot_join(many: DataFrame, one: DataFrame, key: str | list[str], rows_of: str, total: int) -> DataFrame:
+    """Inner join of many with one, which has a row per key (a column or several) and, as rows_of, the number of the key's rows in many.
 
     Keys with more than total / HOT_KEYS rows, of which HOT_KEYS exist at most, are broadcast, so their rows stay
     where they are; the others are exchanged and put at most total / HOT_KEYS rows of a key into one task.
     """
     least = max(LEAST_HOT, -(-total // HOT_KEYS))
     hot, rest = one.where(F.col(rows_of) > least).drop(rows_of), one.where(F.col(rows_of) <= least).drop(rows_of)
-    return many.join(F.broadcast(hot), key).unionByName(many.join(F.broadcast(hot.select(key)), key, "left_anti").join(rest, key))
+    return many.join(F.broadcast(hot), key).unionByName(many.join(F.broadcast(hot.select(*([key] if isinstance(key, str) else key))), key, "left_anti").join(rest, key))
 
 
 def numbered(rows: DataFrame, parts: int, *order: Column, name: str = "number") -> DataFrame:

@@ -16,6 +16,7 @@ from tunegrid.llm.licenses import oracle as license_oracle
 from tunegrid.llm.licenses import scan_licenses
 from tunegrid.llm.near_dup import near_duplicates
 from tunegrid.llm.pii import PATTERNS, pseudonymise
+from tunegrid.llm.repeats import remove_repeats
 from tunegrid.llm.resampling import ORACLE as RESAMPLING_ORACLE
 from tunegrid.llm.resampling import importance_resample
 from tunegrid.llm.sharding import shard_documents
@@ -97,6 +98,11 @@ def op10_randomness_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The target distribution is that of all `benchmark` texts."""
     return importance_resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -117,6 +123,7 @@ QUERIES = {
     "op8_feistel_pii": op8_feistel_pii,
     "op9_kneser_ney_langid": op9_kneser_ney_langid,
     "op10_randomness_secrets": op10_randomness_secrets,
+    "op11_suffix_array_dedup": op11_suffix_array_dedup,
     "op12_importance_resampling": op12_importance_resampling,
     "op13_conversation_repair": op13_conversation_repair,
 }
