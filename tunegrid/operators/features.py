@@ -2,33 +2,33 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tunegrid.operators.fusion import portable_hash
-from tunegrid.sources.staging import staged
+from tunegrid.sources.staging import numbered, staged
 
 
-def eligible_matrix(rated: DataFrame, min_user: int, min_item: int) -> DataFrame:
-    """(u, i, rating): ratings of users and items with enough ratings, both on raw counts, with dense ids from 0.
+def eligible(rated: DataFrame, min_user: int, min_item: int) -> DataFrame:
+    """Ratings of users and items with enough ratings, both on raw counts."""
+    rows = rated
+    for key, least in (("id_user", min_user), ("id_release", min_item)):
+        enough = rated.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") >= least).select(key)
+        rows = rows.join(enough, key, "left_semi")
+    return rows
 
-    Dense ids are the places in the sorted distinct ids: counts of range buckets give each
-    bucket's offset, so no task numbers all ids.
-    """
-    users = rated.groupBy("id_user").agg(F.count("*").alias("n")).where(F.col("n") >= min_user).select("id_user")
-    items = rated.groupBy("id_release").agg(F.count("*").alias("n")).where(F.col("n") >= min_item).select("id_release")
-    rows = rated.join(users, "id_user", "left_semi").join(items, "id_release", "left_semi")
+
+def eligible_matrix(rated: DataFrame, min_user: int, min_item: int) -> DataFrame:
+    """(u, i, rating): the eligible ratings with dense ids from 0, the places in the sorted distinct ids."""
+    rows = eligible(rated, min_user, min_item)
     u, i = dense_ids(rows.select("id_user").distinct(), "id_user", "u"), dense_ids(rows.select("id_release").distinct(), "id_release", "i")
     return rows.join(u, "id_user").join(i, "id_release").select("u", "i", "rating")
 
 
-def dense_ids(ids: DataFrame, key: str, name: str, width: int = 65_536) -> DataFrame:
-    """key to its place from 0 among the distinct integer keys."""
-    bucket = F.floor(F.col(key) / width).cast("long")
-    sized = ids.groupBy(bucket.alias("_b")).agg(F.count("*").alias("_n"))
-    before = sized.select("_b", (F.sum("_n").over(Window.orderBy("_b")) - F.col("_n")).alias("_before"))
-    place = F.row_number().over(Window.partitionBy("_b").orderBy(key))
-    return ids.withColumn("_b", bucket).withColumn("_p", place).join(F.broadcast(before), "_b").select(key, (F.col("_before") + F.col("_p") - 1).cast("long").alias(name))
+def dense_ids(ids: DataFrame, key: str, name: str, per_task: int = 1_000_000) -> DataFrame:
+    """key to its place from 0 among the distinct keys: sorted by ranges, each range numbered where it lies, so no task numbers all."""
+    placed = numbered(ids.select(key), max(1, -(-ids.count() // per_task)), F.col(key), name="_place")
+    return placed.select(key, (F.col("_place") - 1).alias(name))
 
 
 def item_features(releases: DataFrame, release_genres: DataFrame, types: DataFrame) -> DataFrame:

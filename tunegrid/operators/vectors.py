@@ -2,17 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tunegrid.operators.ranking import by_score
-
-#: Items whose vectors are broadcast at once; more are scored in further blocks.
-BLOCK = 200_000
+from tunegrid.operators.inner_product import top_inner_products
 
 
 def user_vectors(positives: DataFrame, vectors: DataFrame, min_positives: int = 20) -> DataFrame:
@@ -37,55 +30,13 @@ def vector_validity(vectors: DataFrame, dim: int = 64) -> DataFrame:
     return vectors.select("id_release", F.coalesce(sound & F.exists("vector", lambda x: x != 0), F.lit(False)).alias("valid"))
 
 
-def _scorer(items, limit: int) -> Callable:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, matrix = items.value
-        place = {x: k for k, x in enumerate(ids.tolist())}
-        for whole in batches:
-            for start in range(0, whole.num_rows, 512):
-                batch = whole.slice(start, 512)
-                users = np.array(batch.column(1).to_pylist(), np.float64)
-                scores = np.round(users @ matrix.T, 9)
-                out_user, out_item, out_score = [], [], []
-                for k, (user, seen) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True)):
-                    row = scores[k]
-                    row[[place[x] for x in seen or () if x in place]] = -np.inf
-                    best = np.lexsort((ids, -row))[:limit] if len(row) <= 4 * limit else _best(row, ids, limit)
-                    best = best[row[best] > -np.inf]
-                    out_user += [user] * len(best)
-                    out_item += ids[best].tolist()
-                    out_score += row[best].tolist()
-                yield pa.RecordBatch.from_arrays([pa.array(out_user, pa.int64()), pa.array(out_item, pa.int64()), pa.array(out_score, pa.float64())], names=["id_user", "id_release", "score"])
-
-    return run
-
-
-def _best(row: np.ndarray, ids: np.ndarray, limit: int) -> np.ndarray:
-    """Places of the limit best scores, ties by id: all ties of the last one are kept before sorting."""
-    cut = np.partition(row, -limit)[-limit]
-    near = np.nonzero(row >= cut)[0]
-    return near[np.lexsort((ids[near], -row[near]))[:limit]]
-
-
-def recommend_vectors(users: DataFrame, items: DataFrame, interactions: DataFrame, limit: int = 9, dim: int = 64, block: int = BLOCK, metric: str = "cosine") -> DataFrame:
+def recommend_vectors(users: DataFrame, items: DataFrame, interactions: DataFrame, limit: int = 9, dim: int = 64, block: int | None = None, metric: str = "cosine") -> DataFrame:
     """Top items by cosine, or by dot product of the vectors as they are, among those the user has not interacted with.
 
-    Item vectors of another dimension or zero norm are skipped. Items are broadcast in blocks of
-    at most `block`; each block yields its own top list and the lists are merged per user.
+    Item vectors of another dimension or zero norm are skipped. Items meet the users in blocks, exchanged, not held by the driver.
     """
     sound = items.where((F.size("vector") == dim) & F.exists("vector", lambda x: x != 0))
-    count = sound.count()
-    blocks = max(1, -(-count // block))
-    seen = interactions.groupBy("id_user").agg(F.collect_list("id_release").alias("seen"))
-    rows = users.join(seen, "id_user", "left").select("id_user", "vector", "seen")
-    out = None
-    for b in range(blocks):
-        some = sound if blocks == 1 else sound.where(F.pmod(F.xxhash64("id_release"), F.lit(blocks)) == b)
-        held = some.select("id_release", "vector").collect()
-        matrix = np.array([r[1] for r in held], np.float64).reshape(len(held), dim)
-        if metric == "cosine":
-            matrix /= np.linalg.norm(matrix, axis=1, keepdims=True)
-        shared = rows.sparkSession.sparkContext.broadcast((np.array([r[0] for r in held], np.int64), matrix))
-        part = rows.mapInArrow(_scorer(shared, limit), "id_user long, id_release long, score double")
-        out = part if out is None else out.unionByName(part)
-    return by_score(out, limit)
+    if metric == "cosine":
+        norm = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x * x))
+        sound = sound.withColumn("norm", norm).select("id_release", F.transform("vector", lambda x: x / F.col("norm")).alias("vector"))
+    return top_inner_products(users, sound, interactions, limit, block)

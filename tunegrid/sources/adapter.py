@@ -29,6 +29,13 @@ class Catalogue:
             self._settled._settled = self._settled
         return self._settled
 
+    def with_models(self, vectors: DataFrame | None = None, towers: DataFrame | None = None) -> Catalogue:
+        """This catalogue with item vectors (id_release, vector) of trained models in place of those of the tables."""
+        fed = Catalogue(self.spark, self.sf_dir)
+        fed.__dict__.update({k: v for k, v in self.__dict__.items() if not k.startswith("_")})
+        fed.__dict__.update({k: v for k, v in (("vectors", vectors), ("towers", towers)) if v is not None})
+        return fed
+
     def raw(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
