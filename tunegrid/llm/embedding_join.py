@@ -101,7 +101,7 @@ def _join_unit(threshold: float, reach: float) -> Callable:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unit, held, ids, far, matrix, links, sets = None, [], None, None, None, None, UnionFind()
+        unit, held, ids, far, matrix, links, roots, sets = None, [], None, None, None, None, None, UnionFind()
 
         def out(kind: int, a: list, b: list) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int32)), pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["kind", "a", "b"])
@@ -127,7 +127,7 @@ def _join_unit(threshold: float, reach: float) -> Callable:
                 order = np.argsort(far, kind="stable")
                 ids, far = ids[order], far[order]
                 matrix = np.stack([np.frombuffer(v.as_py()) for p in held for v in p.column(5)])[order]
-                links = np.zeros(len(ids), np.int64)
+                links, roots = np.zeros(len(ids), np.int64), ids.copy()
             part = part.take(pa.array(np.argsort(part.column(4).to_numpy(), kind="stable")))
             for k in range(0, part.num_rows, 512):
                 some = part.slice(k, 512)
@@ -139,8 +139,12 @@ def _join_unit(threshold: float, reach: float) -> Callable:
                 other = who[row] != ids[col]
                 row, col = row[other], col[other]
                 np.add.at(links, col, n[row])
-                for r, c in zip(who[row].tolist(), ids[col].tolist(), strict=True):
-                    sets.union(r, c)
+                # A row unites the different sets it meets, as far as they are known: in a cluster that is mostly one.
+                for r, cols in zip(who[np.unique(row)].tolist(), np.split(col, np.nonzero(np.diff(row))[0] + 1), strict=True) if len(row) else ():
+                    known = roots[cols]
+                    for c in {int(known[0])} if (known == known[0]).all() else np.unique(known).tolist():
+                        sets.union(r, c)
+                    roots[cols] = sets.find(r)
         yield from close()
 
     return run

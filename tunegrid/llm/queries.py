@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from secrets import token_hex
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -64,13 +66,20 @@ def op7_histogram_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-#: Setting that holds the key of the pseudonyms; without it the fixed key of the tests is used.
+#: Setting that holds the key of the pseudonyms.
 PII_KEY = "spark.tunegrid.pii.key"
 
 
+def pii_key(spark: SparkSession) -> str:
+    """The session's key: the one it is given, else one drawn for it alone, whose pseudonyms no other session can link or undo."""
+    given = spark.conf.get(PII_KEY, None)
+    if given is None and getattr(spark, "_tunegrid_pii_key", None) is None:
+        spark._tunegrid_pii_key = token_hex(32)
+    return given if given is not None else spark._tunegrid_pii_key
+
+
 def op8_feistel_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    key = spark.conf.get(PII_KEY, "key for tests only")
-    found = pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), key, found_only=True)
+    found = pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), pii_key(spark), found_only=True)
     return found.select("doc_id", *[_kind_count("pii", k) for k in PATTERNS], "pii", "text")
 
 

@@ -255,17 +255,39 @@ def span_text(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
 
 
+#: Spans whose ends are looked through at once, and code points of a block of text that pieces are cut from.
+GROUP, BLOCK = 64, 1_024
+
+
 def redact_secrets(docs: DataFrame, text_col: str = "text", mark: str = "<secret>") -> DataFrame:
-    """docs with each secret span of the text replaced by mark; overlapping spans become one mark. Other columns stay."""
+    """docs with each secret span of the text replaced by mark; overlapping spans become one mark. Other columns stay.
+
+    The work grows with the spans and the text, not with their product.
+    """
     found = find_secrets(docs, text_col, "__tg_secrets")
-    # Spans that overlap are merged while walking; a piece of text goes from the end before to the start, so that each is cut once.
-    step = F.aggregate(
-        "__tg_secrets",
-        F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,size:bigint>>").alias("gaps")),
-        lambda a, x: F.struct(F.greatest(a["at"], x["end"]).alias("at"), F.when(x["start"] < a["at"], a["gaps"]).otherwise(F.concat(a["gaps"], F.array(F.struct(a["at"].alias("start"), (x["start"] - a["at"]).alias("size"))))).alias("gaps")),
-    )
     text = F.col(text_col)
-    found = found.withColumn("__tg_walk", F.when(F.size("__tg_secrets") > 0, step))
-    pieces = F.transform("__tg_walk.gaps", lambda g: F.substring(text, (g["start"] + 1).cast("int"), g["size"].cast("int")))
-    rest = F.substring(text, (F.col("__tg_walk.at") + 1).cast("int"), F.length(text))
-    return found.withColumn(text_col, F.when(F.size("__tg_secrets") > 0, F.array_join(F.concat(pieces, F.array(rest)), mark)).otherwise(text)).drop("__tg_secrets", "__tg_walk")
+    none = F.lit(0).cast("long")
+    ends = lambda spans, at, n: F.coalesce(F.array_max(F.transform(F.slice(spans, at, n), lambda x: x["end"])), none)
+
+    def grouped(spans: Column) -> Column:
+        groups = F.transform(F.sequence(F.lit(0), F.floor((F.size(spans) - 1) / GROUP).cast("int")), lambda g: ends(spans, g * GROUP + 1, F.lit(GROUP)))
+        return let(groups, lambda found: F.struct(spans.alias("spans"), found.alias("groups"), F.transform(found, lambda _, g: F.when(g > 0, F.array_max(F.slice(found, F.lit(1), F.greatest(g, F.lit(1))))).otherwise(none)).alias("earlier")))
+
+    def gaps(s: Column) -> Column:
+        """From the farthest end before a span, of the whole groups before it and of those before it in its own, to its start."""
+        before = lambda i: F.greatest(F.get(s["earlier"], F.floor(i / GROUP).cast("int")), ends(s["spans"], (i - i % GROUP + 1).cast("int"), (i % GROUP).cast("int")))
+        inner = F.filter(F.transform(s["spans"], lambda x, i: F.struct(before(i).alias("low"), x["start"].alias("high"))), lambda g: g["low"] <= g["high"])
+        return F.concat(inner, F.array(F.struct(F.array_max(s["groups"]).alias("low"), F.length(text).cast("long").alias("high"))))
+
+    def piece(blocks: Column, g: Column) -> Column:
+        """The text from code point low to high, from the blocks that it touches."""
+        first, past = F.floor(g["low"] / BLOCK).cast("int"), F.floor(g["high"] / BLOCK).cast("int")
+        cut = lambda k, lo, hi: F.coalesce(F.substring(F.get(blocks, k), (lo + 1).cast("int"), (hi - lo).cast("int")), F.lit(""))
+        low, high = g["low"] % BLOCK, g["high"] % BLOCK
+        between = F.array_join(F.slice(blocks, first + 2, F.greatest(past - first - 1, F.lit(0))), "")
+        return F.when(first == past, cut(first, low, high)).otherwise(F.concat(cut(first, low, F.lit(BLOCK)), between, cut(past, F.lit(0), high)))
+
+    # Each value is bound once: an expression within a function would be computed for every element.
+    blocks = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))
+    clean = let(F.col("__tg_secrets"), lambda spans: let(grouped(spans), lambda s: let(F.struct(gaps(s).alias("gaps"), blocks.alias("blocks")), lambda b: F.array_join(F.transform(b["gaps"], lambda g: piece(b["blocks"], g)), mark))))
+    return found.withColumn(text_col, F.when(F.size("__tg_secrets") > 0, clean).otherwise(text)).drop("__tg_secrets")
