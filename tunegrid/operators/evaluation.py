@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -63,3 +66,49 @@ def rrf_k_search(rankings: DataFrame, relevant: DataFrame, ks: list[int], limit:
 
 def _ideal(hits: Column, k: int) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(k)), F.lit(0.0), lambda s, j: s + F.when(j <= hits, 1.0 / F.log2(j + 1)).otherwise(0.0))
+
+
+_CHUNKS, _ERRORS = "chunk long, users long, failed long", "chunk long, id_user long, error string"
+
+
+def _committed(spark, folder: str, schema: str) -> DataFrame:
+    try:
+        return spark.read.schema(schema).parquet(folder)
+    except AnalysisException as missing:
+        if "PATH_NOT_FOUND" not in str(missing):
+            raise
+        return spark.createDataFrame([], schema)
+
+
+def evaluate_in_chunks(users: DataFrame, evaluate: Callable[[DataFrame], DataFrame], folder: str, chunks: int = 16) -> tuple[DataFrame, DataFrame]:
+    """(rows, errors) of evaluate over all users, by chunks of them that are committed one by one in folder.
+
+    evaluate takes users (id_user) and gives rows with id_user. A chunk's rows replace what an earlier try left of it, then the
+    chunk is noted as done: a run that stops anywhere goes on with the chunks that are not, and ends with the rows
+    of one run. Where a chunk fails its halves are tried by themselves, down to single users, who are noted with their
+    error (the first 500 characters) and left out; so a bad user costs some retries, not the run.
+    """
+    spark = users.sparkSession
+    keyed = users.select("id_user").distinct().withColumn("_h", F.xxhash64("id_user")).withColumn("chunk", F.pmod("_h", F.lit(chunks)))
+
+    def attempt(some: DataFrame, chunk: int, bit: int, path: str) -> list[tuple[int, int, str]]:
+        try:
+            evaluate(some.select("id_user")).write.mode("append").parquet(path)
+            return []
+        except PySparkException as failed:
+            if some.count() <= 1:
+                return [(chunk, r.id_user, str(failed)[:500]) for r in some.collect()]
+            halves = [some.where(F.pmod(F.shiftrightunsigned("_h", bit), F.lit(2)) == b) for b in (0, 1)]
+            return [e for half in halves if not half.isEmpty() for e in attempt(half, chunk, (bit + 1) % 64, path)]
+
+    done = {r.chunk for r in _committed(spark, f"{folder}/chunks", _CHUNKS).collect()}
+    for chunk in (k for k in range(chunks) if k not in done):
+        some = keyed.where(F.col("chunk") == chunk)
+        path = f"{folder}/rows/chunk={chunk}"
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+        errors = attempt(some, chunk, 8, path)
+        if errors:
+            spark.createDataFrame(errors, _ERRORS).coalesce(1).write.mode("overwrite").parquet(f"{folder}/errors/of={chunk}")
+        spark.createDataFrame([(chunk, some.count(), len(errors))], _CHUNKS).coalesce(1).write.mode("append").parquet(f"{folder}/chunks")
+    return spark.read.parquet(f"{folder}/rows").drop("chunk"), _committed(spark, f"{folder}/errors", _ERRORS)

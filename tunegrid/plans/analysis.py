@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tunegrid.operators import evaluation as ev
-from tunegrid.operators import features, neighbours, stats
+from tunegrid.operators import features, fusion, neighbours, stats
 from tunegrid.plans import oracle as O
 from tunegrid.plans.recommend import content_of, pairs_of, rounded
 from tunegrid.plans.registry import register
@@ -70,8 +70,17 @@ _METRICS = " UNION ALL ".join(f"SELECT id_user, strategy, '{m}' AS metric, round
 register("pick_users", lambda c: ev.pick_users(c.interactions.where("rating > 0").groupBy("id_user").agg(F.count("*").alias("n")), 30, 200), f"""
     SELECT id_user FROM (SELECT id_user, count(*) AS n FROM inter WHERE rating > 0 GROUP BY 1) WHERE n >= 30 ORDER BY (id_user * 2654435761 + {97 * 11}) % 1000003, id_user LIMIT 200""")
 register("holdout_split", split_of, "SELECT * FROM split", **TRAIN)
-register("candidate_pool_eval", lambda c: c.releases.where("ratings_count > 0").select("id_release").crossJoin(F.broadcast(ev.pick_users(c.interactions.groupBy("id_user").agg(F.count("*").alias("n")), 30, 20))).join(c.interactions.select("id_user", "id_release"), ["id_user", "id_release"], "left_anti"), f"""
-    SELECT id_user, id_release FROM (SELECT id_user, id_release FROM (SELECT id_user FROM inter GROUP BY 1 HAVING count(*) >= 30 ORDER BY (id_user * 2654435761 + {97 * 11}) % 1000003, id_user LIMIT 20), (FROM rel WHERE ratings_count > 0)) ANTI JOIN inter USING (id_user, id_release)""")
+
+
+def candidate_pools(c: Catalogue, size: int = 500) -> DataFrame:
+    """Every user's pool: `size` rated releases that they have not interacted with, drawn by hash; users meet size + history of them, not all."""
+    c = c.settled()
+    return fusion.random_unseen(c.interactions.select("id_user").distinct(), c.interactions, c.releases.where("ratings_count > 0"), size, seed=13).select("id_user", "id_release")
+
+
+register("candidate_pool_eval", candidate_pools, f"""
+    SELECT id_user, id_release FROM (SELECT * FROM (SELECT DISTINCT id_user FROM inter), (SELECT id_release FROM rel WHERE ratings_count > 0)) ANTI JOIN inter USING (id_user, id_release)
+    QUALIFY row_number() OVER (PARTITION BY id_user ORDER BY (id_user * 2654435761 + id_release * 40503 + {97 * 13}) % 1000003, id_release) <= 500""")
 register("metrics_long", lambda c: rounded(metrics_of(c), "value"), _METRICS, **TRAIN)
 register("metric_averages", lambda c: rounded(metrics_of(c).groupBy("strategy", "metric").agg(F.avg("value").alias("mean")), "mean", places=4), f"SELECT strategy, metric, round(avg(value), 4) AS mean FROM ({_METRICS.replace('round(', '(').replace(', 6)::DOUBLE', ')::DOUBLE')}) GROUP BY 1, 2", **TRAIN)
 register("coverage", lambda c: lists_of(c).groupBy("strategy").agg(F.count_distinct("id_release").alias("n")).crossJoin(F.broadcast(c.parts.agg(F.count("*").alias("total")))).select("strategy", F.round(F.col("n") / F.col("total"), 6).alias("coverage")),

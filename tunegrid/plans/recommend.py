@@ -123,6 +123,14 @@ register("recommend_max_ensemble", lambda c: fusion.recommend_max(_max_lists(c),
     SELECT id_user, place AS rank, id_release, round(score, 6) AS score, strategy FROM ({O.diversified(_MAXED, LIMIT, ', score, strategy')})
     UNION ALL SELECT id_user, rank, id_release, NULL::DOUBLE, 'popular' FROM ({O.popular(LIMIT, 'SELECT id_user FROM usr ANTI JOIN best USING (id_user)')})""", best=_BEST)
 
+HYBRID_PARTS = {
+    "tiers": "SELECT id_user, coalesce(n_pos, 0) AS n, id_user IN (SELECT id_user FROM adv) AS has FROM usr LEFT JOIN sig USING (id_user)",
+    "picked": f"""SELECT id_user, id_release, rank, 0 AS source FROM ({O.rec_pairs(LIMIT)}) SEMI JOIN (FROM tiers WHERE n BETWEEN 1 AND 8) USING (id_user)
+      UNION ALL SELECT id_user, id_release, rank, 0 FROM adv SEMI JOIN (FROM tiers WHERE n >= 20 AND has) USING (id_user)
+      UNION ALL SELECT id_user, id_release, rank, 0 FROM ({O.rec_content(LIMIT)}) SEMI JOIN (FROM tiers WHERE n >= 9 AND NOT (n >= 20 AND has)) USING (id_user)"""
+}
+
+
 def hybrid_of(c: Catalogue) -> DataFrame:
     return fusion.recommend_hybrid(c.users, c.signals, pairs_of(c, LIMIT), content_of(c, LIMIT), advanced_of(c), fusion.popular_unseen(c.users, c.interactions, c.releases), c.releases)
 
@@ -132,11 +140,7 @@ register("recommend_hybrid", lambda c: hybrid_of(c.settled()), f"""
       SELECT * FROM (SELECT id_user, id_release, source, rank FROM picked
         UNION ALL SELECT id_user, id_release, 1, rank FROM pop ANTI JOIN (SELECT id_user FROM picked GROUP BY 1 HAVING count(*) >= 9) USING (id_user))
       QUALIFY row_number() OVER (PARTITION BY id_user, id_release ORDER BY source, rank) = 1)''', LIMIT)})""",
-    adv=O.advanced(LIMIT), pop=O.popular(LIMIT),
-    tiers="SELECT id_user, coalesce(n_pos, 0) AS n, id_user IN (SELECT id_user FROM adv) AS has FROM usr LEFT JOIN sig USING (id_user)",
-    picked=f"""SELECT id_user, id_release, rank, 0 AS source FROM ({O.rec_pairs(LIMIT)}) SEMI JOIN (FROM tiers WHERE n BETWEEN 1 AND 8) USING (id_user)
-      UNION ALL SELECT id_user, id_release, rank, 0 FROM adv SEMI JOIN (FROM tiers WHERE n >= 20 AND has) USING (id_user)
-      UNION ALL SELECT id_user, id_release, rank, 0 FROM ({O.rec_content(LIMIT)}) SEMI JOIN (FROM tiers WHERE n >= 9 AND NOT (n >= 20 AND has)) USING (id_user)""")
+    adv=O.advanced(LIMIT), pop=O.popular(LIMIT), **HYBRID_PARTS)
 
 
 def context_of(c: Catalogue) -> DataFrame:

@@ -54,7 +54,7 @@ def vote_pages(c: Catalogue) -> DataFrame:
 
 def soundoff_pages(c: Catalogue) -> DataFrame:
     """An album's ratings with the day they were given, in words."""
-    rows = c.interactions.where("rating > 0 and id_user % 5 = 0").join(c.users.select("id_user", "role"), "id_user")
+    rows = c.interactions.where("rating > 0").join(c.users.select("id_user", "role"), "id_user")
     day = F.day("rating_date")
     said = F.when(F.col("id_user") % 2 == 0, F.concat(F.lit("Heard it "), F.col("id_user").cast("string"), F.lit(" times"))).otherwise("")
     entry = _text(
@@ -98,7 +98,7 @@ register("parse_votes", lambda c: parse_pages(vote_pages(c), "votes"), f"""
 register("parse_soundoffs", lambda c: parse_pages(soundoff_pages(c), "soundoffs"), """
     SELECT id_release AS page_id, 'u' || id_user AS user_id, 'Listener ' || id_user AS user_display, role AS user_role, rating, 'fine' AS rating_label, strftime(rating_date, '%Y-%m-%d') AS rating_date,
            CASE WHEN id_user % 2 = 0 THEN 'Heard it ' || id_user || ' times' END AS soundoff_text
-    FROM inter JOIN usr USING (id_user) WHERE rating > 0 AND id_user % 5 = 0""")
+    FROM inter JOIN usr USING (id_user) WHERE rating > 0""")
 register("parse_tracklists", lambda c: parse_pages(track_pages(c), "tracklist"), """
     SELECT l_orderkey AS page_id, l_linenumber::INT AS position, 'Part of ' || l_partkey AS title, CASE WHEN l_partkey % 5 <> 0 THEN (l_linenumber * 60 + l_quantity)::INT END AS duration_seconds FROM lineitem""")
 register("parse_profiles", lambda c: parse_pages(profile_pages(c), "profile"), """
