@@ -7,10 +7,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tunegrid.sources.staging import release, shared_dir, staged
+from tunegrid.sources.staging import numbered, release, shared_dir, staged
 
 __all__ = ["by_unit", "hot_join", "numbered", "release", "shared_dir", "staged", "table"]
 
@@ -29,20 +29,6 @@ def hot_join(many: DataFrame, one: DataFrame, key: str | list[str], rows_of: str
     return many.join(F.broadcast(hot), key).unionByName(many.join(F.broadcast(hot.select(*([key] if isinstance(key, str) else key))), key, "left_anti").join(rest, key))
 
 
-def numbered(rows: DataFrame, parts: int, *order: Column, name: str = "number") -> DataFrame:
-    """rows with their place from 1 under order, which must tell rows apart: one range exchange, no task numbers all of them.
-
-    A partition's rows are numbered where they lie; the counts of the partitions before it, a row for each, are added.
-    """
-    sorted_rows = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order)
-    # The partition's number in the upper bits, the row's place there in the lower 33.
-    dealt = staged(sorted_rows.withColumn("__at", F.monotonically_increasing_id()), "numbered").withColumn("__part", F.shiftright("__at", 33))
-    sizes = dealt.groupBy("__part").agg(F.count("*").alias("n"), F.min("__at").alias("first"))
-    before = F.sum("n").over(Window.orderBy("__part")) - F.col("n")
-    offsets = sizes.select("__part", (before - F.col("first") + 1).alias("__offset"))
-    return dealt.join(F.broadcast(offsets), "__part").withColumn(name, F.col("__at") + F.col("__offset")).drop("__at", "__part", "__offset")
-
-
 def by_unit(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, pa.RecordBatch]]:
     """(unit, kind, rows) of a stream sorted by its first two columns; a unit's rows may come in several parts."""
     for batch in batches:

@@ -9,12 +9,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tunegrid.llm.common import hot_join, staged
+from tunegrid.llm.common import hot_join, release, staged
 
 #: Bytes of a repeated string, and of the anchors inside it: a window of LENGTH bytes belongs to the anchor of least hash in it.
-LENGTH, ANCHOR = 50, 16
+LENGTH, ANCHOR = 50, 24
 #: Text bytes that Python cuts at once; pieces whose suffixes one task sorts, near enough; pieces of one anchor beyond which its windows are dealt one by one.
-SLICE, BUCKET_PIECES, HOT_PIECES = 2_000_000, 20_000, 20_000
+SLICE, BUCKET_PIECES, HOT_PIECES = 500_000, 20_000, 20_000
 #: Bits of the filter that tells shared anchors in the second reading (16 MB); with more than a quarter as many anchors it is left out.
 FILTER_BITS = 1 << 27
 _C1, _C2, _C3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
@@ -35,10 +35,12 @@ def cut(buffer: np.ndarray, starts: np.ndarray, ends: np.ndarray, length: int, a
     """(place, windows, anchor hash, words): the pieces of the texts [starts, ends) of a buffer of under 64 MB.
 
     A piece is a run of windows with the same anchor: it has `windows` of them from `place` on and so windows + length - 1
-    bytes. Each window is in one piece, and equal windows have equal anchors wherever they stand. Anchors have 8 to 16 bytes.
+    bytes. Each window is in one piece, and equal windows have equal anchors wherever they stand. Anchors have 8 to 24 bytes.
     """
     words, grams, width = _words(buffer), len(buffer) - anchor + 1, length - anchor + 1
-    hashed = _mix(words[:grams] * _C2 + _mix(words[anchor - 8 : anchor - 8 + grams] * _C3))
+    second, last = min(8, anchor - 8), anchor - 8
+    hashed = _mix(words[:grams] * _C2 + _mix(words[second : second + grams] * _C3))
+    hashed = _mix(hashed ^ words[last : last + grams] * _C2) if last > second else hashed
     low = np.uint64((1 << 26) - 1)
     least, span = (hashed & ~low) | np.arange(grams, dtype=np.uint64), 1
     while 2 * span <= width:
@@ -109,27 +111,35 @@ def _anchors(length: int, anchor: int) -> Callable[[Iterator[pa.RecordBatch]], I
     return run
 
 
-def _occurrences(length: int, anchor: int, shared) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """(anchor, piece, id, print, at, windows, text): the pieces whose anchor may be shared; text once for each of a slice, at its smallest document."""
+def _within(hashed: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    spot = hashed.view(np.uint64) % np.uint64(len(bits) * 8)
+    return (bits[(spot >> np.uint64(3)).astype(np.int64)] >> (spot & np.uint64(7)).astype(np.uint8)) & 1 > 0
+
+
+def _pieces(length: int, anchor: int, shared, texts: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The pieces whose anchor passes the filter: where each stands (anchor, piece, id, print, at, windows); or, with texts,
+    (anchor, piece, least, text) once for equal ones of a slice, with their smallest document.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = None if shared is None else shared.value
         for batch, rows, begin, buffer, starts, ends in _slices(batches, length):
             place, windows, hashed, words = cut(buffer, starts, ends, length, anchor)
             if bits is not None:
-                spot = hashed.view(np.uint64) % np.uint64(len(bits) * 8)
-                some = (bits[(spot >> np.uint64(3)).astype(np.int64)] >> (spot & np.uint64(7)).astype(np.uint8)) & 1 > 0
+                some = _within(hashed, bits)
                 place, windows, hashed = place[some], windows[some], hashed[some]
             size = windows + length - 1
             piece, part = _digest(words, place, size), np.searchsorted(ends, place, side="right")
-            ids, prints = batch.column("id").to_numpy()[rows[part]], batch.column("print").to_numpy()[rows[part]]
-            order = np.lexsort((ids, piece, hashed))
-            again = np.append(False, (hashed[order][1:] == hashed[order][:-1]) & (piece[order][1:] == piece[order][:-1]))
-            whole, shown = buffer.tobytes(), np.zeros(len(place), bool)
-            shown[order] = ~again
-            texts = [whole[p : p + n] if t else None for p, n, t in zip(place.tolist(), size.tolist(), shown.tolist(), strict=True)]
-            columns = [pa.array(hashed), pa.array(piece), pa.array(ids), pa.array(prints), pa.array(place - starts[part] + begin[part]), pa.array(windows.astype(np.int64)), pa.array(texts, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names=["anchor", "piece", "id", "print", "at", "windows", "text"])
+            ids = batch.column("id").to_numpy()[rows[part]]
+            if texts:
+                order = np.lexsort((ids, piece, hashed))
+                order = order[np.append(True, (hashed[order][1:] != hashed[order][:-1]) | (piece[order][1:] != piece[order][:-1]))] if len(order) else order
+                whole = buffer.tobytes()
+                own = [whole[p : p + n] for p, n in zip(place[order].tolist(), size[order].tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(hashed[order]), pa.array(piece[order]), pa.array(ids[order]), pa.array(own, pa.binary())], names=["anchor", "piece", "least", "text"])
+            else:
+                columns = [pa.array(hashed), pa.array(piece), pa.array(ids), pa.array(batch.column("print").to_numpy()[rows[part]]), pa.array(place - starts[part] + begin[part]), pa.array(windows.astype(np.int32))]
+                yield pa.RecordBatch.from_arrays(columns, names=["anchor", "piece", "id", "print", "at", "windows"])
 
     return run
 
@@ -142,7 +152,7 @@ def _named(text: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray
     a, b, c = text[places], text[places + 1], text[places + 2]
     if text.max() < 1 << 21:
         key = (a << 42) | (b << 21) | c
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         new = np.append(True, np.diff(key[order]) != 0)
     else:
         order = np.lexsort((c, b, a))
@@ -183,7 +193,7 @@ def suffix_array(symbols: np.ndarray, depth: int) -> np.ndarray:
     ranked = ranked[ranked < n]
     rest = np.arange(0, n, 3)
     by_next = lambda x: (text[x] << 32) | rank[x + 1]
-    rest = rest[np.argsort(by_next(rest), kind="stable")]
+    rest = rest[np.argsort(by_next(rest))]
     ones, twos = ranked[ranked % 3 == 1], ranked[ranked % 3 == 2]
     pair_rest, pair_twos = _pairs(text, rest, twos)
     # Places that `depth` symbols do not tell apart have ranks in any order: among themselves the counts are made to rise.
@@ -217,68 +227,66 @@ def least_sources(texts: list[bytes], sources: np.ndarray, length: int) -> list[
     return [found[b : b + n - length + 1] for b, n in zip(begins.tolist(), sizes.tolist(), strict=True)]
 
 
-_RUNS = "anchor long, piece long, n long, since array<int>, until array<int>, source array<long>"
+_RUNS = "anchor long, piece long, since array<int>, until array<int>, source array<long>"
 
 
 def _runs(length: int, chunk: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Pieces (anchor, piece, n, least, text) sorted by anchor to runs of windows with the same smallest document."""
+    """Rows (anchor, piece, least, text) sorted by anchor and piece, which may repeat, to runs of windows with the same smallest document."""
 
     def solved(rows: pa.Table) -> pa.RecordBatch:
-        anchors, least = rows.column("anchor").to_numpy(), rows.column("least").to_numpy()
-        texts = rows.column("text").to_pylist()
-        alone = np.append(True, anchors[1:] != anchors[:-1]) & np.append(anchors[1:] != anchors[:-1], True)
-        found: list[np.ndarray | None] = [None] * len(texts)
-        many = np.nonzero(~alone)[0]
-        for k, own in zip(many.tolist(), least_sources([texts[k] for k in many], least[many], length) if len(many) else [], strict=True):
-            found[k] = own
+        anchors, pieces, least = (rows.column(c).to_numpy() for c in ("anchor", "piece", "least"))
+        first = np.nonzero(np.append(True, (anchors[1:] != anchors[:-1]) | (pieces[1:] != pieces[:-1])))[0]
+        texts = rows.column("text").take(pa.array(first)).to_pylist()
         since, until, source = [], [], []
-        for k, own in enumerate(found):
-            if own is None:
-                since.append([0]), until.append([len(texts[k]) - length + 1]), source.append([int(least[k])])
-            else:
-                cuts = [0, *(np.nonzero(own[1:] != own[:-1])[0] + 1).tolist()]
-                since.append(cuts), until.append([*cuts[1:], len(own)]), source.append(own[cuts].tolist())
+        for own in least_sources(texts, np.minimum.reduceat(least, first), length):
+            cuts = [0, *(np.nonzero(own[1:] != own[:-1])[0] + 1).tolist()]
+            since.append(cuts), until.append([*cuts[1:], len(own)]), source.append(own[cuts].tolist())
         lists = [pa.array(since, pa.list_(pa.int32())), pa.array(until, pa.list_(pa.int32())), pa.array(source, pa.list_(pa.int64()))]
-        return pa.RecordBatch.from_arrays([*[rows.column(c).combine_chunks() for c in ("anchor", "piece", "n")], *lists], names=[c.split()[0] for c in _RUNS.split(", ")])
+        return pa.RecordBatch.from_arrays([pa.array(anchors[first]), pa.array(pieces[first]), *lists], names=[c.split()[0] for c in _RUNS.split(", ")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = None
+        held, size = [], 0
         for batch in batches:
-            rows = pa.Table.from_batches([batch])
-            rest = rows if rest is None else pa.concat_tables([rest, rows])
-            if rest.num_rows >= chunk:
-                anchors = rest.column("anchor").to_numpy()
+            held.append(batch)
+            size += batch.num_rows
+            if size >= chunk:
+                rows = pa.Table.from_batches(held)
+                anchors = rows.column("anchor").to_numpy()
                 last = int(np.searchsorted(anchors, anchors[-1]))
                 if last:
-                    yield solved(rest.slice(0, last))
-                    rest = rest.slice(last).combine_chunks()
-        if rest is not None and rest.num_rows:
-            yield solved(rest)
+                    yield solved(rows.slice(0, last))
+                    rows = rows.slice(last).combine_chunks()
+                held, size = rows.to_batches(), rows.num_rows
+        if size:
+            yield solved(pa.Table.from_batches(held))
 
     return run
 
 
 def _window_by_window(pieces: DataFrame, length: int) -> DataFrame:
     """The same for anchors with so many pieces that one task must not hold them: windows are summed up where they lie and dealt by themselves."""
-    at = F.explode(F.sequence(F.lit(0), F.length("text") - length)).alias("k")
-    windows = pieces.select("anchor", "piece", "n", "least", "text", at).select("anchor", "piece", "n", "least", "k", F.substring("text", F.col("k") + 1, F.lit(length)).alias("window"))
+    pieces = pieces.groupBy("anchor", "piece").agg(F.min("least").alias("least"), F.max("text").alias("text"))
+    windows = pieces.select("anchor", "piece", "least", "text", F.explode(F.sequence(F.lit(0), F.length("text") - length)).alias("k"))
+    windows = staged(windows.select("anchor", "piece", "least", "k", F.substring("text", F.col("k") + 1, F.lit(length)).alias("window")), "windows")
     sources = windows.groupBy("window").agg(F.min("least").alias("source"), F.count("*").alias("met"))
-    total = windows.count()
-    told = hot_join(windows.drop("least"), sources, "window", "met", total)
-    runs = F.collect_list(F.struct("k", "source"))
-    return told.groupBy("anchor", "piece", "n").agg(runs.alias("r")).select("anchor", "piece", "n", F.transform("r", lambda x: x["k"]).alias("since"), F.transform("r", lambda x: x["k"] + 1).alias("until"), F.transform("r", lambda x: x["source"]).alias("source"))
+    told = hot_join(windows.drop("least"), sources, "window", "met", windows.count())
+    runs = told.groupBy("anchor", "piece").agg(F.collect_list(F.struct("k", "source")).alias("r"))
+    return runs.select("anchor", "piece", F.transform("r", lambda x: x["k"]).alias("since"), F.transform("r", lambda x: x["k"] + 1).alias("until"), F.transform("r", lambda x: x["source"]).alias("source"))
 
 
 # --- Whole corpus ---------------------------------------------------------------------------------------------------
 
 
-def _filter_bits(shared: DataFrame, bits: int) -> np.ndarray:
-    """A bitmap of the anchors: bits / 64 words at most reach the driver, whatever the corpus."""
+def _filter_of(anchors: DataFrame):
+    """A broadcast bitmap of the anchors, None if there are too many: FILTER_BITS / 64 words at most reach the driver, whatever the corpus."""
+    bits = FILTER_BITS
+    if anchors.count() > bits // 4:
+        return None
     spot = F.pmod(F.col("anchor").cast("decimal(20,0)") + F.when(F.col("anchor") < 0, F.lit("18446744073709551616").cast("decimal(20,0)")).otherwise(0), F.lit(bits)).cast("long")
-    words = shared.select(spot.alias("s")).groupBy(F.shiftright("s", 6).alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(s & 63 as int)))").alias("b")).toArrow()
+    words = anchors.select(spot.alias("s")).groupBy(F.shiftright("s", 6).alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(s & 63 as int)))").alias("b")).toArrow()
     found = np.zeros(bits // 64, np.int64)
     found[words.column("w").to_numpy()] = words.column("b").to_numpy()
-    return found.view(np.uint8)
+    return anchors.sparkSession.sparkContext.broadcast(found.view(np.uint8))
 
 
 def _cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -309,8 +317,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Texts are cut into pieces at anchors, so that equal strings lie in pieces of the same anchor. Anchors in one document
     only are left out; equal pieces count once, with their smallest document. The pieces of an anchor meet in
     one task, where a difference cover sorts their suffixes and neighbours of equal prefixes share their smallest document;
-    an anchor with more than HOT_PIECES different pieces is dealt by its strings instead. Nothing is dropped: an
-    anchor lost by chance does not exist, hashes only bring together more than needed, and a piece's digests have 128 bits.
+    an anchor with more than HOT_PIECES of them is dealt by its strings instead. No string is lost: hashes of anchors and the
+    filter only bring together more than needed, and pieces are told apart by 128 bits, the anchor's and their own.
 
     Ids are long. A null text is empty, shorter texts stay whole. A null id is later than nothing and
     earlier than nothing: such rows stay whole. Rows with one id do not remove each other's strings. No rows: no rows.
@@ -319,23 +327,40 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     named = source.where("id is not null and text is not null")
     anchors = named.select("id", "text").mapInArrow(_anchors(length, anchor), "anchor long, least long, most long")
     shared = staged(anchors.groupBy("anchor").agg(F.min("least").alias("least"), F.max("most").alias("most")).where("least < most").select("anchor"), "anchors")
-    few = shared.count() <= FILTER_BITS // 4
-    bits = named.sparkSession.sparkContext.broadcast(_filter_bits(shared, FILTER_BITS)) if few else None
-    found = named.mapInArrow(_occurrences(length, anchor, bits), "anchor long, piece long, id long, print long, at long, windows long, text binary")
-    found = staged(found if few else found.join(shared, "anchor", "left_semi"), "occurrences")
-    pieces = staged(found.groupBy("anchor", "piece").agg(F.min("id").alias("least"), F.count("*").alias("n"), F.max("text").alias("text")), "pieces")
-    count = pieces.count()
-    most = max(HOT_PIECES, -(-count // 50_000))
-    # At most 50,000 anchors have that many pieces.
-    hot = F.broadcast(pieces.groupBy("anchor").agg(F.count("*").alias("pieces")).where(F.col("pieces") > most).select("anchor"))
-    dealt = pieces.join(hot, "anchor", "left_anti").repartition(max(1, -(-count // BUCKET_PIECES)), "anchor").sortWithinPartitions("anchor")
-    runs = dealt.select("anchor", "piece", "n", "least", "text").mapInArrow(_runs(length, BUCKET_PIECES), _RUNS)
-    runs = staged(runs.unionByName(_window_by_window(pieces.join(hot, "anchor", "left_semi"), length)), "runs")
-    met = hot_join(found.select("anchor", "piece", "id", "print", "at"), runs, ["anchor", "piece"], "n", found.count())
+    places, shown = "anchor long, piece long, id long, print long, at long, windows int", "anchor long, piece long, least long, text binary"
+    bits = _filter_of(shared)
+    found = named.mapInArrow(_pieces(length, anchor, bits, False), places)
+    found = staged(found if bits else found.join(shared, "anchor", "left_semi"), "occurrences")
+    release(shared)
+    # An anchor with one piece needs no sorting: all its strings are that piece's, its smallest document is theirs.
+    kinds = found.groupBy("anchor").agg(F.min("id").alias("least"), F.count("*").alias("n"), F.min("piece").alias("a"), F.max("piece").alias("b"))
+    kinds = staged(kinds.where("n > 1").select("anchor", "least", "n", (F.col("a") == F.col("b")).alias("single")), "kinds")
+    met = hot_join(found, kinds, "anchor", "n", found.count()).where("not single or least < id")
+    met = staged(met.withColumn("piece", F.when(~F.col("single"), F.col("piece"))).drop("least"), "met")
+    release(found)
+    single = met.where("single").select("id", "print", F.array("at").alias("low"), F.array(F.col("at") + F.col("windows") + (length - 1)).alias("high"))
+    mixed = met.where("not single").select("anchor", "piece", "id", "print", "at")
+    groups = kinds.where("not single").select("anchor", "n")
+    count, bits = groups.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0], _filter_of(groups.select("anchor"))
+    pieces = named.select("id", "text").mapInArrow(_pieces(length, anchor, bits, True), shown)
+    pieces = pieces if bits else pieces.join(groups.select("anchor"), "anchor", "left_semi")
+    # At most 50,000 anchors are hot.
+    hot = F.broadcast(groups.where(F.col("n") > max(HOT_PIECES, -(-count // 50_000))).select("anchor"))
+    some_hot = not hot.isEmpty()
+    dealt = pieces.join(hot, "anchor", "left_anti") if some_hot else pieces
+    dealt = dealt.repartition(max(1, -(-count // BUCKET_PIECES)), "anchor").sortWithinPartitions("anchor", "piece")
+    runs = dealt.mapInArrow(_runs(length, BUCKET_PIECES), _RUNS)
+    runs = runs.unionByName(_window_by_window(pieces.join(hot, "anchor", "left_semi"), length)) if some_hot else runs
+    runs = staged(runs.join(mixed.groupBy("anchor", "piece").agg(F.count("*").alias("n")), ["anchor", "piece"]), "runs")
+    release(kinds)
+    parts = hot_join(mixed, runs, ["anchor", "piece"], "n", count)
     spans = F.filter(F.arrays_zip("since", "until", "source"), lambda r: r["source"] < F.col("id"))
-    met = met.select("id", "print", "at", spans.alias("r")).where(F.size("r") > 0)
+    parts = parts.select("id", "print", "at", spans.alias("r")).where(F.size("r") > 0)
     low = F.transform("r", lambda r: F.col("at") + r["since"])
     high = F.transform("r", lambda r: F.col("at") + r["until"] + (length - 1))
-    per_text = met.groupBy("id", "print").agg(F.flatten(F.collect_list(low)).alias("low"), F.flatten(F.collect_list(high)).alias("high"))
+    every = single.unionByName(parts.select("id", "print", low.alias("low"), high.alias("high")))
+    per_text = every.groupBy("id", "print").agg(F.flatten(F.collect_list("low")).alias("low"), F.flatten(F.collect_list("high")).alias("high"))
+    per_text = staged(per_text, "spans")
+    release(met, runs)
     rows = source.join(per_text, ["id", "print"], "left").select(F.col("id").alias("doc_id"), "text", "low", "high")
     return rows.mapInArrow(_cleaned, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, starts array<long>, ends array<long>")
