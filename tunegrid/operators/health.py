@@ -19,6 +19,11 @@ def queue_errors(queue: DataFrame) -> DataFrame:
     return rows.select("kind", F.element_at(kinds, F.col("kind")).alias("severity"), "n")
 
 
+def queue_issues(queue: DataFrame) -> DataFrame:
+    """(category, id, detail): each row in error with its class and the first 500 characters of its error."""
+    return queue.where("status = 'error'").select(error_class("last_error").alias("category"), "id", F.left("last_error", F.lit(500)).alias("detail"))
+
+
 def mismatch(entities: DataFrame, stored: DataFrame, key: str) -> DataFrame:
     """(key, expected, stored) where fewer rows are stored than expected; stored rows are counted before the join."""
     counts = stored.groupBy(key).agg(F.count("*").alias("n"))
