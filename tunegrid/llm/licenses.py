@@ -29,15 +29,15 @@ SENTENCES = {
     "bsd-source": "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer",
     "bsd-binary": "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution",
     "bsd-endorse": "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
+    "bsd-endorse-author": "the name of the author may not be used to endorse or promote products derived from this software without specific prior written permission",
     "gpl3-free": "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version",
     "gpl2-free": "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version",
     "gpl3-free-only": "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation version 3 of the license",
     "gpl2-free-only": "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation version 2 of the license",
-    "lgpl3-free": "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version",
-    "lgpl21-free": "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1 of the license or at your option any later version",
+    "lgpl3-free": "this program is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+    "lgpl21-free": "this program is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1 of the license or at your option any later version",
     "agpl3-free": "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version",
     "gpl-hope": "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose",
-    "lgpl-hope": "this library is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose",
     "gpl3-title": "gnu general public license version 3 29 june 2007",
     "gpl2-title": "gnu general public license version 2 june 1991",
     "lgpl3-title": "gnu lesser general public license version 3 29 june 2007",
@@ -66,12 +66,13 @@ RULES = [
     ("ISC", ["isc-grant", "isc-as-is"]),
     ("BSD-2-Clause", ["bsd-grant", "bsd-source", "bsd-binary"]),
     ("BSD-3-Clause", ["bsd-grant", "bsd-source", "bsd-binary", "bsd-endorse"]),
+    ("BSD-3-Clause", ["bsd-grant", "bsd-source", "bsd-binary", "bsd-endorse-author"]),
     ("GPL-3.0-or-later", ["gpl3-free", "gpl-hope"]),
     ("GPL-2.0-or-later", ["gpl2-free", "gpl-hope"]),
     ("GPL-3.0-only", ["gpl3-free-only", "gpl-hope"]),
     ("GPL-2.0-only", ["gpl2-free-only", "gpl-hope"]),
-    ("LGPL-3.0-or-later", ["lgpl3-free", "lgpl-hope"]),
-    ("LGPL-2.1-or-later", ["lgpl21-free", "lgpl-hope"]),
+    ("LGPL-3.0-or-later", ["lgpl3-free", "gpl-hope"]),
+    ("LGPL-2.1-or-later", ["lgpl21-free", "gpl-hope"]),
     ("AGPL-3.0-or-later", ["agpl3-free", "gpl-hope"]),
     ("GPL-3.0-only", ["gpl3-title"]),
     ("GPL-2.0-only", ["gpl2-title"]),
@@ -89,6 +90,8 @@ RULES = [
 ]
 # A licence whose rules another licence's hold within, so that it does not count beside that one.
 WITHIN = {"BSD-2-Clause": "BSD-3-Clause"}
+#: What a reserved right alone shows; beside a licence it is no licence of its own.
+RESERVED = "proprietary"
 # Names by which a sentence `licensed under ...` tells a licence, as normalised text.
 NAMES = {
     "Apache-2.0": ["apache license version 2 0", "apache license 2 0", "apache 2 0 license", "apache 2 0", "apache license v2 0"],
@@ -137,6 +140,8 @@ _with_names()
 #: A text without any of these words holds no rule's first sentence.
 HINTS = ["licen", "reserved", "permission", "free software", "warrant", "redistribut", "notice", "except in compliance", "unencumbered"]
 END = r"([.!?:;])[\t ]+"
+#: Short forms in names, whose dot ends no sentence.
+SHORT_FORMS = r"\b(Inc|Ltd|Corp|Co|Dr|Mr|Mrs|Ms|Prof)[.]"
 #: A term that headers define on the way; no known sentence has it.
 TERM = r"(?i)\(the [\"“']?license[\"”']?\)"
 #: Marks that begin a line of a comment or of a list.
@@ -145,13 +150,35 @@ BLANK = r"\n[\t ]*(?:[*]|//|#)?[\t ]*\n"
 #: Ways to say `licensed under`, and what may follow a licence's name.
 LEAD = r"^(?:[a-z]+ ){0,4}(?:licensed|released|distributed|available|published|provided) under (?:the terms of )?(?:the |a |an )?"
 TAIL = r" (?:see|as found in) (?:the )?(?:accompanying )?(?:licen[sc]e|copying).*$"
+#: Nor is a sentence that denies it one of them.
+DENIED = r"^(?:[a-z0-9]+ ){0,8}(?:not|never|neither|cannot|no longer|isn t|aren t|wasn t) (?:[a-z]+ ){0,3}(?:licensed|released|distributed|available|published|provided) under "
+#: Places of known sentences that any name fills, and the wording that stands for all.
+SLOTS = [
+    (r"^(?:[a-z0-9]+ ){1,8}is free software", "this program is free software"),
+    (r"^(?:[a-z0-9]+ ){1,8}is distributed in the hope", "this program is distributed in the hope"),
+    (r"^neither the names? of (?:[a-z0-9]+ ){1,16}nor the names of (?:its|their|any|the|other) contributors", "neither the name of the copyright holder nor the names of its contributors"),
+    (r"^the names? of (?:the )?authors? may not", "the name of the author may not"),
+]
+#: An SPDX expression is read as one line for each of its licences: exceptions fall away, each pass cuts one `OR` or `AND`.
+SPDX_LINE, SPDX_PASSES = "SPDX-License-Identifier:", 4
+SPDX_WITH = r"(SPDX-License-Identifier:[ \t]*[(]*[A-Za-z0-9.+-]+)[ \t]+WITH[ \t]+[A-Za-z0-9.-]+"
+SPDX_NEXT = r"(SPDX-License-Identifier:[ \t]*[(]*[A-Za-z0-9.+-]+[)]*)[ \t]+(?:OR|AND)[ \t]+[(]*"
 #: Pieces that a known sentence may run over: `:`, `;` and blank lines also stand inside sentences.
 SPAN = 3
 
 
 def normal(sentence: Column) -> Column:
     plain = F.trim(F.regexp_replace(F.lower(F.regexp_replace(sentence, TERM, " ")), "[^a-z0-9]+", " "))
-    return F.when(plain.contains(" under "), F.regexp_replace(F.regexp_replace(plain, LEAD, "licensed under "), TAIL, "")).otherwise(plain)
+    for slot, wording in SLOTS:
+        plain = F.regexp_replace(plain, slot, wording)
+    return let(plain, lambda x: F.when(x.contains(" under ") & ~x.rlike(DENIED), F.regexp_replace(F.regexp_replace(x, LEAD, "licensed under "), TAIL, "")).otherwise(x))
+
+
+def _spelt_out(text: Column) -> Column:
+    out = text
+    for _ in range(SPDX_PASSES):
+        out = F.regexp_replace(F.regexp_replace(out, SPDX_WITH, "$1"), SPDX_NEXT, f"$1\n{SPDX_LINE} ")
+    return F.when(text.contains(SPDX_LINE), out).otherwise(text)
 
 
 def _marks(pieces: Column, numbers: dict[str, int]) -> Column:
@@ -183,9 +210,9 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     Texts are cut at sentence ends and lines, and once more with lines joined inside paragraphs
     for wrapped notices, without the marks of comments and lists; a known sentence may run over SPAN pieces of a cut. Normalised
-    sentences (lower case, letters and digits only, one wording of `licensed under`) become
+    sentences (lower case, letters and digits only, one wording of `licensed under` and of the names in SLOTS) become
     identifiers; a rule holds if its identifiers come in its order, whatever stands between. licenses
-    has the sorted distinct licences of the rules that hold, without one that WITHIN puts inside another, sentences the identifiers in order
+    has the sorted distinct licences of the rules that hold, without one that WITHIN puts inside another and without RESERVED beside others, sentences the identifiers in order
     (of the cut that finds more), both comma-joined; licenses is empty if sentences complete no rule.
     Null, empty and other texts give no row; null and repeated ids pass through.
     """
@@ -194,9 +221,9 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     names = list(sentences)
     numbers = {text: k for k, text in enumerate(sentences.values())}
     text = F.col(text_col)
-    rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("_t")).where(F.col("_t").rlike(hint))
+    rows = docs.select(F.col(id_col).alias("doc_id"), _spelt_out(text).alias("_t")).where(F.col("_t").rlike(hint))
     paragraphs = F.regexp_replace(F.concat(F.lit("\n"), "_t"), BLANK, "\n\u0001\n")
-    rows = rows.withColumn("_u", F.regexp_replace(paragraphs, MARKS, "\n"))
+    rows = rows.withColumn("_u", F.regexp_replace(F.regexp_replace(paragraphs, MARKS, "\n"), SHORT_FORMS, "$1"))
     by_line = F.split(F.regexp_replace("_u", END, "$1\n"), "\n")
     joined = F.split(F.regexp_replace(F.regexp_replace("_u", r"[\t ]*\n[\t ]*", " "), END, "$1\u0001"), "\u0001")
     rows = rows.select("doc_id", _marks(by_line, numbers).alias("a"), _marks(joined, numbers).alias("b")).where((F.size("a") > 0) | (F.size("b") > 0))
@@ -217,6 +244,7 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     kept = F.col("_l")
     for inner, outer in WITHIN.items():
         kept = F.when(F.array_contains("_l", outer), F.array_remove(kept, inner)).otherwise(kept)
+    kept = let(kept, lambda x: F.when(F.size(x) > 1, F.array_remove(x, RESERVED)).otherwise(x))
     best = F.when(F.size("b") > F.size("a"), F.col("b")).otherwise(F.col("a"))
     label = F.array(*[F.lit(n) for n in names])
     return rows.select(
@@ -233,11 +261,17 @@ def oracle() -> str:
     known = "MAP {" + ", ".join(f"{_quoted(s)}: {k}" for k, s in enumerate(SENTENCES.values())) + "}"
     names, longest = list(SENTENCES), max(map(len, SENTENCES.values()))
     plain = r"trim(regexp_replace(lower(regexp_replace(s, '{0}', ' ', 'gi')), '[^a-z0-9]+', ' ', 'g'))".format(TERM.removeprefix("(?i)").replace("'", "''"))
-    normal_ = f"CASE WHEN contains({plain}, ' under ') THEN regexp_replace(regexp_replace({plain}, '{LEAD}', 'licensed under '), '{TAIL}', '') ELSE {plain} END"
-    pieces = lambda cut: f"list_filter(list_transform({cut}, lambda s: {normal_}), lambda s: s <> '')"
+    for slot, wording in SLOTS:
+        plain = f"regexp_replace({plain}, '{slot}', '{wording}')"
+    normal_ = f"CASE WHEN contains(s, ' under ') AND NOT regexp_matches(s, '{DENIED}') THEN regexp_replace(regexp_replace(s, '{LEAD}', 'licensed under '), '{TAIL}', '') ELSE s END"
+    pieces = lambda cut: f"list_filter(list_transform(list_transform({cut}, lambda s: {plain}), lambda s: {normal_}), lambda s: s <> '')"
     tries = ", ".join(f"k[array_to_string(s[i:i + {n - 1}], ' ')]" for n in range(SPAN, 1, -1))
     marks = f"list_filter(list_transform(range(1, len(s) + 1), lambda i: CASE WHEN length(s[i]) <= {longest} THEN coalesce({tries}, k[s[i]]) END), lambda x: x IS NOT NULL)"
-    clean = rf"regexp_replace(regexp_replace(chr(10) || text, '{BLANK}', chr(10) || chr(1) || chr(10), 'g'), '{MARKS}', chr(10), 'g')"
+    spelt = "text"
+    for _ in range(SPDX_PASSES):
+        spelt = f"regexp_replace(regexp_replace({spelt}, '{SPDX_WITH}', '\\1', 'g'), '{SPDX_NEXT}', '\\1' || chr(10) || '{SPDX_LINE} ', 'g')"
+    clean = rf"regexp_replace(regexp_replace(chr(10) || {spelt}, '{BLANK}', chr(10) || chr(1) || chr(10), 'g'), '{MARKS}', chr(10), 'g')"
+    clean = f"regexp_replace({clean}, '{SHORT_FORMS}', '\\1', 'g')"
     by_line = r"string_split(regexp_replace(u, '([.!?:;])[\t ]+', '\1' || chr(10), 'g'), chr(10))"
     joined = r"string_split(regexp_replace(regexp_replace(u, '[\t ]*\n[\t ]*', ' ', 'g'), '([.!?:;])[\t ]+', '\1' || chr(1), 'g'), chr(1))"
     pattern = {lic_no: "(?:,.*)?".join(f",{names.index(n)}" for n in needs) + "," for lic_no, (_, needs) in enumerate(RULES)}
@@ -245,6 +279,7 @@ def oracle() -> str:
     kept = "l"
     for inner, outer in WITHIN.items():
         kept = f"CASE WHEN list_contains(l, '{outer}') THEN list_filter({kept}, lambda x: x <> '{inner}') ELSE {kept} END"
+    kept = f"CASE WHEN len({kept}) > 1 THEN list_filter({kept}, lambda x: x <> '{RESERVED}') ELSE {kept} END"
     return f"""
 WITH u AS (SELECT doc_id, {clean} AS u FROM documents WHERE text IS NOT NULL),
 p AS (SELECT doc_id, {pieces(by_line)} AS x, {pieces(joined)} AS y FROM u),
