@@ -20,4 +20,4 @@ def register(name: str, build: Callable[[Catalogue], DataFrame], sql: str | None
         ORACLES[name] = duck(sql, **views)
 
 
-from tunegrid.plans import analysis, catalogue, evaluation, extra, flows, models, recommend, rendered, upkeep  # noqa: E402, F401
+from tunegrid.plans import analysis, catalogue, evaluation, extra, flows, models, recommend, rendered, stores, upkeep  # noqa: E402, F401
