@@ -67,7 +67,7 @@ register("error_class", lambda c: c.raw("conversations").select("conv_id", "turn
       WHEN contains(lower(text), 'connection') OR contains(lower(text), 'reset') OR contains(lower(text), 'broken') THEN 'connection' ELSE 'other' END AS kind FROM conversations""")
 register("url_norm", lambda c: c.raw("pages").select("page_id", text.plain_path("url").alias("path"), text.slug("url").alias("slug")),
          r"SELECT page_id, regexp_replace(regexp_replace(regexp_replace(url, '[?#].*$', ''), '^[a-z]+://[^/]*', ''), '/+$', '') AS path, trim(regexp_replace(lower(url), '[^a-z0-9]+', '-', 'g'), '-') AS slug FROM pages")
-register("backoff_schedule", lambda c: c.spark.range(1, 11).select(F.col("id").alias("attempt"), F.least(F.lit(30.0), 0.5 * F.pow(F.lit(2.0), F.col("id") - 1)).alias("delay")),
-         "SELECT range AS attempt, least(30.0, 0.5 * pow(2, range - 1))::DOUBLE AS delay FROM range(1, 11)")
+register("backoff_schedule", lambda c: c.users.select((F.col("id_user") % 12).alias("attempt")).groupBy("attempt").agg(F.count("*").alias("users")).select("attempt", "users", F.least(F.lit(30.0), 0.5 * F.pow(F.lit(2.0), F.col("attempt"))).alias("delay")),
+         "SELECT id_user % 12 AS attempt, count(*) AS users, least(30.0, 0.5 * pow(2, id_user % 12))::DOUBLE AS delay FROM usr GROUP BY 1, 3")
 register("page_titles", lambda c: c.raw("pages").select("page_id", F.regexp_extract("html", "(?is)<title[^>]*>(.*?)</title>", 1).alias("title"), F.regexp_count("html", F.lit("<a [^>]*href=")).cast("long").alias("links")),
          "SELECT page_id, regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1) AS title, len(regexp_extract_all(html, '<a [^>]*href='))::BIGINT AS links FROM pages")

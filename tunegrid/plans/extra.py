@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,6 +13,7 @@ from tunegrid.plans import oracle as O
 from tunegrid.plans.recommend import LIMIT, content_of, pairs_of
 from tunegrid.plans.registry import register
 from tunegrid.plans.upkeep import _QUEUE, queue_of
+from tunegrid.sources import files
 from tunegrid.sources.adapter import Catalogue
 
 # What stands in a form field, by rating key.
@@ -99,7 +102,7 @@ register("profile_columns", lambda c: c.users.select("id_user", "role", F.round(
 def _stats(c: Catalogue) -> DataFrame:
     """Rows stored and rows after the reduction to well-rated releases, by table."""
     kept = c.releases.where("ratings_count >= 20").select("id_release")
-    tables = {"interactions": (c.interactions, c.interactions.join(kept, "id_release", "left_semi")), "releases": (c.parts, kept), "vectors": (c.vectors, c.vectors.join(kept, "id_release", "left_semi")), "tracks": (c.parts.where("false"), c.parts.where("false"))}
+    tables = {"interactions": (c.interactions, c.interactions.join(kept, "id_release", "left_semi")), "releases": (c.parts, kept), "vectors": (c.vectors, c.vectors.join(kept, "id_release", "left_semi")), "tracks": (tracks := c.raw("lineitem").select(F.col("l_partkey").alias("id_release")), tracks.join(kept, "id_release", "left_semi"))}
     one = lambda name, full, less: full.agg(F.count("*").alias("full_rows")).crossJoin(F.broadcast(less.agg(F.count("*").alias("reduced_rows")))).select(F.lit(name).alias("name"), "full_rows", "reduced_rows")  # noqa: E731  one row each
     parts = [one(name, full, less) for name, (full, less) in tables.items()]
     found = parts[0]
@@ -113,7 +116,15 @@ register("reduction_summary", _stats, """
       SELECT 'interactions' AS name, count(*) AS full_rows, count(*) FILTER (id_release IN (SELECT id_release FROM kept)) AS reduced_rows FROM inter
       UNION ALL SELECT 'releases', count(*), (SELECT count(*) FROM kept) FROM parts
       UNION ALL SELECT 'vectors', count(*), count(*) FILTER (vec_id IN (SELECT id_release FROM kept)) FROM embeddings
-      UNION ALL SELECT 'tracks', 0, 0)""", kept="SELECT id_release FROM rel WHERE ratings_count >= 20")
+      UNION ALL SELECT 'tracks', count(*), count(*) FILTER (l_partkey IN (SELECT id_release FROM kept)) FROM lineitem)""", kept="SELECT id_release FROM rel WHERE ratings_count >= 20")
+def physical(c: Catalogue) -> DataFrame:
+    """(name, files, rows, bytes, row_bytes) of each stored table from the files' footers and sizes: no column is read."""
+    names = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "embeddings")
+    found = [files.physical_statistics(c.raw(name)).select(F.lit(name).alias("name"), "*") for name in names]
+    return reduce(DataFrame.unionByName, found)
+
+
+register("physical_statistics", lambda c: physical(c).select("name", "rows", (F.col("bytes") >= F.col("files") * 100).alias("sized")), " UNION ALL ".join(f"SELECT '{n}' AS name, count(*) AS rows, true AS sized FROM {n}" for n in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "embeddings")))
 register("orphans_removed", lambda c: c.all_ratings.select("id_user", "id_release").distinct().join(c.users.where("id_user % 10 != 3").select("id_user"), "id_user", "left_semi").join(c.parts.where("id_release % 10 != 7").select("id_release"), "id_release", "left_semi").select("id_user", "id_release"),
          "SELECT DISTINCT o_custkey AS id_user, l_partkey AS id_release FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_custkey % 10 <> 3 AND l_partkey % 10 <> 7 AND o_custkey IN (SELECT c_custkey FROM customer) AND l_partkey IN (SELECT p_partkey FROM part)")
 

@@ -42,3 +42,9 @@ def copy_table(df: DataFrame, path: str, keys: list[str], where: str | None = No
 
 def compact(spark: SparkSession, path: str, target: str, files: int) -> None:
     spark.read.parquet(path).repartition(files).write.mode("overwrite").parquet(target)
+
+
+def physical_statistics(table: DataFrame) -> DataFrame:
+    """(files, rows, bytes, row_bytes) of a file-based table: row counts from the footers, sizes from the listing; no column is read."""
+    per_file = table.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("size")).groupBy("path").agg(F.count("*").alias("n"), F.max("size").alias("size"))
+    return per_file.agg(F.count("*").alias("files"), F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes")).withColumn("row_bytes", F.try_divide(F.col("bytes"), F.col("rows")))
