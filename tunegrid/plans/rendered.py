@@ -27,7 +27,7 @@ def chart_pages(c: Catalogue) -> DataFrame:
     rows = c.parts.select("id_release", "title", "artist_id", "release_year")
     path = _text("/album/", F.col("id_release"), "/", F.translate("title", " ", "-"))
     cell = _text(
-        '<tr><td class="blackbox"><a href="', path, '">', F.lpad(F.col("id_release").cast("string"), 6, "0"), "</a></td>",
+        '<tr><td class="blackbox"><a href="', path, '">', F.lpad(F.col("id_release").cast("string"), F.greatest(F.lit(6), F.length(F.col("id_release").cast("string"))), F.lit("0")), "</a></td>",
         '<td class="blackbox" onclick="go(\'', path, "')\"><font><b>Band ", F.col("artist_id"), '</b></font> <font class="darktext">', F.initcap("title"), "</font>",
         "<table><tr><td><b>", (F.col("id_release") % 50 / 10).cast("decimal(3,1)"), '</b> <font class="contrasttext">', F.format_number(F.col("id_release") * 7, 0), " Votes</font></td></tr></table></td></tr>",
     )
