@@ -5,7 +5,7 @@ import math
 from pyspark.sql import functions as F
 
 from tunegrid.operators import stats
-from tunegrid.plans import rendered
+from tunegrid.plans import registry, rendered  # noqa: F401
 from tunegrid.sources.adapter import Catalogue
 from tunegrid.sources.pages import parse_pages
 
@@ -21,3 +21,59 @@ def test_correlation_of_a_column_that_never_varies(spark):
     assert math.isnan(stats.correlation(frame, "a", "b").first()[0]) and stats.correlation(frame.where("false"), "a", "b").first()[0] is None
     varied = spark.createDataFrame([(1.0, 1.0), (0.0, 2.0), (0.0, 3.5)], "a double, b double")
     assert stats.correlation(varied, "a", "b").first()[0] == varied.agg(F.round(F.corr("a", "b"), 5)).first()[0]
+
+
+def test_a_user_is_sent_once_for_a_group_of_blocks(spark):
+    from tunegrid.operators.inner_product import top_inner_products
+
+    frame = lambda key, n: spark.range(n).select(F.col("id").alias(key), F.array(*[((F.col("id") * k) % 7 + 1).cast("double") for k in (1, 3)]).alias("vector"))
+    visits = []
+    got = top_inner_products(frame("id_user", 20), frame("id_release", 200), spark.createDataFrame([(1, 2)], "id_user long, id_release long"), 3, 5, None, visits).collect()
+    assert len(got) == 60 and sum(visits) <= 20
+
+
+def test_pools_and_profiles_are_not_exchanged(spark):
+    c = Catalogue(spark, "/root/testdata/sf0.001")
+    plan = registry.QUERIES["candidate_pool"](spark, c.sf_dir)._jdf.queryExecution().sparkPlan().toString()
+    assert "explode(pool" in plan and "explode(map_keys" not in plan
+
+
+def test_fusion_search_exchanges_the_lists_once(spark):
+    from tunegrid.operators import evaluation
+
+    lists = spark.createDataFrame([(1, "a", 1, 5), (1, "b", 1, 6), (1, "b", 2, 5), (2, "a", 1, 7)], "id_user long, strategy string, rank long, id_release long")
+    found = evaluation.rrf_k_search(lists, spark.createDataFrame([(1, 5)], "id_user long, id_release long"), [1, 10])
+    assert found._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    assert sorted(tuple(r) for r in found.collect()) == [(1, 1, 1, 1.0), (1, 2, 0, 0.0), (10, 1, 1, 1.0), (10, 2, 0, 0.0)]
+
+
+def test_a_training_step_costs_its_examples_not_the_tables():
+    import numpy as np
+
+    from tunegrid.operators import towers
+
+    rng = np.random.default_rng(1)
+    p = {"user": rng.random((50, 4)), "score": rng.random((1, 1))}
+    dense, lazy, want, own = towers.Adam(0.01), towers.LazyAdam(0.01), p, {k: v.copy() for k, v in p.items()}
+    for _ in range(3):  # rows met in every step move as under Adam over whole tables, others stay
+        rows, g = np.array([3, 7]), rng.random((2, 4))
+        whole = np.zeros((50, 4))
+        whole[rows] = g
+        want = dense.update(want, {"user": whole, "score": np.ones((1, 1))})
+        lazy.update(own, {"user": g, "score": np.ones((1, 1))}, {"user": rows})
+    assert np.allclose(own["user"], want["user"]) and np.allclose(own["score"], want["score"]) and np.array_equal(own["user"][:3], p["user"][:3])
+
+
+def test_plain_pages_give_the_tolerant_readers_tokens():
+    from tunegrid.sources import pages
+
+    def slow(html):
+        reader = pages._Reader()
+        reader.feed(html)
+        reader.close()
+        return reader.tokens
+
+    plain = ["<table><tr CLASS='a b'><td>1 <b> x\n y </b></td></tr></table>", '<p id="" data-x="1">t</p>', "", "<br>"]
+    odd = ["a<b>c</b>", "<a href=x>y</a>", "<b>1 &amp; 2</b>", "<script>if (a<b) {}</script>", "<!-- <b> --><i>z</i>", "<b", "<title>a<b>c</title>", "<b/>x", "<a b>c", "</b x='1'>y", "<b>3 < 4</b>"]
+    assert all(pages._plain_tokens(h) == slow(h) for h in plain)
+    assert all(pages.tokens(h) == slow(h) for h in plain + odd)
