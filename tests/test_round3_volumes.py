@@ -53,3 +53,25 @@ def test_stored_ratings_are_exchanged_by_user_only(spark):
     c = Catalogue(spark, SF)
     assert "hashpartitioning(id_user" in _plan(evaluation.with_parts(c.by_user())) and _plan(evaluation.with_parts(c.by_user())).count("Exchange hashpartitioning(id_user") == 1
     assert "lineitem" not in "".join(extra._two_lists(c).inputFiles())
+
+
+def test_hybrid_makes_each_list_for_the_users_that_get_it(spark, monkeypatch):
+    from tunegrid.operators import content, fusion
+    from tunegrid.plans import recommend
+
+    c, met = Catalogue(spark, SF), {}
+
+    def spy(module, name, at):
+        real = getattr(module, name)
+
+        def run(*args, **kwargs):
+            met[name] = {r.id_user for r in args[at].select("id_user").distinct().collect()}
+            return real(*args, **kwargs)
+
+        monkeypatch.setattr(module, name, run)
+
+    spy(pairs, "recommend_pairs", 1), spy(content, "recommend_content", 0), spy(fusion, "popular_unseen", 0)
+    found = recommend.hybrid_of(c.settled())
+    signals = {r.id_user: r.n_pos for r in c.settled().signals.collect()}
+    assert found.count() and met["recommend_pairs"] == {u for u, n in signals.items() if 1 <= n <= 8}
+    assert not any(signals.get(u, 0) <= 8 for u in met["recommend_content"]) and len(met["popular_unseen"]) < c.users.count()
