@@ -75,3 +75,13 @@ def test_hybrid_makes_each_list_for_the_users_that_get_it(spark, monkeypatch):
     signals = {r.id_user: r.n_pos for r in c.settled().signals.collect()}
     assert found.count() and met["recommend_pairs"] == {u for u, n in signals.items() if 1 <= n <= 8}
     assert not any(signals.get(u, 0) <= 8 for u in met["recommend_content"]) and len(met["popular_unseen"]) < c.users.count()
+
+
+def test_diversified_lists_are_exchanged_by_user_once(spark):
+    from tunegrid.operators.ranking import diversify
+
+    ranked = spark.createDataFrame([(1, 1, 5), (1, 2, 6), (1, 3, 7)], "id_user long, rank long, id_release long")
+    releases = spark.createDataFrame([(5, 1), (6, 1), (7, 2)], "id_release long, artist_id long")
+    found = diversify(ranked, releases, 2)
+    assert [(r.id_release, r["rank"]) for r in found.orderBy("rank").collect()] == [(5, 1), (7, 2)]
+    assert _plan(diversify(ranked, releases, 2)).count("Exchange hashpartitioning(id_user") == 1
