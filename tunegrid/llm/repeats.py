@@ -13,8 +13,12 @@ from tunegrid.llm.common import hot_join, release, staged
 
 #: Bytes of a repeated string, and of the anchors inside it: a window of LENGTH bytes belongs to the anchor of least hash in it.
 LENGTH, ANCHOR = 50, 24
-#: Text bytes that Python cuts at once; pieces whose suffixes one task sorts, near enough; pieces of one anchor beyond which its windows are dealt one by one.
-SLICE, BUCKET_PIECES, HOT_PIECES = 500_000, 20_000, 20_000
+#: Text bytes that Python cuts at once; pieces whose suffixes are sorted at once: beyond these, arrays no longer lie in the cache and each is mapped anew.
+SLICE, SORTED_PIECES = 200_000, 4_000
+#: Pieces that are dealt to one task, near enough; pieces of one anchor beyond which its windows are dealt one by one.
+BUCKET_PIECES, HOT_PIECES = 20_000, 20_000
+#: Anchors that a task holds before it sends them; buckets of anchors for each partition of the texts (of 128 MB, a bucket gets some 4 million anchors of 16 bytes).
+HELD_ANCHORS, BUCKETS = 500_000, 4
 #: Bits of the filter that tells shared anchors in the second reading (16 MB); with more than a quarter as many anchors it is left out.
 FILTER_BITS = 1 << 27
 _C1, _C2, _C3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
@@ -43,15 +47,17 @@ def cut(buffer: np.ndarray, starts: np.ndarray, ends: np.ndarray, length: int, a
     hashed = _mix(hashed ^ words[last : last + grams] * _C2) if last > second else hashed
     low = np.uint64((1 << 26) - 1)
     least, span = (hashed & ~low) | np.arange(grams, dtype=np.uint64), 1
-    while 2 * span <= width:
-        least, span = np.minimum(least[:-span], least[span:]), 2 * span
-    if span < width:
-        least = np.minimum(least[: len(least) - (width - span)], least[width - span :])
+    spare = np.empty_like(least)
+    while span < width:
+        step = min(span, width - span)
+        kept = len(least) - step
+        np.minimum(least[:kept], least[step:], out=spare[:kept])
+        least, spare, span = spare[:kept], least, span + step
     fits = ends - starts >= length
-    inside = np.zeros(len(buffer) + 1, np.int32)
+    inside = np.zeros(len(buffer) + 1, np.int8)
     np.add.at(inside, starts[fits], 1)
     np.add.at(inside, ends[fits] - length + 1, -1)
-    inside = np.cumsum(inside[: len(least)]) > 0
+    inside = np.cumsum(inside[: len(least)], dtype=np.int8) > 0
     begins = np.ones(len(least), bool)
     begins[1:] = (least[1:] != least[:-1]) | (inside[1:] != inside[:-1])
     begins[starts[fits]] = True
@@ -95,22 +101,63 @@ def _slices(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[tuple[pa
             yield out()
 
 
-def _anchors(length: int, anchor: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """(anchor, least, most): the smallest and the largest document of each anchor in a slice of texts."""
+def _anchors(length: int, anchor: int, buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """(bucket, anchors, ids): the smallest and the largest document of each anchor among HELD_ANCHORS, packed by bucket, as a row for each anchor costs more than its sorting."""
+
+    def packed(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        hashed, ids = np.concatenate([h for h, _ in held]), np.concatenate([i for _, i in held])
+        # Anchors are least hashes, so only the lower bits deal them evenly.
+        turned = hashed.view(np.uint64) << np.uint64(40) | hashed.view(np.uint64) >> np.uint64(24)
+        order = np.argsort(turned)
+        hashed, ids, turned = hashed[order], ids[order], turned[order]
+        first = np.nonzero(np.append(True, hashed[1:] != hashed[:-1]))[0]
+        least, most = np.minimum.reduceat(ids, first), np.maximum.reduceat(ids, first)
+        times = 1 + (least < most)
+        places = np.cumsum(times)
+        met, of = np.repeat(hashed[first], times), np.repeat(least, times)
+        of[places - 1] = most
+        bucket = np.repeat(turned[first] >> np.uint64(64 - (buckets - 1).bit_length()) if buckets > 1 else np.zeros(len(first), np.uint64), times).astype(np.int32)
+        cuts = [0, *(np.nonzero(np.diff(bucket))[0] + 1).tolist(), len(bucket)]
+        rows = [[x[i:j].tobytes() for i, j in zip(cuts, cuts[1:], strict=False)] for x in (met, of)]
+        return pa.RecordBatch.from_arrays([pa.array(bucket[cuts[:-1]]), pa.array(rows[0], pa.binary()), pa.array(rows[1], pa.binary())], names=["bucket", "anchors", "ids"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
         for batch, rows, _, buffer, starts, ends in _slices(batches, length):
             place, _, hashed, _ = cut(buffer, starts, ends, length, anchor)
-            ids = batch.column("id").to_numpy()[rows[np.searchsorted(ends, place, side="right")]]
-            order = np.lexsort((ids, hashed))
-            hashed, ids = hashed[order], ids[order]
-            first = np.nonzero(np.append(True, hashed[1:] != hashed[:-1]))[0]
-            last = np.append(first[1:], len(hashed)) - 1
-            yield pa.RecordBatch.from_arrays([pa.array(hashed[first]), pa.array(ids[first]), pa.array(ids[last])], names=["anchor", "least", "most"])
+            held.append((hashed, batch.column("id").to_numpy()[rows[np.searchsorted(ends, place, side="right")]]))
+            size += len(place)
+            if size >= HELD_ANCHORS:
+                yield packed(held)
+                held, size = [], 0
+        if size:
+            yield packed(held)
 
     return run
 
 
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(anchor): the anchors of several documents, from packed rows sorted by bucket."""
+
+    def solved(held: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
+        hashed, ids = (np.frombuffer(b"".join(x), np.int64) for x in zip(*held, strict=True))
+        order = np.argsort(hashed)
+        hashed, ids = hashed[order], ids[order]
+        first = np.nonzero(np.append(True, hashed[1:] != hashed[:-1]))[0]
+        return pa.RecordBatch.from_arrays([pa.array(hashed[first][np.minimum.reduceat(ids, first) < np.maximum.reduceat(ids, first)])], names=["anchor"])
+
+    held, at = [], None
+    for batch in batches:
+        for bucket, anchors, ids in zip(batch.column("bucket").to_pylist(), batch.column("anchors").to_pylist(), batch.column("ids").to_pylist(), strict=True):
+            if held and bucket != at:
+                yield solved(held)
+                held = []
+            held.append((anchors, ids))
+            at = bucket
+    if held:
+        yield solved(held)
+
+
 def _within(hashed: np.ndarray, bits: np.ndarray) -> np.ndarray:
     spot = hashed.view(np.uint64) % np.uint64(len(bits) * 8)
     return (bits[(spot >> np.uint64(3)).astype(np.int64)] >> (spot & np.uint64(7)).astype(np.uint8)) & 1 > 0
@@ -227,38 +274,48 @@ def least_sources(texts: list[bytes], sources: np.ndarray, length: int) -> list[
     return [found[b : b + n - length + 1] for b, n in zip(begins.tolist(), sizes.tolist(), strict=True)]
 
 
-_RUNS = "anchor long, piece long, since array<int>, until array<int>, source array<long>"
+_RUNS = "anchor long, piece long, first long, since array<int>, until array<int>, source array<long>"
 
 
 def _runs(length: int, chunk: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Rows (anchor, piece, least, text) sorted by anchor and piece, which may repeat, to runs of windows with the same smallest document."""
+    """Rows (anchor, piece, least, text) sorted by anchor and piece, which may repeat, to runs of windows with the same smallest document, and the first of these."""
 
     def solved(rows: pa.Table) -> pa.RecordBatch:
         anchors, pieces, least = (rows.column(c).to_numpy() for c in ("anchor", "piece", "least"))
         first = np.nonzero(np.append(True, (anchors[1:] != anchors[:-1]) | (pieces[1:] != pieces[:-1])))[0]
         texts = rows.column("text").take(pa.array(first)).to_pylist()
-        since, until, source = [], [], []
+        since, until, source, earliest = [], [], [], []
         for own in least_sources(texts, np.minimum.reduceat(least, first), length):
             cuts = [0, *(np.nonzero(own[1:] != own[:-1])[0] + 1).tolist()]
-            since.append(cuts), until.append([*cuts[1:], len(own)]), source.append(own[cuts].tolist())
+            since.append(cuts), until.append([*cuts[1:], len(own)]), source.append(own[cuts].tolist()), earliest.append(int(own.min()))
         lists = [pa.array(since, pa.list_(pa.int32())), pa.array(until, pa.list_(pa.int32())), pa.array(source, pa.list_(pa.int64()))]
-        return pa.RecordBatch.from_arrays([pa.array(anchors[first]), pa.array(pieces[first]), *lists], names=[c.split()[0] for c in _RUNS.split(", ")])
+        return pa.RecordBatch.from_arrays([pa.array(anchors[first]), pa.array(pieces[first]), pa.array(earliest, pa.int64()), *lists], names=[c.split()[0] for c in _RUNS.split(", ")])
+
+    def by_chunks(rows: pa.Table, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """Whole anchors, of which `starts` are the first rows and the end, with `chunk` rows at least until the last."""
+        lo = 0
+        while lo < starts[-1]:
+            hi = int(starts[min(np.searchsorted(starts, lo + chunk), len(starts) - 1)])
+            yield solved(rows.slice(lo, hi - lo))
+            lo = hi
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
+        held, size, most = [], 0, chunk
         for batch in batches:
             held.append(batch)
             size += batch.num_rows
-            if size >= chunk:
+            if size >= most:
                 rows = pa.Table.from_batches(held)
                 anchors = rows.column("anchor").to_numpy()
-                last = int(np.searchsorted(anchors, anchors[-1]))
-                if last:
-                    yield solved(rows.slice(0, last))
-                    rows = rows.slice(last).combine_chunks()
+                starts = np.append(0, np.nonzero(anchors[1:] != anchors[:-1])[0] + 1)
+                yield from by_chunks(rows, starts)
+                rows = rows.slice(int(starts[-1])).combine_chunks()
                 held, size = rows.to_batches(), rows.num_rows
+                most = max(chunk, 2 * size)
         if size:
-            yield solved(pa.Table.from_batches(held))
+            rows = pa.Table.from_batches(held)
+            anchors = rows.column("anchor").to_numpy()
+            yield from by_chunks(rows, np.concatenate([[0], np.nonzero(anchors[1:] != anchors[:-1])[0] + 1, [len(anchors)]]))
 
     return run
 
@@ -271,7 +328,7 @@ def _window_by_window(pieces: DataFrame, length: int) -> DataFrame:
     sources = windows.groupBy("window").agg(F.min("least").alias("source"), F.count("*").alias("met"))
     told = hot_join(windows.drop("least"), sources, "window", "met", windows.count())
     runs = told.groupBy("anchor", "piece").agg(F.collect_list(F.struct("k", "source")).alias("r"))
-    return runs.select("anchor", "piece", F.transform("r", lambda x: x["k"]).alias("since"), F.transform("r", lambda x: x["k"] + 1).alias("until"), F.transform("r", lambda x: x["source"]).alias("source"))
+    return runs.select("anchor", "piece", F.array_min(F.transform("r", lambda x: x["source"])).alias("first"), F.transform("r", lambda x: x["k"]).alias("since"), F.transform("r", lambda x: x["k"] + 1).alias("until"), F.transform("r", lambda x: x["source"]).alias("source"))
 
 
 # --- Whole corpus ---------------------------------------------------------------------------------------------------
@@ -282,7 +339,7 @@ def _filter_of(anchors: DataFrame):
     bits = FILTER_BITS
     if anchors.count() > bits // 4:
         return None
-    spot = F.pmod(F.col("anchor").cast("decimal(20,0)") + F.when(F.col("anchor") < 0, F.lit("18446744073709551616").cast("decimal(20,0)")).otherwise(0), F.lit(bits)).cast("long")
+    spot = F.col("anchor").bitwiseAND(F.lit(bits - 1))  # bits are a power of two
     words = anchors.select(spot.alias("s")).groupBy(F.shiftright("s", 6).alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(s & 63 as int)))").alias("b")).toArrow()
     found = np.zeros(bits // 64, np.int64)
     found[words.column("w").to_numpy()] = words.column("b").to_numpy()
@@ -325,8 +382,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("print"), F.col(text_col).cast("binary").alias("text"))
     named = source.where("id is not null and text is not null")
-    anchors = named.select("id", "text").mapInArrow(_anchors(length, anchor), "anchor long, least long, most long")
-    shared = staged(anchors.groupBy("anchor").agg(F.min("least").alias("least"), F.max("most").alias("most")).where("least < most").select("anchor"), "anchors")
+    buckets = 1 << (BUCKETS * named.rdd.getNumPartitions()).bit_length()
+    anchors = named.select("id", "text").mapInArrow(_anchors(length, anchor, buckets), "bucket int, anchors binary, ids binary")
+    shared = staged(anchors.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_shared, "anchor long"), "anchors")
     places, shown = "anchor long, piece long, id long, print long, at long, windows int", "anchor long, piece long, least long, text binary"
     bits = _filter_of(shared)
     found = named.mapInArrow(_pieces(length, anchor, bits, False), places)
@@ -349,11 +407,13 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     some_hot = not hot.isEmpty()
     dealt = pieces.join(hot, "anchor", "left_anti") if some_hot else pieces
     dealt = dealt.repartition(max(1, -(-count // BUCKET_PIECES)), "anchor").sortWithinPartitions("anchor", "piece")
-    runs = dealt.mapInArrow(_runs(length, BUCKET_PIECES), _RUNS)
+    runs = dealt.mapInArrow(_runs(length, SORTED_PIECES), _RUNS)
     runs = runs.unionByName(_window_by_window(pieces.join(hot, "anchor", "left_semi"), length)) if some_hot else runs
-    runs = staged(runs.join(mixed.groupBy("anchor", "piece").agg(F.count("*").alias("n")), ["anchor", "piece"]), "runs")
+    # Most pieces share their anchor only: where no string is from before the piece's last document, its rows are dropped before their runs are looked at.
+    own = mixed.groupBy("anchor", "piece").agg(F.count("*").alias("n"), F.max("id").alias("last"))
+    runs = staged(runs.join(own, ["anchor", "piece"]).where("first < last").drop("last"), "runs")
     release(kinds)
-    parts = hot_join(mixed, runs, ["anchor", "piece"], "n", count)
+    parts = hot_join(mixed, runs, ["anchor", "piece"], "n", count).where("first < id")
     spans = F.filter(F.arrays_zip("since", "until", "source"), lambda r: r["source"] < F.col("id"))
     parts = parts.select("id", "print", "at", spans.alias("r")).where(F.size("r") > 0)
     low = F.transform("r", lambda r: F.col("at") + r["since"])
